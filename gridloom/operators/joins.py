@@ -73,11 +73,12 @@ def nearest_marks(dates: DataFrame, marks: DataFrame, date: str) -> DataFrame:
         .unionByName(marks.select(F.col(date).alias("d"), F.col(date).alias("m")))
         .groupBy("d").agg(F.max("m").alias("m"), F.lit(1).alias("g"))
     )
-    w = Window.partitionBy("g").orderBy("d")
+    g = Window.partitionBy("g")
+    run = (Window.unboundedPreceding, 0)
     return tagged.select(
         F.col("d").alias(date),
-        F.last("m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("prev_mark"),
-        F.first("m", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("next_mark"))
+        F.last("m", True).over(g.orderBy("d").rowsBetween(*run)).alias("prev_mark"),
+        F.last("m", True).over(g.orderBy(F.col("d").desc()).rowsBetween(*run)).alias("next_mark"))
 
 
 def signed_distance(dates: DataFrame, marks: DataFrame, date: str, out: str) -> DataFrame:

@@ -143,12 +143,15 @@ def bounded_fill(df: DataFrame, value: str, out: str, limit: int, how: str = "ff
     """Forward fill or linear interpolation on a regular grid, at most ``limit`` rows into a gap."""
     w = series(entity, date)
     mark = F.when(F.col(value).isNotNull(), F.col(date))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    # the look ahead runs on the reversed order: a running frame is linear, a shrinking one is not
+    ent = [entity] if isinstance(entity, str) else list(entity)
+    ahead = Window.partitionBy(*ent).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)
     pv, pd_ = F.last(value, True).over(back), F.last(mark, True).over(back)
     since = F.datediff(date, pd_)
     if how == "ffill":
         return df.withColumn(out, F.when(since <= limit, pv))
-    nv, nd = F.first(value, True).over(ahead), F.first(mark, True).over(ahead)
+    nv, nd = F.last(value, True).over(ahead), F.last(mark, True).over(ahead)
     span = F.datediff(nd, pd_)
     lin = F.when(span == 0, pv).otherwise(pv + (nv - pv) * since / span)
     return df.withColumn(out, F.when((since <= limit) & nv.isNotNull(), lin))

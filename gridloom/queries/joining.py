@@ -99,9 +99,6 @@ def j10(t):
     return J.signed_distance(cal.select("date"), cal.where("ev_urgent = 1").select("date"), "date", "days_to_event")
 
 
-MARKS_SQL = ("marks", "SELECT s_nationkey AS entity, min(date) AS mark FROM lines JOIN supplier USING (s_nationkey) GROUP BY 1")
-
-
 @query("j11_backward_asof", with_("""
 SELECT p.entity, p.date, coalesce(p.date - (SELECT max(m.date) FROM big m WHERE m.entity = p.entity AND m.date <= p.date), 9999) AS days_since,
   coalesce(p.date - (SELECT max(m.date) FROM big m WHERE m.entity = p.entity AND m.date <= p.date) BETWEEN 0 AND 90, false) AS recent,
