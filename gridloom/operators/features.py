@@ -90,3 +90,33 @@ def sequence_windows(df: DataFrame, cols: Sequence[str], look: int = 30, entity=
     d = d.withColumn("seq", F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(f))
     d = d.withColumn("_good", F.sum("_ok").over(f))
     return d.where((F.size("seq") == look) & (F.col("_good") == look)).drop("_ok", "_good")
+
+
+def exposure_grid(df: DataFrame, logp: str, series: str, lags: Sequence[int], windows: Sequence[int], horizons: Sequence[int],
+                  entity="entity", date="date") -> DataFrame:
+    """One slope per exposure (lag or trailing mean) and horizon, all on the rows where every cell exists."""
+    from gridloom.operators.moments import panel_ols
+
+    w = W.series(entity, date)
+    xs = {f"lag{k}": F.lag(series, k).over(w) for k in lags}
+    xs |= {f"ma{n}": W.rolling(series, n, "mean", entity, date, min_obs=n, lag=1) for n in windows}
+    ys = {h: F.lead(logp, h).over(w) - F.col(logp) for h in horizons}
+    d = df.select(entity, date, *[e.alias(f"_x_{n}") for n, e in xs.items()], *[e.alias(f"_y_{h}") for h, e in ys.items()])
+    d = d.dropna()
+    cells = F.array(*[F.struct(F.lit(n).alias("exposure"), F.lit(h).alias("h"), F.col(f"_x_{n}").alias("x"), F.col(f"_y_{h}").alias("y")) for n in xs for h in ys])
+    g = d.select(entity, date, F.explode(cells).alias("c")).select(entity, date, "c.*")
+    return panel_ols(g, "y", ["x"], fe=[entity], cluster=[entity, date], by=["exposure", "h"])
+
+
+def almon_terms(df: DataFrame, series: str, lags: int, degree: int, entity="entity", date="date") -> DataFrame:
+    """Polynomial lag basis: term p is the sum of k^p times lag k; incomplete histories are dropped."""
+    w = W.series(entity, date)
+    d = df.select(*df.columns, *[F.lag(series, k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    d = d.where(F.col(f"_l{lags}").isNotNull())
+    out = []
+    for p in range(degree + 1):
+        e = F.lit(0.0)
+        for k in range(1, lags + 1):
+            e = e + float(k**p) * F.col(f"_l{k}")
+        out.append(e.alias(f"almon{p}"))
+    return d.select(*df.columns, *out)

@@ -62,15 +62,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     """Rows (by..., prob, q): linear-interpolated quantiles, equal to sorting the whole group."""
     by = list(by)
     run = running(df, value, by)
-    lo = F.col("c_w") - F.col("w")  # ranks lo .. c_w-1 (0-based) carry this value
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob")
-    r = run.select(*by, "v", lo.alias("lo"), F.col("c_w").alias("hi"), F.col("g_w").alias("n"), p)
+    # ranks c_w - w .. c_w - 1 (0-based) carry this value; keep the probabilities that need one of them
+    arr = ", ".join(f"{float(x)!r}D" for x in probs)
+    hit = ("(c_w - w <= floor(p * (g_w - 1)) and floor(p * (g_w - 1)) < c_w) or "
+           "(c_w - w <= ceil(p * (g_w - 1)) and ceil(p * (g_w - 1)) < c_w)")
+    r = run.withColumn("ps", F.expr(f"filter(array({arr}), p -> {hit})")).where(F.size("ps") > 0)
+    r = r.select(*by, "v", (F.col("c_w") - F.col("w")).alias("lo"), F.col("c_w").alias("hi"), F.col("g_w").alias("n"),
+                 F.explode("ps").alias("prob"))
     h = F.col("prob") * (F.col("n") - 1)
     k0, k1 = F.floor(h), F.ceil(h)
     has0 = (F.col("lo") <= k0) & (k0 < F.col("hi"))
     has1 = (F.col("lo") <= k1) & (k1 < F.col("hi"))
     return (
-        r.where(has0 | has1).groupBy(*by, "prob")
+        r.groupBy(*by, "prob")
         .agg(F.max(F.when(has0, F.col("v"))).alias("v0"), F.max(F.when(has1, F.col("v"))).alias("v1"),
              F.max("n").alias("n"))
         .select(*by, "prob",

@@ -10,16 +10,12 @@ from pyspark.sql.types import StructType
 SNAPSHOT = "status string, last_run_at double, snapshots array<array<struct<id: long, time: double, price: double, volume: double>>>"
 BOOK = ("update_time double, sellers array<struct<name: string, amount: long, price: double, time: double>>, "
         "buyers array<struct<name: string, amount: long, price: double, time: double>>")
-COUNTS = "entries array<struct<category: string, n: long>>"
+COUNTS = "entity long, entries array<struct<category: string, n: long>>"
 
 
-def _stem(path):
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1)
-
-
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One document per entity with ``snapshots[[...]]``; entity from the folder ``entity=...``."""
-    d = spark.read.schema(SNAPSHOT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    d = spark.read.schema(SNAPSHOT).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     d = d.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), r"entity=([^/]+)/", 1).cast("int"))
     e = d.select("entity", "status", F.explode(F.flatten("snapshots")).alias("s"))
     return e.select("entity", "status", F.timestamp_seconds("s.time").alias("ts"),
@@ -27,9 +23,9 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
                     F.when(F.col("s.volume") != -1, F.col("s.volume")).alias("volume"))
 
 
-def read_order_books(spark: SparkSession, path: str) -> DataFrame:
+def read_order_books(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Book documents to long offers with a side label; entity from the folder name."""
-    d = spark.read.schema(BOOK).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    d = spark.read.schema(BOOK).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     d = d.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), r"entity=([^/]+)/", 1).cast("int"))
 
     def side(c, label):
@@ -39,14 +35,12 @@ def read_order_books(spark: SparkSession, path: str) -> DataFrame:
     return side("sellers", "sell").unionByName(side("buyers", "buy"))
 
 
-def read_event_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Tree entity=.../date=... of count documents; unreadable files give no rows."""
-    d = (spark.read.schema(COUNTS).option("multiLine", True).option("mode", "PERMISSIVE")
+def read_event_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Count documents in folders ``date=...``, entity inside the document; unreadable files give no rows."""
+    d = (spark.read.schema(COUNTS).option("multiLine", multi_line).option("mode", "PERMISSIVE")
          .option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).json(path))
-    p = F.col("_metadata.file_path")
-    return d.select(F.regexp_extract(p, r"entity=([^/]+)/", 1).cast("long").alias("entity"),
-                    F.regexp_extract(p, r"date=([^/]+)/", 1).try_cast("date").alias("date"),
-                    F.explode("entries").alias("e")).select("entity", "date", "e.category", "e.n")
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"date=([^/]+)/", 1).try_cast("date")
+    return d.select("entity", day.alias("date"), F.explode("entries").alias("e")).select("entity", "date", "e.category", "e.n")
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -40,20 +40,18 @@ def kv_blocks(texts: DataFrame, key: str, text: str, samples: str, min_samples:
     return d.withColumn("chosen", F.row_number().over(w) == 1)
 
 
-def kv_fields(block: Column) -> Column:
-    """``Name, k:v, k:v`` to a map, independent of the order of the fields."""
-    keys = F.regexp_extract_all(block, F.lit(r"([A-Za-z_]+)\s*:\s*([^,]*)"), 1)
-    vals = F.regexp_extract_all(block, F.lit(r"([A-Za-z_]+)\s*:\s*([^,]*)"), 2)
-    return F.map_from_entries(F.array_distinct(F.arrays_zip(F.transform(keys, F.lower), F.transform(vals, F.trim))))
+def kv_field(block: Column, key: str) -> Column:
+    """Value of ``key:value`` wherever it stands in the line; NULL when absent or empty."""
+    v = F.trim(F.regexp_extract(block, rf"(?i)\b{key}\s*:\s*([^,]*)", 1))
+    return F.when(v != "", v)
 
 
 def kv_row(block: Column) -> list[Column]:
-    """Name, times, amount bounds and total of one row."""
-    m = kv_fields(block)
-    lo, hi = S.range_bounds(F.try_element_at(m, F.lit("amount")))
-    num = lambda k: S.first_number(F.try_element_at(m, F.lit(k)))
+    """Name, times, amount bounds and total of one ``Name, k:v, k:v`` row."""
+    lo, hi = S.range_bounds(F.coalesce(kv_field(block, "amount"), F.lit("")))
     name = F.trim(F.regexp_replace(F.regexp_extract(block, r"^(.*?)[A-Za-z_]+\s*:", 1), r",\s*$", ""))
-    return [name.alias("name"), num("times").alias("times"), lo.alias("amount_lo"), hi.alias("amount_hi"), num("total").alias("total")]
+    return [name.alias("name"), S.first_number(kv_field(block, "times")).alias("times"), lo.alias("amount_lo"),
+            hi.alias("amount_hi"), S.first_number(kv_field(block, "total")).alias("total")]
 
 
 def census(pages: DataFrame, key: str, items: Column) -> DataFrame:
