@@ -40,7 +40,7 @@ def nw_mean(series: DataFrame, value: str, order: str, by: Sequence[str] = (), l
     """
     by = list(by)
     s = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).alias("_x"),
-                                                      *([lags] if isinstance(lags, str) else []))
+                                                      *([lags] if isinstance(lags, str) and lags not in by else []))
     if not by:
         s, by = s.withColumn("_g", F.lit(1)), ["_g"]
     wg = Window.partitionBy(*by)
@@ -48,19 +48,18 @@ def nw_mean(series: DataFrame, value: str, order: str, by: Sequence[str] = (), l
     s = s.withColumn("n", F.count("*").over(wg)).withColumn("mean", F.avg("_x").over(wg))
     e = F.col("_x") - F.col("mean")
     lag = lag_rule(F.col("n")) if lags is None else (F.col(lags).cast("int") if isinstance(lags, str) else F.lit(int(lags)))
-    s = s.select(*by, "n", "mean", lag.alias("lag"), F.row_number().over(wo).alias("i"),
-                 F.sum(e).over(wo.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), e.alias("e"))
-    s = s.withColumn("i", F.col("i").cast("int"))
-    prev = s.select(*by, (F.col("i") + F.col("lag") + 1).alias("i"), F.col("c").alias("c_prev"))
-    j = s.join(prev, [*by, "i"], "left")
-    head = F.col("c") - F.coalesce("c_prev", F.lit(0.0))
+    s = s.select(*by, "n", "mean", lag.alias("lag"), F.row_number().over(wo).cast("int").alias("_i"),
+                 F.sum(e).over(wo.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"))
+    prev = s.select(*by, (F.col("_i") + F.col("lag") + 1).alias("_i"), F.col("_c").alias("_p"))
+    j = s.join(prev, [*by, "_i"], "left")
+    head = F.col("_c") - F.coalesce("_p", F.lit(0.0))
     # padded positions n+1..n+L hold the sums of the final 1..L residuals, which are -c of the
     # rows n-L..n-1 because residuals add up to zero
-    late = (F.col("i") >= F.col("n") - F.col("lag")) & (F.col("i") < F.col("n"))
-    wt = F.when(late, F.col("c") * F.col("c")).otherwise(0.0)
+    late = (F.col("_i") >= F.col("n") - F.col("lag")) & (F.col("_i") < F.col("n"))
+    wt = F.when(late, F.col("_c") * F.col("_c")).otherwise(0.0)
     g = j.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"),
-                           F.sum(head * head).alias("h"), F.sum(wt).alias("w"))
-    lrv = (F.col("h") + F.col("w")) / (F.col("lag") + 1) / F.col("n")
+                           F.sum(head * head).alias("_head"), F.sum(wt).alias("_tail"))
+    lrv = (F.col("_head") + F.col("_tail")) / (F.col("lag") + 1) / F.col("n")
     out = g.select(*[b for b in by if b != "_g"], "n", "mean", "lag",
                    F.sqrt(F.greatest(lrv, F.lit(0.0)) / F.col("n")).alias("se"))
     return out.withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))

@@ -646,8 +646,8 @@ def e51(t):
     return two_coefs(M.panel_ols(d, "ret_row", ["almon0", "almon1"], fe=["entity"]), "almon0", "almon1")
 
 
-@query("e52_cumulative_level", with_(f"SELECT count(*) AS n, {r('sum(x * y) / sum(x * x)', 4)} AS coef FROM tw", *two_way_sql("lvl", ["y", "x"])
-    ).replace("s0 AS (", "lvl AS (SELECT entity, date, logp AS y, ln(sum(volume) OVER (PARTITION BY entity ORDER BY date)) AS x FROM prm),\ns0 AS (", 1))
+@query("e52_cumulative_level", with_(f"SELECT count(*) AS n, {r('sum(x * y) / sum(x * x)', 4)} AS coef FROM tw",
+    ("lvl", "SELECT entity, date, logp AS y, ln(sum(volume) OVER (PARTITION BY entity ORDER BY date)) AS x FROM prm"), *two_way_sql("lvl", ["y", "x"])))
 def e52(t):
     d = W.running_sum(t.prm, "volume", "stock").withColumn("ls", F.log("stock"))
     return M.panel_ols(d, "logp", ["ls"], fe=["entity", "date"], cluster=["entity", "date"]).select("n", rnd("coef", 4).alias("coef"))
