@@ -130,3 +130,194 @@ def permutation_importance(model, test: DataFrame, features: Sequence[str], labe
         p = mse(shuffled(test, f, key), f)
         parts = p if parts is None else parts.unionByName(p)
     return with_scalars(parts, base.select("mse"), "b").select("feature", (F.col("mse") - F.col("b.mse")).alias("importance"))
+
+
+# ------------------------------------------------------------------ linear scopes from moments
+def scope_predictions(train: DataFrame, test: DataFrame, y: str, x: str, entity: str, region: str, lam: float = 50.0) -> DataFrame:
+    """Long predictions of one-regressor models fitted globally, per region, per entity and shrunk to the global one."""
+    fit = lambda by: train.groupBy(*by).agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.count("*").alias("n"))
+    t = with_scalars(test, fit([]), "g")
+    t = t.join(F.broadcast(fit([region]).select(region, F.col("a").alias("ra"), F.col("b").alias("rb"))), region, "left")
+    t = t.join(fit([entity]).select(entity, F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("n").alias("en")), entity, "left")
+    p = lambda a, b: F.col(a) + F.col(b) * F.col(x)
+    w = F.coalesce(F.col("en") / (F.col("en") + lam), F.lit(0.0))
+    own = F.coalesce(p("ea", "eb"), p("g.a", "g.b"))
+    t = t.select(*test.columns, p("g.a", "g.b").alias("global"), F.coalesce(p("ra", "rb"), p("g.a", "g.b")).alias("regional"), own.alias("entity_own"),
+                 (w * own + (1 - w) * p("g.a", "g.b")).alias("shrunk"))
+    return t.unpivot(test.columns, ["global", "regional", "entity_own", "shrunk"], "scope", "yhat")
+
+
+def band_conditional(train: DataFrame, test: DataFrame, y: str, x: str, band: float) -> DataFrame:
+    """One-regressor forecasts pooled and per side of the band, scored on the test rows of each side."""
+    side = lambda d: d.withColumn("regime", F.when(F.abs(x) > band, "outside").otherwise("inside"))
+    tr, te = side(train), side(test)
+    pooled = tr.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    own = tr.groupBy("regime").agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    t = with_scalars(te, pooled, "p").join(F.broadcast(own), "regime")
+    sse = lambda e: F.sum(e * e)
+    return t.groupBy("regime").agg(
+        F.count("*").alias("n"), (1 - sse(F.col(y) - F.col("p.a") - F.col("p.b") * F.col(x)) / sse(F.col(y))).alias("r2_pooled"),
+        (1 - sse(F.col(y) - F.col("a") - F.col("b") * F.col(x)) / sse(F.col(y))).alias("r2_own"))
+
+
+def exposure_oos(df: DataFrame, y: str, exposures: Sequence[str], entity: str = "entity", date: str = "date", share: float = 0.7) -> DataFrame:
+    """Entity-demeaned slope on early dates applied to later ones; RMSE gain over zero as a fraction."""
+    cells = F.array(*[F.struct(F.lit(e).alias("exposure"), F.col(e).alias("x")) for e in exposures])
+    d = df.select(entity, date, F.col(y).alias("y"), F.explode(cells).alias("c")).select(entity, date, "y", "c.*").where("x is not null and y is not null")
+    d = with_scalars(d, split_date(df, share, date), "s").withColumn("train", F.col(date) <= F.col("s.split")).drop("s")
+    w = Window.partitionBy("exposure", entity)
+    tr = lambda c: F.avg(F.when(F.col("train"), F.col(c))).over(w)
+    d = d.select("exposure", "train", "y", tr("y").alias("my"), (F.col("x") - tr("x")).alias("xd"))
+    b = d.where("train").groupBy("exposure").agg((F.sum(F.col("xd") * (F.col("y") - F.col("my"))) / F.sum(F.col("xd") * F.col("xd"))).alias("b"))
+    t = d.where("not train and my is not null").join(F.broadcast(b), "exposure")
+    e = F.col("y") - F.col("my") - F.col("b") * F.col("xd")
+    return t.groupBy("exposure").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rmse_zero")).withColumn(
+        "gain_frac", 1 - F.col("rmse") / F.col("rmse_zero"))
+
+
+# ------------------------------------------------------------------ selection and explanation
+def boruta(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], rounds: int = 3) -> DataFrame:
+    """Hits of each feature over the best shuffled shadow in repeated forests, with the binomial tail."""
+    import math
+
+    hits = dict.fromkeys(features, 0)
+    base = df.select(*key, *features, label).dropna().persist()
+    for r in range(rounds):
+        d = base
+        for f in features:
+            d = shuffled(d.withColumn(f"s_{f}", F.col(f)), f"s_{f}", key, SEED + r)
+        allf = [*features, *[f"s_{f}" for f in features]]
+        m = RandomForestRegressor(numTrees=10, maxDepth=4, seed=SEED + r, labelCol=label, featuresCol="features").fit(assembled(d, allf, label))
+        imp = dict(zip(allf, m.featureImportances.toArray()))
+        best = max(imp[f"s_{f}"] for f in features)
+        for f in features:
+            hits[f] += int(imp[f] > best)
+    base.unpersist()
+    tail = lambda h: sum(math.comb(rounds, k) for k in range(h, rounds + 1)) / 2.0**rounds
+    return df.sparkSession.createDataFrame([(f, h, tail(h)) for f, h in hits.items()], "feature string, hits int, p double")
+
+
+def selection_methods(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(method, feature, rank): recursive elimination, lasso entry, forest importance, absolute correlation."""
+    d = assembled(df, features, label).persist()
+    sd = d.agg(*[F.stddev(f).alias(f) for f in features]).first()
+    rows = []
+    left = list(features)
+    while left:
+        v = VectorAssembler(inputCols=left, outputCol="fv").transform(d)
+        m = LinearRegression(labelCol=label, featuresCol="fv", regParam=1e-6).fit(v)
+        strength = {f: abs(c) * (sd[f] or 0.0) for f, c in zip(left, m.coefficients.toArray())}
+        worst = min(left, key=lambda f: (strength[f], f))
+        rows.append(("elimination", worst, len(left)))
+        left.remove(worst)
+    entered: list[str] = []
+    for reg in (0.1, 0.03, 0.01, 0.003, 0.001, 1e-5):
+        m = LinearRegression(labelCol=label, featuresCol="features", regParam=reg, elasticNetParam=1.0).fit(d)
+        for f, c in zip(features, m.coefficients.toArray()):
+            if abs(c) > 1e-12 and f not in entered:
+                entered.append(f)
+    entered += [f for f in features if f not in entered]
+    rows += [("lasso", f, i + 1) for i, f in enumerate(entered)]
+    imp = RandomForestRegressor(numTrees=10, maxDepth=4, seed=SEED, labelCol=label, featuresCol="features").fit(d).featureImportances.toArray()
+    cor = d.agg(*[F.abs(F.corr(f, label)).alias(f) for f in features]).first()
+    for name, score in (("forest", dict(zip(features, imp))), ("correlation", cor.asDict())):
+        rows += [(name, f, i + 1) for i, f in enumerate(sorted(features, key=lambda f: (-(score[f] or 0.0), f)))]
+    d.unpersist()
+    return df.sparkSession.createDataFrame(rows, "method string, feature string, rank int")
+
+
+def consensus(methods: DataFrame, top: int, votes: int = 3) -> DataFrame:
+    """Features among the ``top`` of at least ``votes`` methods."""
+    return methods.where(F.col("rank") <= top).groupBy("feature").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+
+
+def interaction_search(first: DataFrame, second: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Gain in R2 of every pairwise product over the linear base, on one half and again on the other."""
+    from gridloom.operators.moments import horse_race
+
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    specs = {"base": list(features)} | {f"{a} x {b}": [*features, f"{a}__{b}"] for a, b in pairs}
+
+    def run(d, out):
+        d = d.select(*features, label, *[(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
+        h = horse_race(d, label, specs)
+        h = with_scalars(h, h.where("spec = 'base'").select("r2_within"), "b")
+        return h.where("spec <> 'base'").select("spec", (F.col("r2_within") - F.col("b.r2_within")).alias(out))
+
+    return run(first, "gain").join(run(second, "gain_again"), "spec")
+
+
+def partial_dependence(model, df: DataFrame, features: Sequence[str], feature: str, grid: DataFrame) -> DataFrame:
+    """Mean prediction with one feature set to each value of a short grid table (``value``)."""
+    arr = grid.agg(F.sort_array(F.collect_set("value")).alias("vs"))
+    d = with_scalars(df.dropna(subset=list(features)), arr, "_g").withColumn("grid", F.explode("_g.vs")).drop("_g")
+    d = d.withColumn(feature, F.col("grid"))
+    p = model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(d))
+    return p.groupBy("grid").agg(F.avg("prediction").alias("mean_prediction"), F.count("*").alias("n"))
+
+
+def counterfactual_flips(model, rows: DataFrame, features: Sequence[str], feature: str, grid: DataFrame, entity: str = "entity") -> DataFrame:
+    """Nearest grid value of a feature that flips the sign of the prediction, per row."""
+    arr = grid.agg(F.sort_array(F.collect_set("value")).alias("vs"))
+    asm = VectorAssembler(inputCols=list(features), outputCol="features")
+    base = model.transform(asm.transform(rows)).withColumn("p0", F.col("prediction")).drop("features", "prediction").withColumn("x0", F.col(feature))
+    d = with_scalars(base, arr, "_g").withColumn(feature, F.explode("_g.vs")).drop("_g")
+    p = model.transform(asm.transform(d)).where(F.signum("prediction") != F.signum("p0"))
+    flip = p.groupBy(entity).agg(F.min_by(feature, F.struct(F.abs(F.col(feature) - F.col("x0")), F.col(feature))).alias("flip_value"))
+    return base.select(entity, "p0", "x0").join(flip, entity, "left")
+
+
+def tune(df: DataFrame, features: Sequence[str], label: str, date: str, regs: Sequence[float], mixes: Sequence[float]) -> DataFrame:
+    """Penalty grid scored on a later slice of the training dates only."""
+    d = with_scalars(assembled(df, features, label), split_date(df, 0.5, date), "_s").persist()
+    tr, va = d.where(F.col(date) <= F.date_sub("_s.split", 1)), d.where(F.col(date) > F.col("_s.split"))
+    out = None
+    for r in regs:
+        for a in mixes:
+            m = LinearRegression(labelCol=label, featuresCol="features", regParam=r, elasticNetParam=a).fit(tr)
+            e = (F.col(label) - F.col("prediction")) ** 2
+            row = m.transform(va).agg(F.sqrt(F.avg(e)).alias("rmse")).select(F.lit(r).alias("reg"), F.lit(a).alias("mix"), "rmse")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def market_regimes(series: DataFrame, cols: Sequence[str], k: int = 3, date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """(labelled dates, transition shares) from k-means on standardised date-grain market series."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler
+
+    d = VectorAssembler(inputCols=list(cols), outputCol="raw", handleInvalid="skip").transform(series.dropna(subset=list(cols)))
+    d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
+    lab = KMeans(k=k, seed=SEED).fit(d).transform(d).select(date, *cols, F.col("prediction").alias("state")).withColumn("_g", F.lit(1))
+    nxt = lab.withColumn("next_state", F.lead("state").over(Window.partitionBy("_g").orderBy(date))).where("next_state is not null")
+    t = nxt.groupBy("state", "next_state").agg(F.count("*").alias("n"))
+    t = t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
+    return lab.drop("_g"), t
+
+
+def mix_axes(mix: DataFrame, by: Sequence[str], categories: Sequence[str], k: int = 3) -> DataFrame:
+    """Leading components of standardised category shares."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    w = mix.groupBy(*by).pivot("category", list(categories)).agg(F.first("share")).fillna(0.0)
+    d = VectorAssembler(inputCols=list(categories), outputCol="raw").transform(w)
+    d = StandardScaler(inputCol="raw", outputCol="z", withMean=True).fit(d).transform(d)
+    p = PCA(k=k, inputCol="z", outputCol="pc").fit(d).transform(d)
+    return p.select(*by, *[vector_to_array("pc")[i].alias(f"axis{i + 1}") for i in range(k)])
+
+
+def activity_index(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """First principal component of standardised columns; the k x k correlation matrix is solved on the driver."""
+    import numpy as np
+
+    st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev(c).alias(f"s_{c}") for c in cols],
+                *[F.corr(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]).first()
+    k = len(cols)
+    c = np.array([[st[f"c_{i}_{j}"] if i != j else 1.0 for j in range(k)] for i in range(k)], float)
+    v = np.linalg.eigh(c)[1][:, -1]
+    v = v * (1.0 if v.sum() >= 0 else -1.0)
+    e = F.lit(0.0)
+    for w, x in zip(v, cols):
+        e = e + float(w) * (F.col(x) - float(st[f"m_{x}"])) / float(st[f"s_{x}"])
+    return df.select(*keep, e.alias("idx_activity"))
