@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.num import div
 from gridloom.operators.joins import with_scalars
+from gridloom.operators.quantiles import running
 
 
 def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -48,14 +49,12 @@ def net_flow(df: DataFrame, origin: str, destination: str) -> DataFrame:
 
 def weighted_stats(df: DataFrame, by: Sequence[str], value: str, weight: str, threshold: float) -> DataFrame:
     """Weighted mean, lower weighted median and weight at or above a threshold."""
-    g = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    t = Window.partitionBy(*by)
-    g = g.withColumn("cum", F.sum("w").over(w)).withColumn("tot", F.sum("w").over(t))
+    g = running(df, value, by, [weight])
+    v, w = F.col("v"), F.col(weight)
     return g.groupBy(*by).agg(
-        (F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("w_mean"),
-        F.min(F.when(F.col("cum") * 2 >= F.col("tot"), F.col(value))).alias("w_median"),
-        F.sum(F.when(F.col(value) >= threshold, F.col("w")).otherwise(0)).cast("long").alias("w_above"))
+        (F.sum(v * w) / F.sum(w)).alias("w_mean"),
+        F.min(F.when(F.col(f"c_{weight}") * 2 >= F.col(f"g_{weight}"), v)).alias("w_median"),
+        F.sum(F.when(v >= threshold, w).otherwise(0)).cast("long").alias("w_above"))
 
 
 def concentration(df: DataFrame, by: Sequence[str], value: str, top: int = 10) -> DataFrame:

@@ -15,6 +15,7 @@ from gridloom.operators.inference import nw_mean, nw_panel, per_date_mean
 from gridloom.operators.joins import leave_one_out, peer_mean, with_scalars
 from gridloom.operators.moments import attach, coefficients, complete, demean, panel_ols, _lin
 from gridloom.operators.quantiles import exact_quantiles, running
+from gridloom.session import materialise
 
 GAP_EDGES = (0.0, 0.02, 0.04, 0.06, 0.10)
 GAP_LABELS = ("0-2%", "2-4%", "4-6%", "6-10%", ">10%")
@@ -34,7 +35,7 @@ def band_table(df: DataFrame, dev: str = "dev", edges: Sequence[float] = GAP_EDG
     """Mean closure per gap bin with HAC error on the per-date series; thin bins stay without a mean."""
     by = list(by)
     d = closures(df, dev, entity, date, calendar_exact).withColumn("bin", S.cut_bins("absdev_lag", edges, labels))
-    d = d.where("bin is not null and closure_pp is not null").select(*by, "bin", date, "closure_pp")
+    d = materialise(d.where("bin is not null and closure_pp is not null").select(*by, "bin", date, "closure_pp"), "bands")
     n = d.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("closure_pp").alias("m"))
     s = nw_panel(d, "closure_pp", date, [*by, "bin"]).select(*by, "bin", F.col("mean").alias("date_mean"), "se", "t", F.col("n").alias("n_dates"))
     j = n.join(s, [*by, "bin"])
@@ -80,6 +81,7 @@ def threshold_grid(df: DataFrame, y: str, x: str, lo: float = 0.02, hi: float =
     by = list(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, entity, F.col(x).alias("x"), F.col(y).alias("y"), F.abs(x).alias("ax"), F.signum(x).alias("s"))
+    d = materialise(d, "threshold")
     probs = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
     q = exact_quantiles(d if grid_of is None else grid_of, "ax", probs)
     grid = q.agg(F.array_sort(F.collect_set(F.round("q", 6))).alias("grid"))
@@ -147,6 +149,7 @@ def threshold_estimate(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def threshold_bootstrap(df: DataFrame, y: str, x: str, draws: int = 20, seed: int = 7, entity="entity", date="date", **grid) -> DataFrame:
     """Share of sign-flip draws under the linear null whose best gain reaches the observed one."""
     d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(entity, date, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+    d = materialise(d, "bootstrap")
     rows, beta, names = coefficients(d, "y", ["x"], fe=[entity])
     # fitted values and residuals of the demeaned linear model, aligned by key
     w = Window.partitionBy(entity)
@@ -232,7 +235,7 @@ def morans_permutation(df: DataFrame, value: str, group: str, entity="entity", d
 def iv_ols(df: DataFrame, y: str, endog: str, instrument: str, exog: Sequence[str] = (), fe: Sequence[str] = (), cluster: Sequence[str] = (), weak: float = 10.0) -> DataFrame:
     """Two-stage least squares as two moment regressions; first-stage F of the instrument."""
     keep = list(dict.fromkeys([*fe, *cluster]))
-    d = complete(df, [y, endog, instrument, *exog], keep)
+    d = materialise(complete(df, [y, endog, instrument, *exog], keep), "iv")
     rows, beta, names = coefficients(d, endog, [instrument, *exog], fe=fe)
     first = panel_ols(d, endog, [instrument, *exog], fe=fe, cluster=cluster).where(F.col("term") == instrument)
     src = d.withColumn("const", F.lit(1.0)) if "const" in names else d
@@ -417,26 +420,29 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     return g.select(n1.alias("n_on"), n2.alias("n_off"), u.alias("u"), ((u - n1 * n2 / 2.0) / sd).alias("z"))
 
 
-def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 25, eps: float = 1e-4) -> DataFrame:
+def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 25, eps: float = 1e-4, tol: float = 1e-4) -> DataFrame:
     """Slope and intercept per quantile by iteratively reweighted least squares.
 
     Each pass is one weighted-moment aggregate for all quantiles; only the coefficients come back.
     """
     d = complete(df, [y, x]).persist()
     coef = {t: (0.0, 0.0) for t in taus}
+    c = F.col
     for _ in range(iters):
-        aggs = []
-        for i, t in enumerate(taus):
-            a, b = coef[t]
-            u = F.col(y) - F.lit(a) - F.lit(b) * F.col(x)
-            w = F.when(u < 0, 1 - t).otherwise(t) / F.greatest(F.abs(u), F.lit(eps))
-            aggs += [F.sum(w).alias(f"w{i}"), F.sum(w * F.col(x)).alias(f"x{i}"), F.sum(w * F.col(y)).alias(f"y{i}"),
-                     F.sum(w * F.col(x) * F.col(x)).alias(f"xx{i}"), F.sum(w * F.col(x) * F.col(y)).alias(f"xy{i}")]
-        r = d.agg(*aggs).first()
-        for i, t in enumerate(taus):
-            sw, sx, sy, sxx, sxy = (r[f"{k}{i}"] for k in ("w", "x", "y", "xx", "xy"))
-            b = (sxy - sx * sy / sw) / (sxx - sx * sx / sw)
-            coef[t] = ((sy - b * sx) / sw, b)
+        # the coefficients travel as one constant array, so the generated code is the same every pass
+        state = F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for t, (a, b) in coef.items()])
+        e = d.select(y, x, F.explode(state).alias("s")).select(y, x, "s.*").withColumn("u", c(y) - c("a") - c("b") * c(x))
+        e = e.withColumn("w", F.when(c("u") < 0, 1 - c("tau")).otherwise(c("tau")) / F.greatest(F.abs("u"), F.lit(eps)))
+        rows = e.groupBy("tau").agg(F.sum("w").alias("w"), F.sum(c("w") * c(x)).alias("x"), F.sum(c("w") * c(y)).alias("y"),
+                                    F.sum(c("w") * c(x) * c(x)).alias("xx"), F.sum(c("w") * c(x) * c(y)).alias("xy")).collect()
+        moved = 0.0
+        for r in rows:
+            b = (r["xy"] - r["x"] * r["y"] / r["w"]) / (r["xx"] - r["x"] * r["x"] / r["w"])
+            new = ((r["y"] - b * r["x"]) / r["w"], b)
+            moved = max(moved, *(abs(n - o) for n, o in zip(new, coef[r["tau"]])))
+            coef[r["tau"]] = new
+        if moved < tol:
+            break
     d.unpersist()
     return df.sparkSession.createDataFrame([(float(t), float(a), float(b)) for t, (a, b) in coef.items()], "tau double, intercept double, slope double")
 

@@ -107,8 +107,9 @@ def score_latest(df: DataFrame, path: str, features: Sequence[str], half_widths:
     return p.select(entity, F.col(date).alias("as_of"), "prediction", (F.col("prediction") - F.col("w.q")).alias("lo"), (F.col("prediction") + F.col("w.q")).alias("hi"))
 
 
-def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int = 64) -> DataFrame:
-    """Column permuted by hash within ``parts`` random parts: no ordering of the whole table."""
+def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int | None = None) -> DataFrame:
+    """Column permuted by hash within random parts (one per shuffle partition): no ordering of the whole table."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)))
     w = Window.partitionBy("_part")
     a = d.withColumn("_slot", F.row_number().over(w.orderBy(*key)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from gridloom.operators.joins import with_scalars
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, materialise
 
 
 def complete(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -141,6 +141,9 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
     """
     by, fe, cluster = list(by), list(fe), list(cluster)
     d, names = prepare(df, y, xs, fe, cluster, by, const)
+    if cluster:
+        # the moments and every cluster dimension read these rows again
+        d = materialise(d, "ols")
     k = len(names)
     g = gram(d, y, names, by)
     if min_n:

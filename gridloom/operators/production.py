@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridloom.functions import scalar as S
 from gridloom.functions.num import div
 from gridloom.operators.aggs import last_row
-from gridloom.operators.joins import BROADCAST_BYTES, alive_on_date, plan_bytes
+from gridloom.operators.joins import alive_on_date, enrich
+from gridloom.session import materialise
 
 # fixed values: confidence tiers by sample size
 TIERS = [(10_000, "high"), (1_000, "medium"), (100, "low")]
@@ -35,13 +36,11 @@ def key_table(catalogue: DataFrame, name: str, rate: str) -> DataFrame:
 def rate_join(events: DataFrame, catalogue: DataFrame, raw: str, name: str, rate: str) -> DataFrame:
     """Attach a rate by normalised name with plural fallback; ``how`` says which matched.
 
-    ``events`` comes aggregated to the raw name or finer counts; the catalogue is broadcast only
-    when the optimiser's estimate is small.
+    ``events`` comes aggregated to the raw name or finer counts; the key table is stored once and
+    broadcast only when it is small.
     """
-    keys = key_table(catalogue, name, rate)
-    if plan_bytes(catalogue) <= BROADCAST_BYTES:
-        keys = F.broadcast(keys)
-    j = events.withColumn("key", name_key(F.col(raw))).join(keys, "key", "left")
+    keys = materialise(key_table(catalogue, name, rate), "keys")
+    j = enrich(events.withColumn("key", name_key(F.col(raw))), keys, ["key"], "left", spread=raw)
     return j.withColumn("how", F.when(F.col("prio") == 0, "exact").when(F.col("prio") == 1, "plural").otherwise("none")).drop("prio")
 
 
@@ -119,9 +118,10 @@ def value_events(events: DataFrame, catalogue: DataFrame, classes: DataFrame, ke
     """
     by = list(by)
     c = F.col
-    small = plan_bytes(catalogue) <= BROADCAST_BYTES
     cat = catalogue.select(key, "status", "confidence", "completeness", "direct", "sale", "sale_open", "sale_realised")
-    d = events.join(F.broadcast(cat) if small else cat, key, "left").join(F.broadcast(classes) if plan_bytes(classes) <= BROADCAST_BYTES else classes, key, "left")
+    # one dimension, stored once: its size on disk decides between a broadcast and a salted shuffle
+    rates = materialise(cat.join(classes, key, "full"), "catalogue")
+    d = enrich(events, rates, [key], "left", spread=by[-1])
     boss, zero = F.coalesce(c("is_boss"), F.lit(False)), F.coalesce(c("known_zero"), F.lit(False))
     usable = ~zero & F.coalesce(c("status").isin("complete", "partial"), F.lit(False))
     n = c(count)
@@ -147,6 +147,7 @@ def category_rollup(events: DataFrame, key: str, raw: str, entity="entity", date
 def derive_daily(raw: DataFrame, population: DataFrame, ladder: Sequence[float] = LADDER, min_coverage: float = 0.80, entity="entity", date="date") -> DataFrame:
     """Coverage, scenario ladder, rates per head, running totals and quality flags, after all merges."""
     c = F.col
+    raw = materialise(raw, "daily")
     total = c("direct") + c("sale")
     d = raw.withColumn("coverage", div("modeled_nonboss", "nonboss")).withColumn("potential", total)
     d = d.withColumn("low_conf_share", div("low_conf_value", "potential")).withColumn("top_share", div("top_value", "potential"))

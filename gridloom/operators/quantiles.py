@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.operators.joins import with_scalars
+from gridloom.session import materialise
 
 BUCKETS = 64
 
@@ -26,6 +27,7 @@ def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str]
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("w"), *[F.sum(c).alias(c) for c in sums])
     )
+    base = materialise(base, "ranks")
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
     split = base.groupBy(*by).agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
     if by:
@@ -107,6 +109,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     by = list(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    d = materialise(d, "pairs")
     rx = average_rank(d, x, by).select(*by, F.col("v").alias(x), F.col("avg_rank").alias("rx"))
     ry = average_rank(d, y, by).select(*by, F.col("v").alias(y), F.col("avg_rank").alias("ry"))
     return d.join(rx, [*by, x]).join(ry, [*by, y]).groupBy(*by).agg(
@@ -119,12 +122,16 @@ def bin_edges(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> Data
     return q.groupBy(*by).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 
-def quantile_bins(df: DataFrame, value: str, k: int, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Right-closed quantile bins 1..k, lowest value included, duplicate edges dropped."""
+def quantile_bins(df: DataFrame, value: str, k: int, out: str, by: Sequence[str] = (), grid: bool = True) -> DataFrame:
+    """Right-closed quantile bins 1..k, lowest value included, duplicate edges dropped.
+
+    ``grid``: the groups are a fixed list (horizons, periods), so their edges are broadcast; pass
+    False for open-ended groups.
+    """
     by = list(by)
     e = bin_edges(df, value, k, by)
     if by:
-        j = df.join(F.broadcast(e), by)
+        j = df.join(F.broadcast(e) if grid else e, by)
     else:
         j = with_scalars(df, e, "_e").withColumn("edges", F.col("_e.edges")).drop("_e")
     idx = F.greatest(F.expr(f"size(filter(edges, c -> c < {value}))"), F.lit(1)).cast("long")

@@ -11,6 +11,7 @@ from gridloom.operators import windows as W
 from gridloom.operators.inference import independent_windows, nw_mean, nw_panel
 from gridloom.operators.joins import with_scalars
 from gridloom.operators.quantiles import exact_quantiles, quantile_bins
+from gridloom.session import materialise
 
 # fixed values: round-trip costs of a small offer and of one above the fee cap; entry band
 COSTS = {"small offer": 0.04, "above the fee cap": 0.01}
@@ -39,12 +40,13 @@ def qualifying(sig: DataFrame, band: float = BAND) -> DataFrame:
 
 def deciles(sig: DataFrame, value: str = "absdev", k: int = 10) -> DataFrame:
     """Signal-strength bins per horizon (exact edges)."""
-    return quantile_bins(sig, value, k, "decile", ["h"])
+    return quantile_bins(materialise(sig, "signals"), value, k, "decile", ["h"])
 
 
 def score(trades: DataFrame, by: Sequence[str], date="date") -> DataFrame:
     """Mean gross and net, hit rate, naive t, HAC t of the per-date mean with h lags, windows."""
     by = list(by)
+    trades = materialise(trades.select(*by, *[c for c in (date, "h", "absdev", "gross", "net") if c not in by]), "trades")
     g = trades.groupBy(*by).agg(
         F.count("*").alias("n"), (F.avg("absdev") * 100).alias("mean_absdev_pct"), (F.avg("gross") * 100).alias("gross_pct"),
         (F.avg("net") * 100).alias("net_pct"), F.avg((F.col("net") > 0).cast("double")).alias("share_profitable"),
@@ -85,7 +87,7 @@ def concentration_by_entity(trades: DataFrame, top: int = 5, entity="entity") ->
 
 def long_only(df: DataFrame, horizons: Sequence[int], band: float = BAND) -> DataFrame:
     """Holding return of cheap entities against the same day's average, per-date pairs with a HAC t."""
-    s = signals(df, horizons).where("hold is not null and dev_lag is not null")
+    s = materialise(signals(df, horizons).where("hold is not null and dev_lag is not null"), "hold")
     cheap = F.when(F.col("dev_lag") < -band, F.col("hold"))
     rich = F.when(F.col("dev_lag") > band, F.col("hold"))
     d = s.groupBy("h", "date").agg((F.avg(cheap) - F.avg("hold")).alias("paired")).where("paired is not null")
@@ -134,7 +136,7 @@ def holdout(df: DataFrame, horizons: Sequence[int], band: float = BAND, share: f
     sig = signals(df, horizons).where("gross is not null and dev_lag is not null")
     sig = with_scalars(sig, split_date(df, share), "s")
     period = F.when(F.col("date") <= F.expr("date_sub(s.split, h)"), "train").when(F.col("date") > F.col("s.split"), "holdout")
-    sig = sig.withColumn("period", period).where("period is not null").drop("s")
+    sig = materialise(sig.withColumn("period", period).where("period is not null").drop("s"), "holdout")
     cut = exact_quantiles(sig.where((F.col("period") == "train") & (F.col("absdev") > band)), "absdev", [q], ["h"]).select("h", F.col("q").alias("cutoff"))
     t = sig.join(F.broadcast(cut), "h").where("absdev >= cutoff").withColumn("net", F.col("gross") - cost)
     return score(t, ["h", "period"]).join(cut, "h")
@@ -153,9 +155,10 @@ def dispersion_regime(df: DataFrame, horizons: Sequence[int], within: bool = Fal
     else:
         sig = sig.withColumn("period", F.lit("all"))
     keys = ["period", "h"]
+    sig = materialise(sig, "regime")
     cut = exact_quantiles(sig.where(F.col("absdev") > band), "absdev", [0.9], keys).select(*keys, F.col("q").alias("cutoff"))
     b = sig.join(F.broadcast(cut), keys).where("absdev >= cutoff").withColumn("net", F.col("gross") - cost)
-    b = quantile_bins(b, "disp", 3, "tercile", keys)
+    b = materialise(quantile_bins(materialise(b, "regime"), "disp", 3, "tercile", keys), "regime")
     out = score(b, [*keys, "tercile"])
     return out.join(b.groupBy(*keys, "tercile").agg((F.avg("disp") * 100).alias("mean_disp_pct")), [*keys, "tercile"])
 
@@ -167,6 +170,7 @@ def selector_comparison(df: DataFrame, horizons: Sequence[int], cost: float = LA
     sel = F.explode(F.array(F.struct(F.lit("raw").alias("selector"), F.col("absdev").alias("v")),
                             F.struct(F.lit("normalised").alias("selector"), (F.col("absdev") / F.col("disp")).alias("v")))).alias("z")
     x = sig.select("entity", "date", "h", "absdev", "gross", sel).select("entity", "date", "h", "absdev", "gross", "z.selector", "z.v")
+    x = materialise(x, "selector")
     cut = exact_quantiles(x, "v", [0.9], ["h", "selector"]).select("h", "selector", F.col("q").alias("cutoff"))
     t = x.join(F.broadcast(cut), ["h", "selector"]).where("v >= cutoff").withColumn("net", F.col("gross") - cost)
     return score(t, ["h", "selector"])

@@ -83,8 +83,8 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS cum, sum(w
 SELECT l_returnflag, {r("sum(v * w) / sum(w)")} AS w_mean, {r("min(v) FILTER (cum * 2 >= tot)")} AS w_median,
   CAST(sum(CASE WHEN v >= 40 THEN w ELSE 0 END) AS BIGINT) AS w_above FROM c GROUP BY 1""")
 def a8(t):
-    d = t.lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("w"))
-    return A.weighted_stats(d, ["l_returnflag"], "l_quantity", "w", 40).select(
+    d = t.lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("lines"))
+    return A.weighted_stats(d, ["l_returnflag"], "l_quantity", "lines", 40).select(
         "l_returnflag", rnd("w_mean").alias("w_mean"), rnd("w_median").alias("w_median"), "w_above")
 
 

@@ -312,22 +312,19 @@ def f11(t):
 
 
 @query("f12_array_family", """
-WITH a AS (SELECT l_orderkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS q, list_sort(list(l_partkey)) AS p FROM lineitem GROUP BY 1)
-SELECT l_orderkey, CAST(len(q) AS BIGINT) AS n, q[1] + coalesce(q[2], 0) + coalesce(q[3], 0) AS first3,
-  CAST(len(list_filter(q, lambda x: x < 25)) AS BIGINT) AS searchsorted,
-  CAST(list_sum(list_transform(range(1, least(len(q), 3) + 1), lambda i: q[i] * p[i])) AS BIGINT) AS dot3 FROM a""")
+WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(html, '<p>([^<]*)', 1) AS p FROM pages)
+SELECT page_id, CAST(len(h) AS BIGINT) AS n_links, CAST(least(len(h), len(p)) AS BIGINT) AS n_zip, array_to_string(h[1:3], '|') AS first3,
+  CAST(len(list_filter(h, lambda x: x < '/n')) AS BIGINT) AS searchsorted, CAST(coalesce(list_sum(list_transform(range(1, least(len(h), len(p)) + 1), lambda i: length(h[i]) * length(p[i]))), 0) AS BIGINT) AS dot FROM a""")
 def f12(t):
-    """Order lines per order as arrays (bounded by the lines of one order)."""
-    a = t.lineitem.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.col("l_quantity").cast("long"))).alias("q"),
-        F.array_sort(F.collect_list("l_partkey")).alias("p"))
-    a = a.withColumn("k", F.least(F.size("q"), F.size("p"), F.lit(3)))
-    z = F.arrays_zip(F.slice("q", F.lit(1), F.col("k")).alias("a"), F.slice("p", F.lit(1), F.col("k")).alias("b"))
+    """Zip, truncate to the shorter, slice, position in a sorted order: arrays of one page each."""
+    a = t.pages.select("page_id", F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1).alias("h"),
+                       F.regexp_extract_all("html", F.lit("<p>([^<]*)"), 1).alias("p"))
+    a = a.withColumn("k", F.least(F.size("h"), F.size("p")))
+    z = F.arrays_zip(F.slice("h", F.lit(1), F.col("k")).alias("a"), F.slice("p", F.lit(1), F.col("k")).alias("b"))
     return a.select(
-        "l_orderkey", F.size("q").cast("long").alias("n"),
-        F.aggregate(F.slice("q", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, x: s + x).alias("first3"),
-        F.size(F.filter("q", lambda x: x < 25)).cast("long").alias("searchsorted"),
-        F.aggregate(z, F.lit(0).cast("long"), lambda s, x: s + x["a"] * x["b"]).alias("dot3"))
+        "page_id", F.size("h").cast("long").alias("n_links"), F.col("k").cast("long").alias("n_zip"),
+        F.array_join(F.slice("h", 1, 3), "|").alias("first3"), F.size(F.filter("h", lambda x: x < "/n")).cast("long").alias("searchsorted"),
+        F.aggregate(z, F.lit(0).cast("long"), lambda s, x: s + F.length(x["a"]).cast("long") * F.length(x["b"])).alias("dot"))
 
 
 @query("f13_json_family", """

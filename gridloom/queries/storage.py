@@ -32,8 +32,8 @@ def s2(t):
     path = scratch(t.spark, "books")
     o = F.struct("name", "amount", "price", F.unix_timestamp(F.col("time").cast("timestamp")).cast("double").alias("time"))
     side = lambda k: F.collect_list(F.when(F.col("side") == k, o))
-    docs = t.book.groupBy("entity", F.date_trunc("month", "time").alias("m")).agg(side("sell").alias("sellers"), side("buy").alias("buyers"))
-    docs.select("entity", F.unix_timestamp("m").cast("double").alias("update_time"), "sellers", "buyers").repartition("entity").write.partitionBy("entity").json(path)
+    docs = t.book.groupBy("entity", F.col("time").alias("m"), F.floor(F.col("offer_id") / 1000)).agg(side("sell").alias("sellers"), side("buy").alias("buyers"))
+    docs.select("entity", F.unix_timestamp(F.col("m").cast("timestamp")).cast("double").alias("update_time"), "sellers", "buyers").repartition("entity").write.partitionBy("entity").json(path)
     d = files.read_order_books(t.spark, path, multi_line=False)
     return d.select("entity", "side", "name", "amount", rnd("price", 4).alias("price"), F.to_date(F.timestamp_seconds("time")).alias("day"))
 

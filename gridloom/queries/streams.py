@@ -64,14 +64,15 @@ def t6(t):
 
 @query("t7_running_stock", "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS stock FROM events GROUP BY 1")
 def t7(t):
-    d = T.run_to_table(T.running_stock(stream(t).withColumn("c", cents("value")), "user_id", "c", "1 hour"), "t7")
-    return d.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("stock", "n").alias("stock"))
+    return T.running_stock(stream(t).withColumn("c", cents("value")), "user_id", "c")
 
 
 @query("t8_staleness_alert", f"""
-SELECT user_id, CAST(epoch_ms(max(ts)) AS BIGINT) AS last_ms FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + 43200000 < epoch_ms({CLOSED})""")
+WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
+SELECT user_id, ts AS last_seen, ts + INTERVAL 2 DAY AS alert_at FROM g WHERE (nx IS NULL OR nx - ts >= INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY <= {CLOSED}""")
 def t8(t):
-    return T.run_to_table(T.staleness_alerts(stream(t), "user_id", 0.5, "1 hour"), "t8")
+    d = T.run_to_table(T.staleness_alerts(stream(t), "user_id", "2 days", "1 hour"), "t8")
+    return d.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "alert_at")])
 
 
 @query("t9_stream_static_enrich", """

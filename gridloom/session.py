@@ -48,6 +48,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate that several later passes read, once, as Parquet in the shared folder.
+
+    Later passes scan only the columns they need instead of repeating joins and shuffles, and a
+    lost executor costs a re-read.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     shared_dir(df.sparkSession)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.operators.joins import enrich
 from gridloom.operators.tables import upsert
@@ -85,38 +83,24 @@ def apply_corrections(stream: DataFrame, base: DataFrame, keys: list[str], path:
     return spark.read.parquet(f"{path}/v{versions['last']}")
 
 
-def running_stock(stream: DataFrame, key: str, value: str, delay: str) -> DataFrame:
-    """Running count and sum per key; the state is two numbers, updated once per batch."""
+def running_stock(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """Running count and sum per key: a built-in streaming aggregate, combined before the shuffle.
 
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s = state.get if state.exists else (0, 0)
-        for p in parts:
-            n, s = n + len(p), s + int(p[value].sum())
-        state.update((n, s))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "stock": [s]})
-
-    return stream.withWatermark("ts", delay).select(key, value, "ts").groupBy(key).applyInPandasWithState(
-        update, f"{key} long, n long, stock long", "n long, stock long", "append", GroupStateTimeout.NoTimeout)
-
-
-def staleness_alerts(stream: DataFrame, key: str, silence_days: float, delay: str) -> DataFrame:
-    """One alert per key whose last event lies ``silence_days`` behind the watermark."""
-    wait = int(silence_days * 86_400_000)
+    Every batch appends the keys it changed under its own id; the latest row per key is the stock.
+    """
+    g = stream.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("stock"))
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stock")
+    q = (g.writeStream.outputMode("update").option("checkpointLocation", f"{out}-state")
+         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    d = spark.read.schema(g.schema).parquet(out)
+    return d.groupBy(key).agg(F.max("n").alias("n"), F.max_by("stock", "n").alias("stock"))
 
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "last_ms": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        for p in parts:
-            last = max(last, int(p["ms"].max()))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
 
-    d = stream.withWatermark("ts", delay).select(key, "ts", F.unix_millis("ts").alias("ms"))
-    return d.groupBy(key).applyInPandasWithState(update, f"{key} long, last_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+def staleness_alerts(stream: DataFrame, key: str, silence: str, delay: str) -> DataFrame:
+    """An alert per key and silence: the session ends once the watermark has passed last event + ``silence``."""
+    g = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", silence), key).agg(F.max("ts").alias("last_seen"))
+    return g.select(key, "last_seen", F.col("session_window.end").alias("alert_at"))
 
 
 def enriched(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
