@@ -38,9 +38,10 @@ def entity_summary(df: DataFrame, price: str, ret: str, volume: str, entity="ent
         F.percentile(volume, F.lit(0.5)).alias("volume_median"))
 
 
-def net_flow(df: DataFrame, origin: str, destination: str) -> DataFrame:
-    i = df.groupBy(F.col(destination).alias("entity")).agg(F.count("*").alias("inflow"))
-    o = df.groupBy(F.col(origin).alias("entity")).agg(F.count("*").alias("outflow"))
+def net_flow(df: DataFrame, origin: str, destination: str, weight: str) -> DataFrame:
+    """Inflow by destination against outflow by origin; ``weight`` counts the moves behind a row."""
+    i = df.groupBy(F.col(destination).alias("entity")).agg(F.sum(weight).alias("inflow"))
+    o = df.groupBy(F.col(origin).alias("entity")).agg(F.sum(weight).alias("outflow"))
     z = F.lit(0).cast("long")
     return i.join(o, "entity", "full").select(
         "entity", F.coalesce("inflow", z).alias("inflow"), F.coalesce("outflow", z).alias("outflow"),

@@ -74,6 +74,9 @@ def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """beta (k) followed by the flattened inverse (k*k)."""
     out = []
     for a, b in zip(xx, xy):
+        if a is None or b is None or not np.isfinite(np.asarray(a, float)).all():
+            out.append(None)
+            continue
         k = len(b)
         inv = np.linalg.pinv(np.asarray(a, float).reshape(k, k))
         out.append(np.concatenate([inv @ np.asarray(b, float), inv.ravel()]).tolist())
@@ -85,6 +88,9 @@ def _sandwich(inv: pd.Series, meats: pd.Series) -> pd.Series:
     """Standard errors of inv @ (sum of meats) @ inv after projection on the PSD cone; several meats give the floor."""
     out = []
     for a, ms in zip(inv, meats):
+        if a is None or ms is None or any(m is None or not np.isfinite(np.asarray(m, float)).all() for m in ms):
+            out.append(None)
+            continue
         k = int(round(len(a) ** 0.5))
         a = np.asarray(a, float).reshape(k, k)
         best = None

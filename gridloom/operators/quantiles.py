@@ -13,14 +13,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.operators.joins import with_scalars
+from gridloom.operators.joins import enrich, with_scalars
 from gridloom.session import materialise
 
 BUCKETS = 64
 
 
-def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
-    """Distinct (by, v) with weight w and summed columns, plus the range ``b`` the value falls in."""
+def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str] = (), grid: bool = True) -> DataFrame:
+    """Distinct (by, v) with weight w and summed columns, plus the range ``b`` the value falls in.
+
+    ``grid`` says the groups are a fixed list, whose splitters are broadcast; open-ended groups
+    are stored first, so that their real size decides between a broadcast and a salted join.
+    """
     by = list(by)
     base = (
         df.where(F.col(value).isNotNull())
@@ -31,7 +35,7 @@ def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str]
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
     split = base.groupBy(*by).agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
     if by:
-        j = base.join(split, by)
+        j = base.join(F.broadcast(split), by) if grid else enrich(base, materialise(split, "cuts"), by, "inner", spread="v")
     else:
         j = with_scalars(base, split, "k").withColumn("cuts", F.col("k.cuts")).drop("k")
     return j.withColumn("b", F.expr("size(filter(cuts, c -> c < v))")).drop("cuts")
@@ -47,11 +51,11 @@ def _offsets(buck: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFra
         *[F.sum(f"t_{c}").over(order).alias(f"g_{c}") for c in sums])
 
 
-def running(df: DataFrame, value: str, by: Sequence[str] = (), sums: Sequence[str] = ()) -> DataFrame:
+def running(df: DataFrame, value: str, by: Sequence[str] = (), sums: Sequence[str] = (), grid: bool = True) -> DataFrame:
     """Distinct values with weight ``w``, ``c_x`` = sum of x over values <= v, ``g_x`` = group total."""
     by = list(by)
     cols = ["w", *sums]
-    buck = _bucketed(df, value, by, sums)
+    buck = _bucketed(df, value, by, sums, grid)
     off = _offsets(buck, by, cols)
     w = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inner = buck.select(*by, "b", "v", *cols, *[F.sum(c).over(w).alias(f"i_{c}") for c in cols])
@@ -60,10 +64,10 @@ def running(df: DataFrame, value: str, by: Sequence[str] = (), sums: Sequence[st
                     *[f"g_{c}" for c in cols])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), grid: bool = True) -> DataFrame:
     """Rows (by..., prob, q): linear-interpolated quantiles, equal to sorting the whole group."""
     by = list(by)
-    run = running(df, value, by)
+    run = running(df, value, by, (), grid)
     # ranks c_w - w .. c_w - 1 (0-based) carry this value; keep the probabilities that need one of them
     arr = ", ".join(f"{float(x)!r}D" for x in probs)
     hit = ("(c_w - w <= floor(p * (g_w - 1)) and floor(p * (g_w - 1)) < c_w) or "
@@ -91,9 +95,9 @@ def quantile_row(df: DataFrame, value: str, named: dict[str, float]) -> DataFram
     return q.agg(*[F.max(F.when(F.abs(F.col("prob") - p) < 1e-12, F.col("q"))).alias(n) for n, p in named.items()])
 
 
-def quantile_wide(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str]) -> DataFrame:
+def quantile_wide(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str], grid: bool = True) -> DataFrame:
     """One row per group with a column per named probability."""
-    q = exact_quantiles(df, value, list(named.values()), by)
+    q = exact_quantiles(df, value, list(named.values()), by, grid)
     return q.groupBy(*by).agg(
         *[F.max(F.when(F.abs(F.col("prob") - p) < 1e-12, F.col("q"))).alias(n) for n, p in named.items()])
 
@@ -116,9 +120,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
         F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
-def bin_edges(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+def bin_edges(df: DataFrame, value: str, k: int, by: Sequence[str] = (), grid: bool = True) -> DataFrame:
     """Array ``edges`` of the k-1 inner quantile edges per group, duplicates dropped."""
-    q = exact_quantiles(df, value, [i / k for i in range(k + 1)], by)
+    q = exact_quantiles(df, value, [i / k for i in range(k + 1)], by, grid)
     return q.groupBy(*by).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 
@@ -129,7 +133,7 @@ def quantile_bins(df: DataFrame, value: str, k: int, out: str, by: Sequence[str]
     False for open-ended groups.
     """
     by = list(by)
-    e = bin_edges(df, value, k, by)
+    e = bin_edges(df, value, k, by, grid)
     if by:
         j = df.join(F.broadcast(e) if grid else e, by)
     else:

@@ -1,0 +1,64 @@
+"""Thin end-to-end compositions of the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from gridloom.functions import scalar as S
+from gridloom.functions.num import mean_skipnull
+from gridloom.operators import econometrics as E, evaluation as V, features as X, inference as I, quality as D, strategy as G, windows as W
+from gridloom.session import materialise
+
+
+def clean_panel(sides: DataFrame, min_price: float = 1.0, book_band: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Gated side prices, their mean with a fallback to the book, outliers scrubbed, gap-checked returns.
+
+    Input at (entity, date) grain with sell, buy and book prices and quantities.
+    """
+    d = sides.withColumn("sell_ok", S.validity_gate("sell_price", "sell_qty", min_price)).withColumn(
+        "buy_ok", S.validity_gate("buy_price", "buy_qty", min_price))
+    mid = mean_skipnull("sell_ok", "buy_ok")
+    ref = F.percentile("book_price", F.lit(0.5)).over(Window.partitionBy("date"))
+    d = d.withColumn("mid", mid).withColumn("book_ok", S.in_ratio_band("book_price", ref, *book_band))
+    d = d.withColumn("price_raw", F.coalesce("mid", "book_ok")).withColumn(
+        "price_source", S.first_match([(F.col("mid").isNotNull(), "executed"), (F.col("book_ok").isNotNull(), "book")]))
+    d = W.mad_scrub(d.where("price_raw is not null"), "price_raw")
+    d = d.where("not is_outlier").withColumn("price", F.col("price_raw_clean")).withColumn(
+        "volume", F.col("sell_qty") + F.col("buy_qty"))
+    return W.gap_checked_return(d.select("entity", "date", "price", "price_source", "volume"), "price")
+
+
+def prices_to_decisions(panel: DataFrame, books: DataFrame, horizons=(1, 7, 30), band_pct: float = 5.0, round_trip_pct: float = 4.0) -> DataFrame:
+    """Panel with logp, ret_row and dev -> holdout evidence -> eligible horizon -> one call per entity."""
+    p = materialise(panel, "panel")
+    h = G.holdout(p, list(horizons)).where("period = 'holdout'").select(
+        F.col("h").alias("horizon"), F.col("net_pct").alias("net"), F.col("t_stat").alias("t"), "windows", "share_profitable", (F.col("cutoff") * 100).alias("cutoff"))
+    last = p.where("dev is not null").groupBy("entity").agg(
+        F.max("date").alias("as_of"), (F.max_by("dev", "date") * 100).alias("deviation"), (F.max_by("ret_row", "date") * 100).alias("predicted"),
+        (F.stddev("ret_row") * 128).alias("w"))
+    preds = last.select("entity", "as_of", "deviation", "predicted", (F.col("predicted") - F.col("w")).alias("lo80"), (F.col("predicted") + F.col("w")).alias("hi80"))
+    return D.decide(preds, books, D.eligible_horizon(h), band_pct, round_trip_pct)
+
+
+def verdicts(preds: DataFrame, date: str = "date") -> DataFrame:
+    """(model, fold, date, y, yhat) -> metrics, loss differentials against zero, corrected flags per model."""
+    p = materialise(preds.withColumn("zero", F.lit(0.0)), "predictions")
+    m = V.forecast_metrics(p, ["model", "fold"], "y", "yhat")
+    z = I.diebold_mariano(p, ["model", "fold"], date, "y", "yhat", "zero", 1).select("model", "fold", F.col("t").alias("z"))
+    j = m.join(z, ["model", "fold"])
+    s = j.groupBy("model").agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse"), F.avg("r2_oos").alias("r2_oos")).join(I.stouffer(j, ["model"], "z"), "model")
+    s = I.bh(I.normal_tail(s, "z_combined", "p"), "p", ["model"])
+    return s.withColumn("beats", F.col("bh_step_up") & (F.col("z_combined") < 0) & (F.col("r2_oos") > 0) & (F.col("n_better") > F.col("folds") / 2))
+
+
+def gap_study(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gap closure per band, threshold curve) of a deviation panel."""
+    d = W.row_lag(panel, "dev", "dev_lag")
+    return E.band_table(panel), E.threshold_ar(d, "dev", "dev_lag", points=20)
+
+
+def feature_matrix(panel: DataFrame) -> DataFrame:
+    """Targets and lagged features side by side, written once for the fits."""
+    f = X.price_features(panel)
+    y = X.forward_targets(panel.select("entity", "date", "logp", "ret_row"), (1, 7))
+    return materialise(f.join(y.select("entity", "date", "y_ret1", "y_ret7", "y_rel7"), ["entity", "date"]), "features")

@@ -70,11 +70,12 @@ WITH f AS (SELECT c_nationkey AS o, s_nationkey AS d FROM lineitem JOIN orders O
 SELECT coalesce(a.d, b.o) AS entity, coalesce(i, 0) AS inflow, coalesce(q, 0) AS outflow, coalesce(i, 0) - coalesce(q, 0) AS net
 FROM (SELECT d, count(*) AS i FROM f GROUP BY 1) a FULL JOIN (SELECT o, count(*) AS q FROM f GROUP BY 1) b ON a.d = b.o""")
 def a7(t):
-    li = t.lines.select("l_orderkey", F.col("entity").alias("destination"))
+    # combined per order before the join, so a repeated order key does not travel row by row
+    li = t.lines.groupBy("l_orderkey", F.col("entity").alias("destination")).agg(F.count("*").alias("moves"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("origin"))
     oc = J.enrich(o, c, ["o_custkey"], "inner", spread="l_orderkey")
-    return A.net_flow(li.join(oc, "l_orderkey"), "origin", "destination")
+    return A.net_flow(li.join(oc, "l_orderkey"), "origin", "destination", "moves")
 
 
 @query("a8_weighted_stats", f"""

@@ -22,7 +22,7 @@ def s1(t):
     path = scratch(t.spark, "snapshots")
     s = F.struct(F.lit(1).cast("long").alias("id"), F.unix_timestamp(F.col("date").cast("timestamp")).cast("double").alias("time"), "price", "volume")
     docs = t.panel.groupBy("entity", F.date_trunc("month", "date").alias("m")).agg(F.array(F.collect_list(s)).alias("snapshots"))
-    docs.select("entity", F.lit("ok").alias("status"), "snapshots").repartition("entity").write.partitionBy("entity").json(path)
+    docs.select("entity", F.lit("ok").alias("status"), "snapshots").repartition("entity", F.year(F.timestamp_seconds(F.col("snapshots")[0][0]["time"]))).write.partitionBy("entity").json(path)
     d = files.read_snapshots(t.spark, path, multi_line=False)
     return d.select("entity", F.to_date("ts").alias("date"), rnd("price", 4).alias("price"), rnd("volume", 2).alias("volume"))
 
@@ -33,7 +33,7 @@ def s2(t):
     o = F.struct("name", "amount", "price", F.unix_timestamp(F.col("time").cast("timestamp")).cast("double").alias("time"))
     side = lambda k: F.collect_list(F.when(F.col("side") == k, o))
     docs = t.book.groupBy("entity", F.col("time").alias("m"), F.floor(F.col("offer_id") / 1000)).agg(side("sell").alias("sellers"), side("buy").alias("buyers"))
-    docs.select("entity", F.unix_timestamp(F.col("m").cast("timestamp")).cast("double").alias("update_time"), "sellers", "buyers").repartition("entity").write.partitionBy("entity").json(path)
+    docs.select("entity", F.unix_timestamp(F.col("m").cast("timestamp")).cast("double").alias("update_time"), "sellers", "buyers").repartition("entity", F.year(F.timestamp_seconds("update_time"))).write.partitionBy("entity").json(path)
     d = files.read_order_books(t.spark, path, multi_line=False)
     return d.select("entity", "side", "name", "amount", rnd("price", 4).alias("price"), F.to_date(F.timestamp_seconds("time")).alias("day"))
 
@@ -42,7 +42,7 @@ def s2(t):
 def s3(t):
     path = scratch(t.spark, "counts")
     docs = t.counts.groupBy("entity", "date").agg(F.collect_list(F.struct("category", "n")).alias("entries"))
-    docs.repartition("date").write.partitionBy("date").json(path)
+    docs.repartition("date", F.col("entity") % 2).write.partitionBy("date").json(path)
     return files.read_event_counts(t.spark, path, multi_line=False)
 
 
@@ -139,7 +139,7 @@ def s13(t):
 @query("k1_write_table", with_(f"SELECT entity, date, {r('price', 4)} AS price, CAST(year(date) AS INTEGER) AS year FROM panel"))
 def k1(t):
     path = scratch(t.spark, "panel")
-    K.write_parquet(t.panel.withColumn("year", F.year("date")).repartition("year"), path, ["year"])
+    K.write_parquet(t.panel.withColumn("year", F.year("date")).repartition("year", F.month("date") % 3), path, ["year"])
     return t.spark.read.parquet(path).select("entity", "date", rnd("price", 4).alias("price"), F.col("year").cast("int").alias("year"))
 
 

@@ -65,7 +65,7 @@ SELECT b.entity, CAST(sum(amount) AS BIGINT) AS depth, CAST(coalesce(sum(amount)
  {r('CAST(coalesce(sum(amount) FILTER (price / ref - 1 > -0.05), 0) AS DOUBLE) / sum(amount)')} AS near_share, {r('sum(amount) / max(flow)', 4)} AS depth_over_flow
 FROM book b JOIN m USING (entity) JOIN f USING (entity) WHERE side = 'buy' GROUP BY 1""").replace("\nWITH m AS", ",\nm AS"))
 def b5(t):
-    ref = Q.quantile_wide(t.book, "price", {"ref": 0.5}, ["entity"])
+    ref = Q.quantile_wide(t.book, "price", {"ref": 0.5}, ["entity"], grid=False)
     flow = t.panel.groupBy("entity").agg(F.percentile("volume", F.lit(0.5)).alias("flow"))
     d = B.executable_depth(t.book, ref, flow)
     return d.select("entity", "depth", "near_depth", rnd("near_share").alias("near_share"), rnd("depth_over_flow", 4).alias("depth_over_flow"))

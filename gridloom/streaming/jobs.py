@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.joins import enrich
 from gridloom.operators.tables import upsert
-from gridloom.session import scratch
+from gridloom.session import materialise, scratch
 
 
 def file_stream(spark: SparkSession, path: str, ts: str, out: str = "ts") -> DataFrame:
@@ -63,24 +63,26 @@ def gap_episodes(stream: DataFrame, keys: list[str], value: str, gap: str, delay
 
 
 # ------------------------------------------------------------------ corrections, state, alerts, joins
-def apply_corrections(stream: DataFrame, base: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Late rows replace stored ones: each batch writes the next version of the table, committed by its id.
+def apply_corrections(stream: DataFrame, base: DataFrame, keys: list[str], part: str, path: str) -> DataFrame:
+    """Late rows replace stored ones in a table partitioned by ``part``.
 
-    A retried batch rewrites the same version from the same predecessor, so the upsert is idempotent.
+    A batch reads and rewrites only the partitions it touches.  The new partitions are written
+    aside first and then swapped in, and a keyed upsert applied twice changes nothing, so a
+    retried batch is harmless.
     """
     spark = stream.sparkSession
-    base.write.mode("overwrite").parquet(f"{path}/v0")
-    versions = {"last": 0}
+    base.write.mode("overwrite").partitionBy(part).parquet(path)
+    cols, types = base.columns, base.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        old = s.read.parquet(f"{path}/v{batch_id}")
-        new = batch.groupBy(*keys).agg(*[F.max_by(c, "ts").alias(c) for c in old.columns if c not in keys])
-        upsert(old, new.select(old.columns), keys).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
-        versions["last"] = batch_id + 1
+        new = materialise(batch.groupBy(*keys).agg(*[F.max_by(c, "ts").alias(c) for c in cols if c not in keys]).select(cols), "late")
+        old = s.read.schema(types).parquet(path).join(new.select(part).distinct(), part, "left_semi")
+        fresh = materialise(upsert(old.select(cols), new, keys), "fresh")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
     run_batches(stream, "corrections", step)
-    return spark.read.parquet(f"{path}/v{versions['last']}")
+    return spark.read.schema(types).parquet(path).select(cols)
 
 
 def running_stock(stream: DataFrame, key: str, value: str) -> DataFrame:
