@@ -130,11 +130,11 @@ def test_upsert_twice(spark):
 
 
 def test_kv_text(spark):
-    lines = ["Gold Coin, times:40, amount:1-99, total:900", "Sword, amount:2-4, times:3", "Ring, times:5", "Cape, times:9, total:4"]
+    lines = ["Alpha Part, times:40, amount:1-99, total:900", "Sword, amount:2-4, times:3", "Ring, times:5", "Cape, times:9, total:4"]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
     rows = d.select("i", *T.kv_row(F.col("line")), F.col("line").contains("amount").alias("has_amount"), F.lit(100).alias("samples"))
     r = {x["name"]: x for x in R.expected_quantity(rows).collect()}
-    assert r["Gold Coin"]["expected_qty"] == 9.0 and r["Gold Coin"]["method"] == "total over samples"
+    assert r["Alpha Part"]["expected_qty"] == 9.0 and r["Alpha Part"]["method"] == "total over samples"
     assert abs(r["Sword"]["expected_qty"] - 0.09) < 1e-12 and r["Ring"]["method"] == "unit assumed"
     assert r["Cape"]["inconsistent"] and abs(r["Cape"]["expected_qty"] - 0.09) < 1e-12
 
