@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import bpe
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
+from gridloom.llm.url_rules import HOST_RULES, UNWANTED, judge
 
 __all__ = ["ORACLE", "QUERIES"]
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file on the driver; its text is broadcast."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@op("op6_bpe_codec", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    """Token ids of every text and the text they decode to, as digests."""
+    return bpe.digests(docs, tokenizer_path())
+
+
 @op("op7_near_dedup", "documents")
 def op7(docs: DataFrame) -> DataFrame:
     """Classes and components of documents with 75 % of their five-word shingles in common."""
@@ -32,3 +47,28 @@ FROM t JOIN g ON t.s = g.s""",
 def op8(docs: DataFrame) -> DataFrame:
     """Groups of equal texts; the largest id stays."""
     return exact_groups(docs)
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{t}', '{t.split('/', 1)[0]}', '/{t.split('/', 1)[1]}', '{v}')" for t, v in HOST_RULES)
+    words = "|".join(w for words in UNWANTED.values() for w in words.split())
+    return f"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(rule, rhost, rpath, verdict) AS (VALUES {rules}),
+m AS (
+  SELECT p.*, (SELECT max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM r
+               WHERE (p.host = rhost OR p.host LIKE '%.' || rhost) AND starts_with(p.path, rpath)) AS best
+  FROM p)
+SELECT page_id, host, path, best.rule AS rule,
+       CASE WHEN best IS NOT NULL THEN best.verdict
+            WHEN regexp_matches(host || path, '(^|[^0-9A-Za-z])({words})([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM m"""
+
+
+@op("op9_url_rules", "pages", _url_sql())
+def op9(pages: DataFrame) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return judge(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
