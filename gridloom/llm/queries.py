@@ -9,6 +9,7 @@ from gridloom.llm import bpe
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
+from gridloom.llm.topk import top_k
 from gridloom.llm.url_rules import HOST_RULES, UNWANTED, judge
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -16,6 +17,22 @@ __all__ = ["ORACLE", "QUERIES"]
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@op(
+    "op1_exact_topk",
+    "embeddings",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op1(embeddings: DataFrame) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector with all others."""
+    return top_k(embeddings, F.col("vec_id") % 20 == 0)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer file on the driver; its text is broadcast."""
     import public_tokenizers
