@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe
 from gridloom.llm.exact_dedup import exact_groups
+from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
 from gridloom.llm.topk import top_k
@@ -33,6 +34,35 @@ def op1(embeddings: DataFrame) -> DataFrame:
     return top_k(embeddings, F.col("vec_id") % 20 == 0)
 
 
+@op(
+    "op2_source_mix",
+    "documents",
+    r"""
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+c AS (SELECT *, 2 * source_size / w AS full_at, sum(source_size) OVER () * 1.5 AS total FROM w),
+p AS (SELECT *, (total - coalesce(sum(2 * source_size) OVER (ORDER BY full_at, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY full_at, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate,
+             row_number() OVER (ORDER BY full_at, i) AS k FROM c),
+l AS (SELECT arg_min(rate, k) AS rate FROM p WHERE full_at >= rate),
+g AS (SELECT source, source_size, least(2.0 * source_size, w * coalesce((SELECT rate FROM l), 1e300)) AS target FROM p),
+f AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS quota FROM g),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS whole,
+             CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS rest FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+b AS (SELECT *, substr(o, 1, 3) AS slice,
+             sum(size) OVER (PARTITION BY source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS start,
+             sum(size) OVER (PARTITION BY source ORDER BY substr(o, 1, 3)) AS upto FROM r)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       CAST(size * (whole + CASE WHEN upto <= rest OR (start * 2 + size <= rest * 2 AND upto - rest > 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM b""",
+)
+def op2(docs: DataFrame) -> DataFrame:
+    """Words that a mix of 150 % of the corpus takes from every document, by source weights."""
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer file on the driver; its text is broadcast."""
     import public_tokenizers
