@@ -62,6 +62,9 @@ LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of letter words: every ASCII byte that is no letter.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -102,29 +105,35 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, docs:
         at = end
 
 
-def word_hashes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the white-space separated words, A-Z lower-cased, and where each text's words begin (one more at the end)."""
+def word_hashes(b: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of the words between separators, A-Z lower-cased, and where each text's words begin (one more at the end).
+
+    Then, for each of ``prefixes``, the hashes of the words' first so many bytes, told apart from whole words.
+    """
+    none = np.zeros(0, np.uint64)
     if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    space = SPACE[b]
+        return (none, np.zeros(len(offs), np.int64)) + (none,) * len(prefixes)
+    gap = separators[b]
     edge = np.zeros(len(b) + 1, dtype=bool)
     edge[offs] = True
-    word = ~space
+    word = ~gap
     before = edge[:-1].copy()
     before[0] = True
-    before[1:] |= space[:-1]
+    before[1:] |= gap[:-1]
     after = edge[1:].copy()
     after[-1] = True
-    after[:-1] |= space[1:]
+    after[:-1] |= gap[1:]
     starts = np.flatnonzero(word & before)
     lens = np.flatnonzero(word & after) + 1 - starts
     first = np.searchsorted(starts, offs)
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return (none, first) + (none,) * len(prefixes)
     at = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    h = np.add.reduceat(BYTE_VALUE[LOW[b[word]]] * powers(int(lens.max()))[place], at)
-    return mix(h), first
+    each = BYTE_VALUE[LOW[b[word]]] * powers(int(lens.max()))[place]
+    h = mix(np.add.reduceat(each, at))
+    cut = (mix(np.add.reduceat(np.where(place < k, each, np.uint64(0)), at) + np.uint64(k)) for k in prefixes)
+    return h, first, *cut
 
 
 class HashTable:

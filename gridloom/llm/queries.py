@@ -11,6 +11,7 @@ from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
 from gridloom.llm.topk import top_k
+from gridloom.llm.toxicity import held_out_scores
 from gridloom.llm.url_rules import HOST_RULES, UNWANTED, judge
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,7 +22,7 @@ LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 @op(
     "op1_exact_topk",
     "embeddings",
-    """
+    sql="""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
@@ -37,7 +38,7 @@ def op1(embeddings: DataFrame) -> DataFrame:
 @op(
     "op2_source_mix",
     "documents",
-    r"""
+    sql=r"""
 WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
@@ -85,7 +86,7 @@ def op7(docs: DataFrame) -> DataFrame:
 @op(
     "op8_exact_dedup",
     "documents",
-    f"""
+    sql=f"""
 WITH t AS (SELECT doc_id, sha256({LOWER_SQL}) AS s FROM documents),
 g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY s)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, t.s AS text_sha256
@@ -115,7 +116,13 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM m"""
 
 
-@op("op9_url_rules", "pages", _url_sql())
+@op("op9_url_rules", "pages", sql=_url_sql())
 def op9(pages: DataFrame) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return judge(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@op("op10_toxicity", "documents", "labels")
+def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Toxicity score of every document, learnt without the held-out fold."""
+    return held_out_scores(docs, labels)

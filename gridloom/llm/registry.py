@@ -10,12 +10,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def op(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table)`` as a query over the whole of one given table."""
+def op(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn(*tables)`` as a query over whole given tables."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
