@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe
 from gridloom.llm.exact_dedup import exact_groups
+from gridloom.llm.html_text import extract
 from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan
 from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
@@ -93,6 +94,12 @@ def op4(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("matches")
 
 
+@op("op5_main_text", "pages")
+def op5(pages: DataFrame) -> DataFrame:
+    """Main text of every page."""
+    return extract(pages)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer file on the driver; its text is broadcast."""
     import public_tokenizers
