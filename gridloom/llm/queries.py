@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, ctw
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.html_text import extract
 from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan
@@ -66,6 +66,12 @@ def op2(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@op("op3_ctw_score", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    """Context-tree weighting score and word base of every document."""
+    return ctw.score(docs)
+
+
 def _license_sql() -> str:
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     stands = lambda p: " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
