@@ -118,7 +118,8 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: str = "mix") -> Da
     ws = Workspace(spark, "mix")
     pattern = F.array_sort(F.array_distinct(F.array(F.col("source")) if sources is None else sources))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = docs.withColumns({"_size": words(F.col("text")), "_pattern": pattern, "_order": order})
+    carried = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    base = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)), words(F.col("text")).alias("_size"), pattern.alias("_pattern"), order.alias("_order"))
     base = base.withColumns({"_slice": F.conv(F.substring("_order", 1, DIGITS), 16, 10).cast("int"), "_k": _key(F.col("_pattern"))})
     slices = ws.keep(base.groupBy("_k", "_pattern", "_slice").agg(F.sum("_size").alias("words")))
     rows = slices.groupBy("_k", "_pattern").agg(F.sum("words").alias("words")).orderBy("_k").limit(MAX_PATTERNS + 1).collect()
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: str = "mix") -> Da
     inside = inside.withColumn("_again", start * 2 + F.col("_size") <= F.col("_rest") * 2)
     outside = keyed.where(F.col("_slice") != F.col("_edge")).withColumn("_again", F.col("_slice") < F.col("_edge"))
     both = outside.unionByName(inside).withColumn("copies", F.col("_whole") + F.col("_again").cast("int"))
-    return both.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
+    return both.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
 
 
 def apply_mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
