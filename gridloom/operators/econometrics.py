@@ -380,31 +380,33 @@ def permutation_entropy(df: DataFrame, value: str, m: int = 4, entity="entity",
     return g.where(F.col("n") >= min_n)
 
 
-def sample_entropy(df: DataFrame, value: str, m: int = 2, r: float = 0.2, last: int = 1200, entity="entity", date="date") -> DataFrame:
-    """Log odds that windows close at length m stay close at m + 1, over the last ``last`` points of each series.
+def sample_entropy(df: DataFrame, value: str, m: int = 2, r: float = 0.2, entity="entity", date="date") -> DataFrame:
+    """How often stretches of ``m`` points that lie within ``r`` standard deviations stay so one point longer.
 
-    The window of the statistic is fixed, so a group has at most ``last`` rows.
+    Every stretch of the whole series is filed by its first two standardised values cut into cells
+    of width ``r``; partners can only be in the same or a neighbouring cell, so the close pairs come
+    from an equi-join and are counted, never listed.
     """
-    back = Window.partitionBy(entity).orderBy(F.col(date).desc())
-    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(back)).where(F.col("_i") <= last).select(entity, date, value)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(date)[value].to_numpy(float)
-        n = len(x)
-        x = (x - x.mean()) / (x.std() + 1e-12)
-
-        def close(k):
-            z = np.lib.stride_tricks.sliding_window_view(x, k)[: n - k]
-            total = 0
-            for s in range(0, len(z), 256):
-                total += int((np.abs(z[s : s + 256, None, :] - z[None, :, :]).max(axis=2) <= r).sum())
-            return total - len(z)
-
-        a, b = (close(m + 1), close(m)) if n > m + 2 else (0, 0)
-        v = float(-np.log(a / b)) if a > 0 and b > 0 else None
-        return pd.DataFrame({entity: [int(pdf[entity].iloc[0])], "n": [n], "pairs_m": [b], "pairs_m1": [a], "sampen": [v]})
-
-    return d.groupBy(entity).applyInPandas(one, f"{entity} long, n long, pairs_m long, pairs_m1 long, sampen double")
+    t = Window.partitionBy(entity)
+    s = t.orderBy(date)
+    z = (F.col(value) - F.avg(value).over(t)) / F.nullif(F.stddev_pop(value).over(t), F.lit(0.0))
+    d = df.where(F.col(value).isNotNull()).select(entity, F.row_number().over(s).alias("i"), F.count("*").over(t).alias("n"), z.alias("z0"), F.col(date).alias("_d"))
+    d = d.select(entity, "i", "n", "z0", *[F.lead("z0", k).over(t.orderBy("i")).alias(f"z{k}") for k in range(1, m + 1)])
+    long = d.where(F.col("i") <= F.col("n") - m)
+    sides = min(m, 2)
+    a = long.select(entity, F.col("i").alias("i1"), *[F.col(f"z{k}").alias(f"a{k}") for k in range(m + 1)], *[F.floor(F.col(f"z{k}") / r).alias(f"c{k}") for k in range(sides)])
+    b = long.select(entity, F.col("i").alias("i2"), *[F.col(f"z{k}").alias(f"b{k}") for k in range(m + 1)], *[F.floor(F.col(f"z{k}") / r).alias(f"c{k}") for k in range(sides)])
+    for k in range(sides):
+        b = b.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + F.lit(o) for o in (-1, 0, 1)])))
+    near = [F.abs(F.col(f"a{k}") - F.col(f"b{k}")) <= r for k in range(m + 1)]
+    pairs = a.join(b, [entity, *[f"c{k}" for k in range(sides)]]).where(F.col("i1") < F.col("i2"))
+    for k in range(m):
+        pairs = pairs.where(near[k])
+    got = pairs.groupBy(entity).agg((2 * F.count("*")).alias("pairs_m"), (2 * F.count(F.when(near[m], 1))).alias("pairs_m1"))
+    sizes = d.groupBy(entity).agg(F.max("n").alias("n"))
+    out = sizes.join(got, entity, "left").select(entity, "n", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pairs_m", "pairs_m1")])
+    ratio = F.col("pairs_m1") / F.col("pairs_m")
+    return out.withColumn("sampen", F.when((F.col("pairs_m1") > 0) & (F.col("pairs_m") > 0), -F.log(ratio)))
 
 
 # ------------------------------------------------------------------ other estimators
@@ -421,13 +423,13 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     return g.select(n1.alias("n_on"), n2.alias("n_off"), u.alias("u"), ((u - n1 * n2 / 2.0) / sd).alias("z"))
 
 
-def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 25, eps: float = 1e-4, tol: float = 1e-4) -> DataFrame:
-    """Slope and intercept per quantile by iteratively reweighted least squares.
+def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 200, eps: float = 1e-4, tol: float = 1e-4) -> DataFrame:
+    """Slope and intercept per quantile by iteratively reweighted least squares; ``converged`` says whether the last pass moved less than ``tol``.
 
     Each pass is one weighted-moment aggregate for all quantiles; only the coefficients come back.
     """
     d = complete(df, [y, x]).persist()
-    coef = {t: (0.0, 0.0) for t in taus}
+    coef, moved = {t: (0.0, 0.0) for t in taus}, float("inf")
     c = F.col
     for _ in range(iters):
         # the coefficients travel as one constant array, so the generated code is the same every pass
@@ -445,7 +447,7 @@ def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], it
         if moved < tol:
             break
     d.unpersist()
-    return df.sparkSession.createDataFrame([(float(t), float(a), float(b)) for t, (a, b) in coef.items()], "tau double, intercept double, slope double")
+    return df.sparkSession.createDataFrame([(float(t), float(a), float(b), moved < tol) for t, (a, b) in coef.items()], "tau double, intercept double, slope double, converged boolean")
 
 
 def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:

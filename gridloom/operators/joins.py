@@ -125,20 +125,29 @@ def at_horizons(df: DataFrame, entity: str, date: str, value: str, hs: Sequence[
     return base.join(fut, [entity, date, "h"], "left")
 
 
+def with_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
+    """Attach aggregates of the row's group.
+
+    The aggregate is combined before its shuffle and joined back, so a group (one date with all its
+    entities) is never gathered in one task; Spark broadcasts or splits the join by its real size.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    stats = df.groupBy(*[F.col(k).alias(g) for k, g in zip(by, keys)]).agg(*[c.alias(n) for n, c in aggs.items()])
+    return df.join(stats, [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)], "left").drop(*keys)
+
+
 def leave_one_out(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Mean of the others in the group: (sum - x) / (n - 1), no join."""
-    w = Window.partitionBy(*by)
-    n = F.count(value).over(w)
-    return df.withColumn(
-        out, F.when(F.col(value).isNotNull() & (n > 1), (F.sum(value).over(w) - F.col(value)) / (n - 1)))
+    """Mean of the others in the group: (sum - x) / (n - 1)."""
+    d = with_group(df, by, _n=F.count(value), _s=F.sum(value))
+    return d.withColumn(out, F.when(F.col(value).isNotNull() & (F.col("_n") > 1), (F.col("_s") - F.col(value)) / (F.col("_n") - 1))).drop("_n", "_s")
 
 
 def peer_mean(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Row-normalised spatial lag: mean of the group's other members present, NULL when alone."""
-    w = Window.partitionBy(*by)
     own = F.coalesce(F.col(value), F.lit(0.0))
-    n = F.count(value).over(w) - F.col(value).isNotNull().cast("int")
-    return df.withColumn(out, F.when(n > 0, (F.sum(value).over(w) - own) / n))
+    n = F.col("_n") - F.col(value).isNotNull().cast("int")
+    d = with_group(df, by, _n=F.count(value), _s=F.sum(value))
+    return d.withColumn(out, F.when(n > 0, (F.col("_s") - own) / n)).drop("_n", "_s")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -157,16 +166,13 @@ def join_many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how:
 
 def rank_in_reference(df: DataFrame, ref: DataFrame, by: str, value: str, out: str) -> DataFrame:
     """Share of the reference population on the same ``by`` whose value is <= the row's value."""
-    a = df.withColumn("_ref", F.lit(0))
-    b = ref.select(F.col(by), F.col(value)).withColumn("_ref", F.lit(1))
-    u = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by)
-    run = w.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum("_ref").over(w)
-    return (
-        u.withColumn(out, F.when(n > 0, F.sum("_ref").over(run) / n))
-        .withColumn("n_ref", n.cast("long")).where("_ref = 0").drop("_ref")
-    )
+    from gridloom.operators.quantiles import running
+
+    both = df.select(by, value, F.lit(0).alias("_ref")).unionByName(ref.select(by, value, F.lit(1).alias("_ref")))
+    ranks = running(both, value, [by], ["_ref"], grid=False).select(F.col(by).alias("_by"), "v", "c__ref")
+    n = ref.groupBy(F.col(by).alias("_d")).agg(F.count("*").alias("_n"))
+    d = df.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(value).cast("double") == F.col("v")), "left").join(n, F.col(by).eqNullSafe(F.col("_d")), "left")
+    return d.withColumn(out, F.when(F.col("_n") > 0, F.coalesce("c__ref", F.lit(0)) / F.col("_n"))).withColumn("n_ref", F.coalesce("_n", F.lit(0)).cast("long")).drop("_by", "v", "c__ref", "_d", "_n")
 
 
 def alive_on_date(spans: DataFrame, start: str, end: str, dates: DataFrame, date: str) -> DataFrame:

@@ -107,9 +107,8 @@ def score_latest(df: DataFrame, path: str, features: Sequence[str], half_widths:
     return p.select(entity, F.col(date).alias("as_of"), "prediction", (F.col("prediction") - F.col("w.q")).alias("lo"), (F.col("prediction") + F.col("w.q")).alias("hi"))
 
 
-def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int | None = None) -> DataFrame:
-    """Column permuted by hash within random parts (one per shuffle partition): no ordering of the whole table."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int = 64) -> DataFrame:
+    """Column permuted by hash within ``parts`` random parts: no ordering of the whole table, and the same result on every cluster."""
     d = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)))
     w = Window.partitionBy("_part")
     a = d.withColumn("_slot", F.row_number().over(w.orderBy(*key)))
@@ -177,8 +176,13 @@ def exposure_oos(df: DataFrame, y: str, exposures: Sequence[str], entity: str =
 
 
 # ------------------------------------------------------------------ selection and explanation
-def boruta(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], rounds: int = 3) -> DataFrame:
-    """Hits of each feature over the best shuffled shadow in repeated forests, with the binomial tail."""
+def boruta(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], rounds: int = 20, alpha: float = 0.05) -> DataFrame:
+    """Hits of each feature over the best shuffled shadow in repeated forests.
+
+    Under the null a feature beats all shadows once in (features + 1) rounds; ``p`` is the binomial
+    tail of its hits, and a feature is confirmed if the tail times the number of features stays
+    below ``alpha``.
+    """
     import math
 
     hits = dict.fromkeys(features, 0)
@@ -194,8 +198,10 @@ def boruta(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str
         for f in features:
             hits[f] += int(imp[f] > best)
     base.unpersist()
-    tail = lambda h: sum(math.comb(rounds, k) for k in range(h, rounds + 1)) / 2.0**rounds
-    return df.sparkSession.createDataFrame([(f, h, tail(h)) for f, h in hits.items()], "feature string, hits int, p double")
+    q = 1.0 / (len(features) + 1)
+    tail = lambda h: sum(math.comb(rounds, k) * q**k * (1 - q) ** (rounds - k) for k in range(h, rounds + 1))
+    rows = [(f, h, tail(h), "confirmed" if tail(h) * len(features) < alpha else "rejected") for f, h in hits.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, hits int, p double, verdict string")
 
 
 def selection_methods(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

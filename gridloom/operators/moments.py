@@ -11,10 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gridloom.operators.joins import with_scalars
+from gridloom.operators.joins import with_group, with_scalars
 from gridloom.session import cut_lineage, materialise
 
 
@@ -30,8 +30,8 @@ def complete(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Da
 
 
 def demean(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.select(*[(F.col(c) - F.avg(c).over(w)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    d = with_group(df, keys, **{f"_m_{c}": F.avg(c) for c in cols})
+    return d.select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def absorb(df: DataFrame, cols: Sequence[str], fe: Sequence[str], by: Sequence[str] = (), tol: float = 1e-10,
@@ -55,8 +55,8 @@ def absorb(df: DataFrame, cols: Sequence[str], fe: Sequence[str], by: Sequence[s
             g = cur.groupBy(*by, fe[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])
             worst = g.agg(F.max(F.greatest(*cols) if len(cols) > 1 else F.col(cols[0]))).first()[0]
             if worst is None or worst < tol:
-                break
-    return cur
+                return cur
+    raise RuntimeError(f"fixed effects not absorbed after {max_iter} sweeps: a group mean of {worst:.3g} is left")
 
 
 def gram(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact quantiles, ranks and running sums over an ordering too large for one task.
 
 Every function first reduces to distinct values with weights (map-side combined), cuts the
-ordering of each group into about ``BUCKETS`` value ranges with approximate splitters, and works
+ordering of each group into value ranges (their number follows from the count of distinct values) with approximate splitters, and works
 inside (group, range).  A group holding most of the rows, or one value repeated millions of
 times, is therefore spread over many tasks, and the answers stay exact because the splitters
 only decide where rows are worked on.
@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridloom.operators.joins import enrich, with_scalars
 from gridloom.session import materialise
 
-BUCKETS = 64
+#: Distinct values that one range holds, about; the number of ranges follows from the data.
+RANGE = 50_000
 
 
 def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str] = (), grid: bool = True) -> DataFrame:
     """Distinct (by, v) with weight w and summed columns, plus the range ``b`` the value falls in.
 
-    ``grid`` says the groups are a fixed list, whose splitters are broadcast; open-ended groups
-    are stored first, so that their real size decides between a broadcast and a salted join.
+    The splitters are stored first, so that their real size decides between a broadcast and a
+    salted join.
     """
     by = list(by)
     base = (
@@ -32,17 +33,18 @@ def _bucketed(df: DataFrame, value: str, by: Sequence[str], sums: Sequence[str]
         .agg(F.count("*").alias("w"), *[F.sum(c).alias(c) for c in sums])
     )
     base = materialise(base, "ranks")
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    split = base.groupBy(*by).agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
+    ranges = max(8, -(-base.count() // RANGE))
+    cuts = [i / ranges for i in range(1, ranges)]
+    split = base.groupBy(*by).agg(F.percentile_approx("v", cuts, max(1000, 20 * ranges)).alias("cuts"))
     if by:
-        j = base.join(F.broadcast(split), by) if grid else enrich(base, materialise(split, "cuts"), by, "inner", spread="v")
+        j = enrich(base, materialise(split, "cuts"), by, "inner", spread="v")
     else:
         j = with_scalars(base, split, "k").withColumn("cuts", F.col("k.cuts")).drop("k")
     return j.withColumn("b", F.expr("size(filter(cuts, c -> c < v))")).drop("cuts")
 
 
 def _offsets(buck: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Per (by, b): totals and the running totals before the range (at most BUCKETS rows a group)."""
+    """Per (by, b): totals and the running totals before the range (one row a range)."""
     per = buck.groupBy(*by, "b").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     w = order.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

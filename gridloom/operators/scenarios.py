@@ -1,23 +1,26 @@
 """Resampling intervals and their calibration.
 
 A simulation is a set of block starts chosen by hash, so a retried task draws the same path.  Block
-sums come from prefix sums of at most ``window`` residuals kept per key.
+sums come from prefix sums of the residuals kept per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.joins import with_scalars
 
 
-def residual_blocks(df: DataFrame, keys: Sequence[str], ret: str, order: str, window: int, drift_cap: float, min_obs: int = 30) -> DataFrame:
-    """Per key: capped and shrunk drift and the prefix sums of the last ``window`` centred returns."""
+def residual_blocks(df: DataFrame, keys: Sequence[str], ret: str, order: str, drift_cap: float, min_obs: int = 30, since: Column | None = None) -> DataFrame:
+    """Per key: capped and shrunk drift and the prefix sums of the centred returns.
+
+    All rows count unless the caller states a look-back ``since`` (a condition); a key holds at most
+    one row per calendar day.
+    """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    d = df.where(F.col(ret).isNotNull()).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= window)
+    d = df.where(F.col(ret).isNotNull() & (F.lit(True) if since is None else since))
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(ret).alias("mu"), F.stddev(ret).alias("sd"),
                              F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ret).alias("r")))).alias("a")).where(F.col("n") >= min_obs)
     se2 = F.col("sd") * F.col("sd") / F.col("n")

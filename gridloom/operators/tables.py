@@ -38,14 +38,12 @@ def export_mart(df: DataFrame, columns: Sequence[str], where: Column | None = No
     return d.select(*columns)
 
 
-def weekly_fallback(df: DataFrame, max_rows: int, by: Sequence[str], date: str, sums: Sequence[str]) -> DataFrame:
-    """Daily rows while the table has at most ``max_rows``; otherwise weekly sums ending Monday."""
-    from gridloom.operators.joins import with_scalars
-
-    big = with_scalars(df, df.agg(F.count("*").alias("rows")), "_n")
+def at_grain(df: DataFrame, grain: str, by: Sequence[str], date: str, sums: Sequence[str]) -> DataFrame:
+    """Sums per key and ``grain``: ``day``, or ``week`` ending Monday."""
+    if grain not in ("day", "week"):
+        raise ValueError(grain)
     monday = F.date_add(F.date_trunc("week", F.date_sub(date, 1)).cast("date"), 7)
-    bucket = F.when(F.col("_n.rows") > max_rows, monday).otherwise(F.col(date))
-    return big.groupBy(*by, bucket.alias(date)).agg(*[F.sum(c).alias(c) for c in sums])
+    return df.groupBy(*by, (monday if grain == "week" else F.col(date)).alias(date)).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.num import col
+from gridloom.operators.joins import with_group
 
 
 def series(entity="entity", date="date"):
@@ -80,28 +81,37 @@ def rolling(value, n: int, how: str, entity="entity", date="date", min_obs: int
 
 
 def ewma(df: DataFrame, value: str, half_life: float, out_mean: str, out_sd: str, min_obs: int = 3,
-         horizon: int = 20, entity="entity", date="date") -> DataFrame:
-    """Bias-adjusted exponential mean and sd; NULLs keep their age but carry no weight.
+         entity="entity", date="date") -> DataFrame:
+    """Bias-adjusted exponential mean and sd over the whole past; NULLs keep their age but carry no weight.
 
-    The frame is cut after ``horizon`` half-lives, where the weight is below 1e-6.
+    The mean is a ratio of decayed running sums.  Inside a block of rows the weights are powers
+    relative to the block's start, so a plain running sum does; the sums of earlier blocks are
+    carried over, one short array per entity.
     """
-    k = int(round(horizon * half_life))
-    f = series(entity, date).rowsBetween(-k, 0)
-    nan = F.struct(F.col(value).alias("x"))
-    d = df.withColumn("_xs", F.reverse(F.collect_list(nan).over(f)))
+    size = max(1, int(round(16 * half_life)))
     lam = 0.5 ** (1.0 / half_life)
-    acc = F.expr(
-        f"""aggregate(transform(_xs, (s, i) -> named_struct('x', s.x, 'w', power({lam!r}D, i))),
-             named_struct('n', 0L, 'w', 0D, 'w2', 0D, 'x', 0D, 'xx', 0D),
-             (a, s) -> if(s.x is null, a, named_struct('n', a.n + 1L, 'w', a.w + s.w, 'w2', a.w2 + s.w * s.w,
-                       'x', a.x + s.w * s.x, 'xx', a.xx + s.w * s.x * s.x)))""")
-    d = d.withColumn("_a", acc)
-    mean = F.col("_a.x") / F.col("_a.w")
-    var = (F.col("_a.xx") / F.col("_a.w") - mean * mean) * F.col("_a.w") * F.col("_a.w") / (
-        F.col("_a.w") * F.col("_a.w") - F.col("_a.w2"))
-    ok = F.col("_a.n") >= min_obs
-    return d.withColumn(out_mean, F.when(ok, mean)).withColumn(
-        out_sd, F.when(ok, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("_xs", "_a")
+    x = F.col(value)
+    d = df.withColumn("_i", F.row_number().over(series(entity, date)) - 1)
+    d = d.withColumn("_k", F.floor(F.col("_i") / size)).withColumn("_o", F.col("_i") % size)
+    up = F.pow(F.lit(1 / lam), F.col("_o"))
+    one = x.isNotNull().cast("double")
+    parts = {"n": one, "w": one * up, "w2": one * up * up, "x": F.coalesce(x, F.lit(0.0)) * up, "xx": F.coalesce(x * x, F.lit(0.0)) * up}
+    fade = {"n": 1.0, "w": lam, "w2": lam * lam, "x": lam, "xx": lam}
+    inside = Window.partitionBy(entity, "_k").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = d.groupBy(entity, "_k").agg(*[(F.sum(c) * fade[p] ** size).alias(p) for p, c in parts.items()])
+    blocks = blocks.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("_k", *parts))).alias("_b"))
+    step = ", ".join(f"'{p}', a.{p} * {fade[p] ** size!r}D + b.{p}" for p in parts)
+    zero = ", ".join(f"'{p}', 0D" for p in parts)
+    carry = F.expr(f"aggregate(_b, array(named_struct({zero})), (s, b) -> array_append(s, transform(array(element_at(s, -1)), a -> named_struct({step}))[0]))")
+    d = d.join(blocks.select(F.col(entity).alias("_e"), carry.alias("_c")), F.col(entity).eqNullSafe(F.col("_e")), "left")
+    # the sums as of a row: those inside its block and the carried ones, both brought to the row's age
+    for p, c in parts.items():
+        down = F.pow(F.lit(fade[p]), F.col("_o"))
+        d = d.withColumn(f"_{p}", down * (F.sum(c).over(inside) + F.get(F.col("_c"), F.col("_k").cast("int"))[p]))
+    mean = F.col("_x") / F.col("_w")
+    var = (F.col("_xx") / F.col("_w") - mean * mean) * F.col("_w") * F.col("_w") / (F.col("_w") * F.col("_w") - F.col("_w2"))
+    ok = F.col("_n") >= min_obs
+    return d.withColumn(out_mean, F.when(ok, mean)).withColumn(out_sd, F.when(ok, F.sqrt(F.greatest(var, F.lit(0.0))))).select(*df.columns, out_mean, out_sd)
 
 
 def running_sum(df: DataFrame, value: str, out: str, entity="entity", date="date") -> DataFrame:
@@ -115,18 +125,19 @@ def drawdown(df: DataFrame, value: str, out: str = "drawdown", entity="entity",
 
 
 def cross_deviation(df: DataFrame, value: str, out: str = "dev", min_entities: int = 10, date="date") -> DataFrame:
-    w = Window.partitionBy(date)
-    return df.withColumn(
-        out, F.when(F.count(value).over(w) >= min_entities, F.col(value) - F.avg(value).over(w)))
+    d = with_group(df, [date], _n=F.count(value), _m=F.avg(value))
+    return d.withColumn(out, F.when(F.col("_n") >= min_entities, F.col(value) - F.col("_m"))).drop("_n", "_m")
 
 
 def cross_rank_pct(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
     """Average rank divided by the group's non-null count."""
-    wg = Window.partitionBy(*by)
-    r = F.rank().over(wg.orderBy(F.col(value).asc_nulls_last()))
-    ties = F.count(value).over(Window.partitionBy(*by, value))
-    return df.withColumn(
-        out, F.when(F.col(value).isNotNull(), (r + (ties - 1) / 2.0) / F.count(value).over(wg)))
+    from gridloom.operators.quantiles import running
+
+    keys = [f"_g{i}" for i in range(len(by))]
+    rank = running(df, value, by, grid=False)
+    rank = rank.select(*[F.col(k).alias(g) for k, g in zip(by, keys)], "v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)]
+    return df.join(rank, [*same, F.col(value).cast("double") == F.col("v")], "left").drop(*keys, "v")
 
 
 def sessions(df: DataFrame, max_gap: int, out: str = "episode", entity="entity", date="date") -> DataFrame:

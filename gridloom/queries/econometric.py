@@ -628,13 +628,13 @@ def e49(t):
 
 @query("e50_sample_entropy", with_(f"""
 WITH t AS (SELECT entity, ret_row, row_number() OVER (PARTITION BY entity ORDER BY date) AS i, count(*) OVER (PARTITION BY entity) AS n, avg(ret_row) OVER (PARTITION BY entity) AS m, stddev_pop(ret_row) OVER (PARTITION BY entity) AS s FROM prm WHERE ret_row IS NOT NULL),
-z AS (SELECT entity, i, n, (ret_row - m) / (s + 1e-12) AS z FROM t),
+z AS (SELECT entity, i, n, (ret_row - m) / nullif(s, 0) AS z FROM t),
 e AS (SELECT a.entity, a.i, a.n, a.z AS z0, b.z AS z1, c.z AS z2 FROM z a LEFT JOIN z b ON a.entity = b.entity AND b.i = a.i + 1 LEFT JOIN z c ON c.entity = a.entity AND c.i = a.i + 2),
-p AS (SELECT x.entity, max(x.n) AS n, count(*) FILTER (x.i <= x.n - 2 AND y.i <= y.n - 2 AND greatest(abs(x.z0 - y.z0), abs(x.z1 - y.z1)) <= 0.2) AS b,
-   count(*) FILTER (x.i <= x.n - 3 AND y.i <= y.n - 3 AND greatest(abs(x.z0 - y.z0), abs(x.z1 - y.z1), abs(x.z2 - y.z2)) <= 0.2) AS a FROM e x JOIN e y ON x.entity = y.entity AND x.i <> y.i GROUP BY 1)
+p AS (SELECT x.entity, max(x.n) AS n, count(*) FILTER (greatest(abs(x.z0 - y.z0), abs(x.z1 - y.z1)) <= 0.2) AS b,
+   count(*) FILTER (greatest(abs(x.z0 - y.z0), abs(x.z1 - y.z1), abs(x.z2 - y.z2)) <= 0.2) AS a FROM e x LEFT JOIN e y ON x.entity = y.entity AND x.i <> y.i AND x.i <= x.n - 2 AND y.i <= y.n - 2 GROUP BY 1)
 SELECT CAST(entity AS BIGINT) AS entity, n, b AS pairs_m, a AS pairs_m1, {r('CASE WHEN a > 0 AND b > 0 THEN -ln(CAST(a AS DOUBLE) / b) END')} AS sampen FROM p""").replace("\nWITH t AS", ",\nt AS"))
 def e50(t):
-    return E.sample_entropy(t.prm, "ret_row").select("entity", "n", "pairs_m", "pairs_m1", rnd("sampen").alias("sampen"))
+    return E.sample_entropy(t.prm, "ret_row").select(F.col("entity").cast("long").alias("entity"), "n", "pairs_m", "pairs_m1", rnd("sampen").alias("sampen"))
 
 
 @query("e51_distributed_lag", two_reg_sql("""SELECT entity, ret_row AS y, x1 + x2 + x3 + x4 AS a, x1 + 2 * x2 + 3 * x3 + 4 * x4 AS b FROM (SELECT entity, ret_row, lag(lv, 1) OVER we AS x1, lag(lv, 2) OVER we AS x2, lag(lv, 3) OVER we AS x3, lag(lv, 4) OVER we AS x4

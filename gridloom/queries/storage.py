@@ -204,7 +204,14 @@ def k8(t):
 SELECT entity, CAST(date_trunc('week', date - 1) AS DATE) + 7 AS date, 'n' AS series, CAST(sum(n) AS DOUBLE) AS value FROM panel GROUP BY 1, 2 UNION ALL
 SELECT entity, CAST(date_trunc('week', date - 1) AS DATE) + 7, 'volume', sum(volume) FROM panel GROUP BY 1, 2"""))
 def k9(t):
-    w = K.weekly_fallback(t.panel, 5000, ["entity"], "date", ["n", "volume"])
+    w = K.at_grain(t.panel, "week", ["entity"], "date", ["n", "volume"])
+    return w.select("entity", "date", F.col("n").cast("double").alias("n"), "volume").unpivot(["entity", "date"], ["n", "volume"], "series", "value")
+
+
+@query("k9b_daily_mart", with_("""
+SELECT entity, date, 'n' AS series, CAST(n AS DOUBLE) AS value FROM panel UNION ALL SELECT entity, date, 'volume', volume FROM panel"""))
+def k9b(t):
+    w = K.at_grain(t.panel, "day", ["entity"], "date", ["n", "volume"])
     return w.select("entity", "date", F.col("n").cast("double").alias("n"), "volume").unpivot(["entity", "date"], ["n", "volume"], "series", "value")
 
 

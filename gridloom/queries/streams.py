@@ -55,11 +55,11 @@ def t5(t):
 
 
 @query("t6_late_corrections", """
-SELECT user_id, CAST(ts AS DATE) AS date, round(coalesce(arg_max(value, ts) FILTER (event_id % 2 = 1), max(value)), 2) AS value FROM events GROUP BY 1, 2""")
+SELECT user_id, CAST(ts AS DATE) AS date, round(coalesce(arg_max(value, (ts, event_id)) FILTER (event_id % 2 = 1), max(value)), 2) AS value FROM events GROUP BY 1, 2""")
 def t6(t):
     base = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.max("value").alias("value"))
-    late = stream(t).where("event_id % 2 = 1").select("user_id", F.to_date("ts").alias("date"), "ts", "value")
-    return T.apply_corrections(late, base, ["user_id", "date"], "date", scratch(t.spark, "t6")).select("user_id", "date", F.round("value", 2).alias("value"))
+    late = stream(t).where("event_id % 2 = 1").select("user_id", F.to_date("ts").alias("date"), "ts", "event_id", "value")
+    return T.apply_corrections(late, base, ["user_id", "date"], "date", scratch(t.spark, "t6"), ["ts", "event_id"]).select("user_id", "date", F.round("value", 2).alias("value"))
 
 
 @query("t7_running_stock", "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS stock FROM events GROUP BY 1")

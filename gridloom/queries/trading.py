@@ -267,8 +267,8 @@ PROBS = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
 
 @query("b19_block_bootstrap_quantiles")
 def b19(t):
-    blocks = N.residual_blocks(t.prm, ["entity"], "ret", "date", 60, 0.02)
-    return N.bootstrap_quantiles(N.simulate(blocks, ["entity"], [1, 3, 6], 1000, block=4), ["entity"], PROBS)
+    blocks = N.residual_blocks(t.prm, ["entity"], "ret", "date", 0.02)
+    return N.bootstrap_quantiles(N.simulate(blocks, ["entity"], [1, 3, 6], 4000, block=4), ["entity"], PROBS)
 
 
 ORIGINS = ("og", "SELECT DISTINCT date AS origin FROM panel_m WHERE date >= DATE '1999-01-01' AND month(date) % 3 = 1")
@@ -290,10 +290,10 @@ def b20(t):
     return V.level_metrics(m, ["h", "model"], "actual", "pred").select("h", "model", "n", rnd("mape", 4).alias("mape"), rnd("rmsle", 4).alias("rmsle"), rnd("within", 5).alias("within"))
 
 
-def _origin_sims(t, n_sim=200):
+def _origin_sims(t, n_sim=4000):
     og = t.panel_m.select(F.col("date").alias("origin")).distinct().where("origin >= '1999-01-01' and month(origin) % 3 = 1")
     hist = N.rolling_origins(t.prm.select("entity", "date", "ret"), "date", og)
-    blocks = N.residual_blocks(hist, ["entity", "origin"], "ret", "date", 36, 0.02, min_obs=24)
+    blocks = N.residual_blocks(hist, ["entity", "origin"], "ret", "date", 0.02, min_obs=24)
     sims = N.simulate(blocks, ["entity", "origin"], [1, 3, 6], n_sim, block=4)
     hs = F.explode(F.array(F.lit(1), F.lit(3), F.lit(6))).alias("h")
     lp = t.prm.select("entity", "date", "logp")
@@ -312,8 +312,8 @@ def b20b(t):
 def b21(t):
     """Index level relative to today: probability of each band and its conditional median."""
     idx = W.chain_index(t.prm, "logp", 5).where("chain_ret is not null").withColumn("idx", F.lit("index"))
-    blocks = N.residual_blocks(idx, ["idx"], "chain_ret", "date", 120, 0.02)
-    return N.band_probabilities(N.simulate(blocks, ["idx"], [1, 3], 2000, block=4), [0.8, 0.95, 1.05, 1.2])
+    blocks = N.residual_blocks(idx, ["idx"], "chain_ret", "date", 0.02)
+    return N.band_probabilities(N.simulate(blocks, ["idx"], [1, 3], 40000, block=4), [0.8, 0.95, 1.05, 1.2])
 
 
 @query("b22_band_coverage_calibration")
@@ -325,7 +325,7 @@ def b22(t):
 
 @query("b23_ew_volatility_benchmark", with_(f"""
 WITH i AS (SELECT entity, date, ret * ret AS v, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM prm WHERE ret IS NOT NULL),
-f AS (SELECT a.entity, a.date, a.v, sum(pow(0.94, a.i - 1 - b.i) * b.v) / sum(pow(0.94, a.i - 1 - b.i)) AS ew, count(*) AS k FROM i a JOIN i b ON a.entity = b.entity AND b.i BETWEEN a.i - 225 AND a.i - 1 GROUP BY 1, 2, 3),
+f AS (SELECT a.entity, a.date, a.v, sum(pow(0.94, a.i - 1 - b.i) * b.v) / sum(pow(0.94, a.i - 1 - b.i)) AS ew, count(*) AS k FROM i a JOIN i b ON a.entity = b.entity AND b.i <= a.i - 1 GROUP BY 1, 2, 3),
 m AS (SELECT entity, avg(v) AS m FROM i WHERE date < DATE '1999-07-01' GROUP BY 1)
 SELECT entity, count(*) AS n, {r('sqrt(avg(pow(v - ew, 2)))', 5)} AS rmse_ew, {r('sqrt(avg(pow(v - m, 2)))', 5)} AS rmse_mean FROM f JOIN m USING (entity) WHERE date >= DATE '1999-07-01' AND k >= 3 GROUP BY 1""").replace("\nWITH i AS", ",\ni AS"))
 def b23(t):

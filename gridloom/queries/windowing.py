@@ -61,7 +61,7 @@ def w6(t):
 
 EWMA_SQL = """SELECT a.entity, a.date, count(b.ret) AS n, sum(pow(0.5, (a.i - b.i) / 3.0)) AS w, sum(pow(0.5, (a.i - b.i) / 3.0 * 2)) AS w2,
   sum(pow(0.5, (a.i - b.i) / 3.0) * b.ret) AS x, sum(pow(0.5, (a.i - b.i) / 3.0) * b.ret * b.ret) AS xx
- FROM ix a JOIN ix b ON a.entity = b.entity AND b.i BETWEEN a.i - 60 AND a.i AND b.ret IS NOT NULL GROUP BY 1, 2"""
+ FROM ix a JOIN ix b ON a.entity = b.entity AND b.i <= a.i AND b.ret IS NOT NULL GROUP BY 1, 2"""
 
 
 @query("w7_ewma_mean_sd", with_(f"""

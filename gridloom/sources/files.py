@@ -36,13 +36,20 @@ def read_order_books(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def read_event_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Count documents in folders ``date=...``, entity inside the document; unreadable files give no rows."""
+    """Count documents in folders ``date=...``, entity inside the document; ``rejected_event_counts`` names those that give no rows."""
     d = (spark.read.schema(COUNTS).option("multiLine", multi_line).option("mode", "PERMISSIVE")
          .option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).json(path))
     day = F.regexp_extract(F.col("_metadata.file_path"), r"date=([^/]+)/", 1).try_cast("date")
     return d.select("entity", day.alias("date"), F.explode("entries").alias("e")).select("entity", "date", "e.category", "e.n")
 
 
+def rejected_event_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, documents) of the count documents that do not parse, so that a load can state what it left out."""
+    d = (spark.read.schema(f"{COUNTS}, _corrupt string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path))
+    return d.where("_corrupt is not null").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("documents"))
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str, date_format: str = "yyyy-MM-dd") -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("dateFormat", date_format).csv(path)
 

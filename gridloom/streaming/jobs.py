@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.joins import enrich
-from gridloom.operators.tables import upsert
 from gridloom.session import materialise, scratch
 
 
@@ -63,26 +62,32 @@ def gap_episodes(stream: DataFrame, keys: list[str], value: str, gap: str, delay
 
 
 # ------------------------------------------------------------------ corrections, state, alerts, joins
-def apply_corrections(stream: DataFrame, base: DataFrame, keys: list[str], part: str, path: str) -> DataFrame:
+def apply_corrections(stream: DataFrame, base: DataFrame, keys: list[str], part: str, path: str, order: list[str]) -> DataFrame:
     """Late rows replace stored ones in a table partitioned by ``part``.
 
+    The row with the greatest ``order`` (time, then a unique id) stays, whichever batch brings it
+    and in whatever order; rows of ``base`` carry none and give way to any correction.
+
     A batch reads and rewrites only the partitions it touches.  The new partitions are written
     aside first and then swapped in, and a keyed upsert applied twice changes nothing, so a
     retried batch is harmless.
     """
     spark = stream.sparkSession
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    base = base.select("*", *[F.lit(None).cast(kinds[o]).alias(o) for o in order])
     base.write.mode("overwrite").partitionBy(part).parquet(path)
     cols, types = base.columns, base.schema
+    latest = lambda d: d.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(cols)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        new = materialise(batch.groupBy(*keys).agg(*[F.max_by(c, "ts").alias(c) for c in cols if c not in keys]).select(cols), "late")
+        new = materialise(latest(batch.select(cols)), "late")
         old = s.read.schema(types).parquet(path).join(new.select(part).distinct(), part, "left_semi")
-        fresh = materialise(upsert(old.select(cols), new, keys), "fresh")
+        fresh = materialise(latest(old.select(cols).unionByName(new)), "fresh")
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
     run_batches(stream, "corrections", step)
-    return spark.read.schema(types).parquet(path).select(cols)
+    return spark.read.schema(types).parquet(path).select([c for c in cols if c not in order])
 
 
 def running_stock(stream: DataFrame, key: str, value: str) -> DataFrame:
