@@ -423,7 +423,7 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     return g.select(n1.alias("n_on"), n2.alias("n_off"), u.alias("u"), ((u - n1 * n2 / 2.0) / sd).alias("z"))
 
 
-def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 200, eps: float = 1e-4, tol: float = 1e-4) -> DataFrame:
+def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], iters: int = 60, eps: float = 1e-4, tol: float = 1e-4) -> DataFrame:
     """Slope and intercept per quantile by iteratively reweighted least squares; ``converged`` says whether the last pass moved less than ``tol``.
 
     Each pass is one weighted-moment aggregate for all quantiles; only the coefficients come back.

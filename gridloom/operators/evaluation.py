@@ -21,6 +21,11 @@ def pit_histogram(df: DataFrame, pct: str, bins: int = 10) -> DataFrame:
     return g.withColumn("chi2_part", (F.col("n") - exp) ** 2 / exp).drop("s")
 
 
+def pit_summary(df: DataFrame, pct: str) -> DataFrame:
+    """Of probability-integral values: count, mean, and share in the middle half (0.5 if uniform)."""
+    return df.where(F.col(pct).isNotNull()).agg(F.count("*").alias("n"), F.avg(pct).alias("mean_percentile"), F.avg(F.col(pct).between(0.25, 0.75).cast("double")).alias("middle_half"))
+
+
 def test_ledger(families: DataFrame) -> DataFrame:
     """Roll-up of (family, n, status, corrected) by status."""
     return families.groupBy("status").agg(F.count("*").alias("families"), F.sum("n").alias("tests"),

@@ -16,6 +16,22 @@ def _two_sided(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan"))
 
 
+def chi2_tail(df: DataFrame, stat: str, dof: str, out: str) -> DataFrame:
+    """Upper tail of a chi-square statistic with whole degrees of freedom.
+
+    Q(k, x) is exp(-x/2) times a finite sum for even k; for odd k the sum starts from the normal tail.
+    """
+    half, k = F.col(stat) / 2.0, F.col(dof)
+    start = F.when(k % 2 == 0, F.lit(0.0)).otherwise(F.col("_two_sided"))
+    first = F.when(k % 2 == 0, F.exp(-half)).otherwise(F.exp(-half) * F.sqrt(half) * (2.0 / math.sqrt(math.pi)))
+    terms = F.when(k % 2 == 0, k / 2).otherwise((k - 1) / 2).cast("int")
+    gap = F.when(k % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5))
+    d = normal_tail(df.withColumn("_z", F.sqrt(stat)), "_z", "_two_sided")
+    d = d.withColumn("_q", F.struct(start.alias("s"), first.alias("t"), half.alias("h"), gap.alias("g"), terms.alias("n")))
+    total = F.expr("aggregate(sequence(1, greatest(_q.n, 1)), named_struct('s', _q.s, 't', _q.t), (a, i) -> named_struct('s', a.s + a.t, 't', a.t * _q.h / (i + _q.g))).s")
+    return d.withColumn(out, F.when(F.col("_q.n") > 0, F.least(total, F.lit(1.0))).otherwise(F.col("_two_sided"))).drop("_z", "_two_sided", "_q")
+
+
 def normal_tail(df: DataFrame, z: str, out: str = "p") -> DataFrame:
     """Two-sided normal p-value; meant for small result tables."""
     return df.withColumn(out, F.nanvl(_two_sided(z), F.lit(None).cast("double")))

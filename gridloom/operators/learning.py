@@ -14,6 +14,7 @@ from gridloom.operators.joins import with_scalars
 from gridloom.operators.strategy import split_date
 
 SEED = 13
+TREES, ROUNDS = 100, 20
 
 
 def regressors(label: str = "y", features: str = "features") -> dict:
@@ -21,13 +22,13 @@ def regressors(label: str = "y", features: str = "features") -> dict:
     return {
         "ols": LinearRegression(**a), "ridge": LinearRegression(regParam=0.1, elasticNetParam=0.0, **a),
         "elastic_net": LinearRegression(regParam=0.01, elasticNetParam=0.5, **a),
-        "forest": RandomForestRegressor(numTrees=10, maxDepth=4, seed=SEED, **a),
-        "boosted": GBTRegressor(maxIter=5, maxDepth=3, seed=SEED, **a)}
+        "forest": RandomForestRegressor(numTrees=TREES, maxDepth=5, seed=SEED, **a),
+        "boosted": GBTRegressor(maxIter=ROUNDS, maxDepth=3, seed=SEED, **a)}
 
 
 def classifiers(label: str = "y", features: str = "features") -> dict:
     a = {"labelCol": label, "featuresCol": features}
-    return {"forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=SEED, **a), "boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=SEED, **a)}
+    return {"forest": RandomForestClassifier(numTrees=TREES, maxDepth=5, seed=SEED, **a), "boosted": GBTClassifier(maxIter=ROUNDS, maxDepth=3, seed=SEED, **a)}
 
 
 def assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -192,7 +193,7 @@ def boruta(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str
         for f in features:
             d = shuffled(d.withColumn(f"s_{f}", F.col(f)), f"s_{f}", key, SEED + r)
         allf = [*features, *[f"s_{f}" for f in features]]
-        m = RandomForestRegressor(numTrees=10, maxDepth=4, seed=SEED + r, labelCol=label, featuresCol="features").fit(assembled(d, allf, label))
+        m = RandomForestRegressor(numTrees=30, maxDepth=5, seed=SEED + r, labelCol=label, featuresCol="features").fit(assembled(d, allf, label))
         imp = dict(zip(allf, m.featureImportances.toArray()))
         best = max(imp[f"s_{f}"] for f in features)
         for f in features:
@@ -225,7 +226,7 @@ def selection_methods(df: DataFrame, features: Sequence[str], label: str) -> Dat
                 entered.append(f)
     entered += [f for f in features if f not in entered]
     rows += [("lasso", f, i + 1) for i, f in enumerate(entered)]
-    imp = RandomForestRegressor(numTrees=10, maxDepth=4, seed=SEED, labelCol=label, featuresCol="features").fit(d).featureImportances.toArray()
+    imp = RandomForestRegressor(numTrees=TREES, maxDepth=5, seed=SEED, labelCol=label, featuresCol="features").fit(d).featureImportances.toArray()
     cor = d.agg(*[F.abs(F.corr(f, label)).alias(f) for f in features]).first()
     for name, score in (("forest", dict(zip(features, imp))), ("correlation", cor.asDict())):
         rows += [(name, f, i + 1) for i, f in enumerate(sorted(features, key=lambda f: (-(score[f] or 0.0), f)))]

@@ -157,7 +157,7 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
     s = solve(g, k)
     if fe:
         lv = d.groupBy(*by).agg(sum((F.countDistinct(f) for f in fe[1:]), F.countDistinct(fe[0])).alias("n_fe"))
-        s = _small_join(s, lv, by, "n_fe")
+        s = _small_join(s, lv, by)
     else:
         s = s.withColumn("n_fe", F.lit(0))
     s = s.withColumn("k_eff", F.col("n_fe") + k)
@@ -180,7 +180,7 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
             meat = per.groupBy(*by).agg(
                 F.array(*[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")) for i in range(k) for j in range(k)]).alias(f"m{m}"),
                 F.count("*").cast("double").alias(f"g{m}"))
-            s = _small_join(s, meat, by, f"g{m}")
+            s = _small_join(s, meat, by)
             adj = (F.col(f"g{m}") / F.greatest(F.col(f"g{m}") - 1, F.lit(1.0))) * ((F.col("n") - 1) / F.col("dof_r"))
             s = s.withColumn(f"a{m}", adj if small_sample else F.lit(1.0))
             s = s.withColumn(f"m{m}", F.expr(f"transform(m{m}, v -> v * a{m})"))
@@ -198,12 +198,11 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
                       F.when(se > 0, coef / se).alias("t"), "n", "r2_within", "ssr", F.col("dof").cast("double").alias("dof"))
 
 
-def _small_join(a: DataFrame, b: DataFrame, by: Sequence[str], count: str) -> DataFrame:
-    """Join two result tables of one row per group; a single group joins on a constant taken from its counts."""
+def _small_join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join two result tables of one row per group; a single row is attached as a scalar."""
     if by:
         return a.join(b, list(by))
-    zero = lambda c: F.coalesce((F.col(c) * 0).cast("int"), F.lit(0))
-    return a.withColumn("_k", zero("n")).join(b.withColumn("_k", zero(count)), "_k").drop("_k")
+    return with_scalars(a, b, "_one").select(*a.columns, *[F.col(f"_one.{c}").alias(c) for c in b.columns])
 
 
 def coefficients(df: DataFrame, y: str, xs: Sequence[str], fe=(), by=(), const: bool | None = None) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -273,14 +273,26 @@ SELECT b.bin, coalesce(n, 0) AS n, {r("pow(coalesce(n, 0) - (SELECT count(*) FRO
 FROM (SELECT unnest(range(0, 10)) AS bin) b LEFT JOIN h ON h.bin = b.bin""", (
     "pit", f"SELECT ({rank_sql('dev', 'dev', 'date')} - 0.5) / count(*) OVER (PARTITION BY date) AS pct FROM dev WHERE dev.dev IS NOT NULL")).replace("\nWITH h AS", ",\nh AS"))
 def a28(t):
-    from gridloom.operators.windows import cross_rank_pct
-    d = t.dev.where("dev is not null")
-    d = cross_rank_pct(d, "dev", ["date"], "p").withColumn("n_d", F.count("*").over(Window.partitionBy("date")))
     from gridloom.operators.evaluation import pit_histogram
-    out = pit_histogram(d.select((F.col("p") - 0.5 / F.col("n_d")).alias("pct")), "pct", 10)
+    out = pit_histogram(_pit(t), "pct", 10)
     return out.select("bin", "n", rnd("chi2_part", 5).alias("chi2_part"))
 
 
+def _pit(t):
+    from gridloom.operators.joins import with_group
+    from gridloom.operators.windows import cross_rank_pct
+    d = cross_rank_pct(t.dev.where("dev is not null"), "dev", ["date"], "p")
+    return with_group(d, ["date"], n_d=F.count("*")).select((F.col("p") - 0.5 / F.col("n_d")).alias("pct"))
+
+
+@query("a28b_pit_summary", with_(f"""
+SELECT count(*) AS n, {r('avg(pct)')} AS mean_percentile, {r('avg(CAST(pct BETWEEN 0.25 AND 0.75 AS INT))')} AS middle_half FROM pit""", (
+    "pit", f"SELECT ({rank_sql('dev', 'dev', 'date')} - 0.5) / count(*) OVER (PARTITION BY date) AS pct FROM dev WHERE dev.dev IS NOT NULL")))
+def a28b(t):
+    from gridloom.operators.evaluation import pit_summary
+    return pit_summary(_pit(t), "pct").select("n", rnd("mean_percentile").alias("mean_percentile"), rnd("middle_half").alias("middle_half"))
+
+
 @query("a29_winner", with_(f"""
 SELECT kind, arg_min(m, (round(rmse * 1e9), m)) AS winner, {r("min(rmse)")} AS best FROM (
  SELECT kind, 'zero' AS m, sqrt(avg(ret * ret)) AS rmse FROM p GROUP BY 1 UNION ALL

@@ -342,6 +342,18 @@ def f14(t):
     return t.part.select("p_partkey", rnd(F.col("p_retailprice") * rate, 4).alias("realised"))
 
 
+@query("f15b_chi_square_tail", f"""
+WITH c AS (SELECT event_type, dayofweek(ts) AS d, count(*) AS n FROM events GROUP BY 1, 2),
+x AS (SELECT event_type, sum(n) AS n, count(*) - 1 AS dof, count(*) * sum(n * n) / sum(n) - sum(n) AS chi2 FROM c GROUP BY 1)
+SELECT event_type, CAST(dof AS BIGINT) AS dof, {r('chi2')} AS chi2, {r('exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8)', 8)} AS p_value FROM x""")
+def f15b(t):
+    """Are the week days of each category uniform?  The twin is the closed form for six degrees of freedom."""
+    from gridloom.operators.inference import chi2_tail
+    c = t.events.groupBy("event_type", F.dayofweek("ts").alias("d")).agg(F.count("*").alias("n"))
+    x = c.groupBy("event_type").agg((F.count("*") - 1).alias("dof"), (F.count("*") * F.sum(F.col("n") * F.col("n")) / F.sum("n") - F.sum("n")).alias("chi2"))
+    return chi2_tail(x, "chi2", "dof", "p_value").select("event_type", "dof", rnd("chi2").alias("chi2"), rnd("p_value", 8).alias("p_value"))
+
+
 @query("f15_tail_probability")
 def f15(t):
     """Two-sided normal tail of each category's mean-difference t-statistic (result rows only)."""
