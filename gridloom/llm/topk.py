@@ -101,7 +101,7 @@ def _task(k: int):
         tree = BallTree(_integers(left["v"]))
         qid = right["query_id"].to_numpy(np.int64)
         floor = right["floor"].fillna(-np.inf).to_numpy(float)
-        row, who, score = search(tree, left["vec_id"].to_numpy(np.int64), qid, _integers(right["v"]), k, floor)
+        row, who, score = search(tree, left["vec_id"].to_numpy(np.int64), qid, _integers(right["q"]), k, floor)
         return pd.DataFrame({"query_id": qid[row], "vec_id": who, "score": score.astype(np.int64)})
 
     return run
@@ -129,13 +129,12 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(m / BLOCK))
     cand = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    ask = asked.select(F.col("vec_id").alias("query_id"), "v", "dim", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).alias("block"))
+    ask = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).alias("q_block"))
 
     def meet(left: DataFrame, right: DataFrame, first: int, last: int) -> DataFrame:
         left = left.where(F.col("shard").between(first, last)).withColumn("block", F.explode(_span(0, blocks - 1)))
-        right = right.withColumn("shard", F.explode(_span(first, last)))
-        keys = ["dim", "shard", "block"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_task(k), SCHEMA)
+        right = right.withColumn("q_shard", F.explode(_span(first, last)))
+        return left.groupBy("dim", "shard", "block").cogroup(right.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(_task(k), SCHEMA)
 
     found = ws.keep(meet(cand, ask.withColumn("floor", F.lit(None).cast("double")), 0, 0))
     if shards > 1:
