@@ -47,7 +47,7 @@ def rejected_event_counts(spark: SparkSession, path: str, multi_line: bool = Tru
     """(file, documents) of the count documents that do not parse, so that a load can state what it left out."""
     d = (spark.read.schema(f"{COUNTS}, _corrupt string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path))
-    return d.where("_corrupt is not null").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("documents"))
+    return d.where("_corrupt is not null and entity is null").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("documents"))
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str, date_format: str = "yyyy-MM-dd") -> DataFrame:
