@@ -117,12 +117,15 @@ def at_horizon(df: DataFrame, entity: str, date: str, value: str, h: int, out: s
 
 
 def at_horizons(df: DataFrame, entity: str, date: str, value: str, hs: Sequence[int], out: str) -> DataFrame:
-    """Long form of ``at_horizon``: one row per (row, horizon); one shuffle for all horizons."""
-    hh = F.explode(F.array(*[F.lit(h) for h in hs])).alias("h")
-    base = df.select(*df.columns, hh)
-    fut = df.select(F.col(entity), F.col(date).alias("_d"), F.col(value).alias(out), hh).select(
-        entity, F.expr("date_sub(_d, h)").alias(date), "h", out)
-    return base.join(fut, [entity, date, "h"], "left")
+    """Long form of ``at_horizon``: one row per (row, horizon).
+
+    A range frame on the day number reads the value exactly ``h`` days ahead, so all horizons come
+    from one ordering of the series, whose rows are bounded by the calendar.
+    """
+    day = Window.partitionBy(entity).orderBy(F.unix_date(date))
+    each = [F.struct(F.lit(h).alias("h"), F.max(value).over(day.rangeBetween(h, h)).alias(out)) for h in hs]
+    d = df.withColumn("_at", F.array(*each))
+    return d.select(*df.columns, F.explode("_at").alias("_at")).select(*df.columns, F.col("_at.h").alias("h"), F.col(f"_at.{out}").alias(out))
 
 
 def with_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from gridloom.functions import scalar as S
 from gridloom.functions.num import div, half_life, rnd
 from gridloom.operators import econometrics as E, inference as I, joins as J, moments as M, pairs as P, windows as W
 from gridloom.registry import query
-from gridloom.sqltext import CTE, define, r, with_
+from gridloom.sqltext import CTE, define, r, with_, tail_sql
 
 define("reg", """SELECT entity, date, logp, ln(volume) AS lv, CAST(n AS DOUBLE) AS k, ret_row, dev, lag(dev) OVER we AS dev_lag, dev - lag(dev) OVER we AS ddev,
   lead(dev) OVER we - dev AS dnext, lag(ln(volume)) OVER we AS lv_lag FROM dev WINDOW we AS (PARTITION BY entity ORDER BY date)""")
@@ -399,13 +399,13 @@ def e28(t):
 
 
 @query("e29_multiplicity", with_(f"""
-WITH p AS (SELECT entity, fold, 1 / (1 + z * z) AS p FROM ts), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p, fold) AS i, count(*) OVER (PARTITION BY entity) AS m FROM p),
-f AS (SELECT *, p <= i * 0.6 / m AS row_ok FROM k)
-SELECT entity, fold, {r('1 - pow(1 - p, m)')} AS p_sidak, row_ok AS bh_row, coalesce(i <= max(CASE WHEN row_ok THEN i END) OVER (PARTITION BY entity), false) AS bh_step_up FROM f""", TSTAT).replace("\nWITH p AS", ",\np AS"))
+WITH p AS (SELECT entity, fold, {tail_sql('z')} AS p FROM ts), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p, fold) AS i, count(*) OVER (PARTITION BY entity) AS m FROM p),
+f AS (SELECT *, p <= i * 0.1 / m AS row_ok FROM k)
+SELECT entity, fold, {r('1 - pow(1 - p, m)', 4)} AS p_sidak, row_ok AS bh_row, coalesce(i <= max(CASE WHEN row_ok THEN i END) OVER (PARTITION BY entity), false) AS bh_step_up FROM f""", TSTAT).replace("\nWITH p AS", ",\np AS"))
 def e29(t):
-    d = tstats(t).select("entity", "fold", (1 / (1 + F.col("z") ** 2)).alias("p"))
-    b = I.bh(d, "p", ["fold"], 0.6, ["entity"])
-    return b.select("entity", "fold", rnd(I.sidak("p", F.col("m"))).alias("p_sidak"), "bh_row", "bh_step_up")
+    d = I.normal_tail(tstats(t).select("entity", "fold", "z"), "z", "p")
+    b = I.bh(d, "p", ["fold"], 0.1, ["entity"])
+    return b.select("entity", "fold", rnd(I.sidak("p", F.col("m")), 4).alias("p_sidak"), "bh_row", "bh_step_up")
 
 
 @query("e30_two_stage_least_squares", with_(f"""

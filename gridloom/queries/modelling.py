@@ -10,7 +10,7 @@ from gridloom.queries.aggregates import qbin_sql
 from gridloom.queries.econometric import nw_sql
 from gridloom.registry import query
 from gridloom.session import scratch
-from gridloom.sqltext import define, r, with_
+from gridloom.sqltext import define, r, with_, tail_sql
 
 WE = "WINDOW we AS (PARTITION BY entity ORDER BY date)"
 FEATS = ["dev_lag", "dev_mean3", "ret_lag", "lv_lag"]
@@ -145,19 +145,22 @@ FOLDED = ("bm", """SELECT fold, model, date, y, yhat FROM (SELECT year(date) AS
 @query("m11_model_summary", with_(f"""
 WITH f AS (SELECT model, fold, 1 - sum(pow(y - yhat, 2)) / sum(y * y) AS r2, sqrt(avg(pow(y - yhat, 2))) AS rmse FROM bm GROUP BY 1, 2), z AS (SELECT n.kk, mean / se AS z FROM nwr n),
 j AS (SELECT model, fold, r2, rmse, z FROM f JOIN z ON z.kk = model || '|' || fold)
-SELECT model, count(*) AS folds, {r('avg(rmse)', 5)} AS rmse, {r('avg(r2)', 5)} AS r2_oos, {r('sum(z) / sqrt(count(z))', 3)} AS z_combined, CAST(sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_better,
- avg(r2) > 0 AND sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) > count(*) / 2.0 AS beats FROM j GROUP BY 1""", FOLDED,
+SELECT model, folds, {r('rmse', 5)} AS rmse, {r('r2_oos', 5)} AS r2_oos, {r('zz', 3)} AS z_combined, CAST(n_better AS BIGINT) AS n_better,
+ i <= coalesce(last_i, 0) AS significant, i <= coalesce(last_i, 0) AND r2_oos > 0 AND zz < 0 AND n_better > folds / 2.0 AS beats
+FROM (SELECT *, max(CASE WHEN p <= i * 0.05 / m THEN i END) OVER () AS last_i FROM (SELECT *, row_number() OVER (ORDER BY p, model) AS i, count(*) OVER () AS m FROM (
+ SELECT *, {tail_sql('zz')} AS p FROM (SELECT model, count(*) AS folds, avg(rmse) AS rmse, avg(r2) AS r2_oos, sum(z) / sqrt(count(z)) AS zz, sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS n_better FROM j GROUP BY 1))))""", FOLDED,
     ("ld", "SELECT model || '|' || fold AS kk, date, avg(pow(y - yhat, 2) - y * y) AS v FROM bm GROUP BY 1, 2"), ("nwr", nw_sql("ld", "v", "date", 1, "kk"))).replace("\nWITH f AS", ",\nf AS"))
 def m11(t):
-    """Fold metrics, combined loss-differential z and the beats-the-baseline rule."""
+    """Fold metrics, combined loss-differential z, its significance over the models (step-up) and the beats-the-baseline rule."""
     b = baselines(t).withColumn("fold", F.year("date")).unpivot(["fold", "date", "y", "zero"], ["naive", "seasonal", "drift"], "model", "yhat").where("y is not null and yhat is not null")
     m = V.forecast_metrics(b, ["model", "fold"], "y", "yhat")
     z = I.diebold_mariano(b, ["model", "fold"], "date", "y", "yhat", "zero", 1).select("model", "fold", F.col("t").alias("z"))
     j = m.join(z, ["model", "fold"])
     g = j.groupBy("model").agg(F.count("*").alias("folds"), F.avg("rmse").alias("rmse"), F.avg("r2_oos").alias("r2_oos"))
     s = g.join(I.stouffer(j, ["model"], "z"), "model")
-    beats = (F.col("r2_oos") > 0) & (F.col("n_better") > F.col("folds") / 2)
-    return s.select("model", "folds", rnd("rmse", 5).alias("rmse"), rnd("r2_oos", 5).alias("r2_oos"), rnd("z_combined", 3).alias("z_combined"), "n_better", beats.alias("beats"))
+    s = I.bh(I.normal_tail(s, "z_combined", "p"), "p", ["model"])
+    beats = F.col("bh_step_up") & (F.col("r2_oos") > 0) & (F.col("z_combined") < 0) & (F.col("n_better") > F.col("folds") / 2)
+    return s.select("model", "folds", rnd("rmse", 5).alias("rmse"), rnd("r2_oos", 5).alias("r2_oos"), rnd("z_combined", 3).alias("z_combined"), "n_better", F.col("bh_step_up").alias("significant"), beats.alias("beats"))
 
 
 @query("m12_fold_stability", with_(f"""

@@ -10,7 +10,7 @@ from gridloom.functions.num import (
 from gridloom.operators import quantiles as Q
 from gridloom.operators.joins import with_scalars
 from gridloom.registry import query
-from gridloom.sqltext import r, with_
+from gridloom.sqltext import r, with_, tail_sql
 
 # ------------------------------------------------------------------ cleaning projections
 
@@ -354,10 +354,12 @@ def f15b(t):
     return chi2_tail(x, "chi2", "dof", "p_value").select("event_type", "dof", rnd("chi2").alias("chi2"), rnd("p_value", 8).alias("p_value"))
 
 
-@query("f15_tail_probability")
+@query("f15_tail_probability", f"""
+WITH g AS (SELECT event_type, (avg(value) - (SELECT avg(value) FROM events)) / (stddev(value) / sqrt(count(*))) AS t FROM events GROUP BY 1)
+SELECT event_type, {r('t')} AS t_stat, {r(tail_sql('t'), 4)} AS p_value FROM g""")
 def f15(t):
     """Two-sided normal tail of each category's mean-difference t-statistic (result rows only)."""
     from gridloom.operators.inference import normal_tail
     g = t.events.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev("value").alias("s"), F.count("*").alias("n"))
     g = with_scalars(g, t.events.agg(F.avg("value").alias("mu")), "a")
-    return normal_tail(g.select("event_type", div(F.col("m") - F.col("a.mu"), F.col("s") / F.sqrt("n")).alias("t_stat")), "t_stat", "p_value")
+    return normal_tail(g.select("event_type", div(F.col("m") - F.col("a.mu"), F.col("s") / F.sqrt("n")).alias("t_stat")), "t_stat", "p_value").select("event_type", rnd("t_stat").alias("t_stat"), rnd("p_value", 4).alias("p_value"))
