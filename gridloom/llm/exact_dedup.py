@@ -48,26 +48,25 @@ def repeated_filter(ws: Workspace, texts: Column, df: DataFrame) -> tuple[DataFr
     return ws.keep(twice.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_place")).alias("_bitmap"))), blocks
 
 
-def split_repeated(df: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(unique rows, possibly repeated rows), both with the SHA-256 ``_sha`` of the normalised text."""
+def probed(df: DataFrame, ws: Workspace) -> DataFrame:
+    """``df`` with the SHA-256 ``_sha`` of the normalised text and whether it is ``_maybe`` repeated."""
     texts = ascii_lower(F.col("text"))
     bloom, blocks = repeated_filter(ws, texts, df)
     block, places = _bits(blocks)
     keyed = df.withColumn("_text", texts).withColumn("_h", F.xxhash64("_text")).withColumn("_sha", F.sha2("_text", 256)).drop("_text")
-    probed = keyed.withColumn("_block", block).join(bounded(bloom, blocks, BLOCK // 8), "_block", "left")
+    met = keyed.withColumn("_block", block).join(bounded(bloom, blocks, BLOCK // 8), "_block", "left")
     hit = F.lit(True)
     for p in places:
         hit = hit & _is_set(F.col("_bitmap"), p)
-    probed = probed.withColumn("_maybe", F.col("_bitmap").isNotNull() & hit).drop("_bitmap", "_block", "_h")
-    return probed.where("not _maybe").drop("_maybe"), probed.where("_maybe").drop("_maybe")
+    return met.withColumn("_maybe", F.col("_bitmap").isNotNull() & hit).drop("_bitmap", "_block", "_h")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     ws = Workspace(docs.sparkSession, "exact")
-    once, maybe = split_repeated(docs.select("doc_id", "text"), ws)
-    once = once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("_sha").alias("text_sha256"))
-    maybe = maybe.select("doc_id", F.col("_sha").alias("text_sha256"))
+    rows = ws.keep(probed(docs.select("doc_id", "text"), ws).select("doc_id", F.col("_sha").alias("text_sha256"), "_maybe"))
+    once = rows.where("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    maybe = rows.where("_maybe").drop("_maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     both = once.unionByName(maybe.join(groups, "text_sha256"))
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -79,6 +78,6 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = {n: f"c{i}" for i, n in reversed(list(enumerate(docs.columns)))}
     rows = plain.withColumn("text", F.col(at["text"])).withColumn("doc_id", F.col(at["doc_id"]))
-    once, maybe = split_repeated(rows, ws)
-    best = maybe.groupBy("_sha").agg(F.max_by(F.struct(*plain.columns), F.struct("doc_id", F.xxhash64(*plain.columns))).alias("_row"))
-    return once.select(*plain.columns).unionByName(best.select("_row.*")).toDF(*docs.columns)
+    rows = probed(rows, ws)
+    best = rows.where("_maybe").groupBy("_sha").agg(F.max_by(F.struct(*plain.columns), F.struct("doc_id", F.xxhash64(*plain.columns))).alias("_row"))
+    return rows.where("not _maybe").select(*plain.columns).unionByName(best.select("_row.*")).toDF(*docs.columns)
