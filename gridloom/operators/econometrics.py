@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -473,32 +474,67 @@ def rolling_reestimation(df: DataFrame, y: str, x: str, fe: str, window: int, st
     return panel_ols(d, y, [x], fe=[fe], by=["window_id"], bounded=True).select("window_id", "coef", "se", "n")
 
 
-def panel_pca(df: DataFrame, value: str, k: int = 3, entity="entity", date="date"):
+def panel_pca(df: DataFrame, value: str, k: int = 3, entity="entity", date="date", train=None, spare: int = 8, tol: float = 1e-8, max_iter: int = 200):
     """Principal components of the standardised date x entity block, missing cells at the entity mean.
 
-    One row vector per entity over the date grid, so the Gram matrix is calendar x calendar
-    whatever the number of entities.  Returns (explained shares, date scores, entity loadings).
+    Subspace iteration: a few vectors over the dates are multiplied by the block and back, two
+    grouped joins a pass, so neither side is gathered; the driver sees the small Gram matrices of
+    those vectors.  With ``train`` (a condition), moments and loadings come from those rows only and
+    all dates are scored with them.  Returns (explained shares, date scores, entity loadings).
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    d = df.where(F.col(value).isNotNull())
-    we = Window.partitionBy(entity)
-    z = d.select(entity, date, div(F.col(value) - F.avg(value).over(we), F.stddev(value).over(we)).alias("z")).where("z is not null")
-    g = d.select(date).distinct().withColumn("g", F.lit(1))
-    days = g.select(date, (F.row_number().over(Window.partitionBy("g").orderBy(date)) - 1).alias("i"))
-    n = days.count()
-    vec = z.join(days, date).groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias("a"))
-    rows = vec.select(F.transform("a", lambda s: s["i"]).alias("i"), F.transform("a", lambda s: s["z"]).alias("z")).rdd.map(
-        lambda r: Vectors.sparse(n, list(r[0]), list(r[1])))
-    gramian = RowMatrix(rows, numCols=n).computeGramianMatrix().toArray()
-    w, q = np.linalg.eigh(gramian)
-    top = np.argsort(w)[::-1][:k]
-    sign = np.where(q[:, top].sum(axis=0) < 0, -1.0, 1.0)
-    scores = q[:, top] * sign * np.sqrt(np.clip(w[top], 0, None))
-    spark = df.sparkSession
-    share = spark.createDataFrame([(c + 1, float(w[j] / w.sum())) for c, j in enumerate(top)], "component long, share double")
-    sc = spark.createDataFrame([(i, *map(float, scores[i])) for i in range(n)], "i int, " + ", ".join(f"pc{c + 1} double" for c in range(len(top))))
-    dated = days.join(F.broadcast(sc), "i").drop("i")
-    load = z.join(dated, date).groupBy(entity).agg(*[(F.sum(F.col("z") * F.col(f"pc{c + 1}")) / float(w[j])).alias(f"load{c + 1}") for c, j in enumerate(top)])
+    d = df.where(F.col(value).isNotNull()).select(entity, date, F.col(value).cast("double").alias("_x"), (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("_t"))
+    known = d.where("_t").groupBy(F.col(entity).alias("_e")).agg(F.avg("_x").alias("_m"), F.stddev("_x").alias("_s"))
+    z = d.join(known, F.col(entity).eqNullSafe(F.col("_e"))).select(entity, date, "_t", div(F.col("_x") - F.col("_m"), "_s").alias("z")).where("z is not null")
+    z = materialise(z, "standardised")
+    zt = z.where("_t").select(entity, date, "z")
+    total, n_dates = zt.agg(F.sum(F.col("z") * F.col("z")), F.countDistinct(date)).first()
+    b = max(1, min(k + spare, n_dates or 1))
+    k = min(k, b)
+
+    def times(rows: DataFrame, vectors: DataFrame, on: str, to: str) -> DataFrame:
+        g = rows.join(vectors, on).groupBy(to).agg(*[F.sum(F.col("z") * F.col("v")[i]).alias(f"s{i}") for i in range(b)])
+        return g.select(to, F.array(*[f"s{i}" for i in range(b)]).alias("v"))
+
+    def products(rows: DataFrame, left: str, right: str) -> np.ndarray:
+        got = rows.agg(*[F.sum(F.col(left)[i] * F.col(right)[j]) for i in range(b) for j in range(b)]).first()
+        return np.array(got, dtype=float).reshape(b, b)
+
+    def rotated(rows: DataFrame, m: np.ndarray) -> DataFrame:
+        cols = [sum((F.col("v")[i] * F.lit(float(m[i, j])) for i in range(b)), F.lit(0.0)) for j in range(b)]
+        return rows.select(date, F.array(*cols).alias("v"))
+
+    def whitening(gram: np.ndarray) -> np.ndarray:
+        w, q = np.linalg.eigh((gram + gram.T) / 2)
+        return q / np.sqrt(np.maximum(w, max(w.max(), 1e-300) * 1e-14))
+
+    start = F.array(*[F.pmod(F.xxhash64(date, F.lit(j)), F.lit(2000003)) / 1000001.5 - 1.0 for j in range(b)])
+    v = materialise(zt.select(date).distinct().select(date, start.alias("v")), "subspace")
+    v = rotated(v, whitening(products(v, "v", "v")))
+    last = None
+    for _ in range(max_iter):
+        u = times(zt, times(zt, v, date, entity), entity, date)
+        both = materialise(u.join(v.select(date, F.col("v").alias("old")), date), "subspace")
+        ritz = products(both, "old", "v")
+        values, q = np.linalg.eigh((ritz + ritz.T) / 2)
+        order = np.argsort(values)[::-1]
+        values, q = values[order], q[:, order]
+        if last is not None and np.all(np.abs(values[:k] - last[:k]) <= tol * max(values[0], 1e-300)):
+            break
+        last = values
+        v = rotated(both.select(date, "v"), whitening(products(both, "v", "v")))
+    else:
+        raise RuntimeError(f"components not found in {max_iter} passes")
+    vectors = rotated(both.select(date, F.col("old").alias("v")), q)
+    sums = vectors.agg(*[F.sum(F.col("v")[i]) for i in range(k)]).first()
+    scale = [(-1.0 if x < 0 else 1.0) * math.sqrt(max(w, 0.0)) for x, w in zip(sums, values)]
+    fit = materialise(vectors.select(date, *[(F.col("v")[i] * scale[i]).alias(f"pc{i + 1}") for i in range(k)]), "scores")
+    load = zt.join(fit, date).groupBy(entity).agg(*[(F.sum(F.col("z") * F.col(f"pc{i + 1}")) / float(values[i])).alias(f"load{i + 1}") for i in range(k)])
+    if train is None:
+        dated = fit
+    else:  # every date on the training loadings, which are orthogonal over the entities
+        pl = materialise(load, "loadings")
+        ll = pl.agg(*[F.sum(F.col(f"load{i + 1}") ** 2) for i in range(k)]).first()
+        dated = z.join(pl, entity).groupBy(date).agg(*[(F.sum(F.col("z") * F.col(f"load{i + 1}")) / float(ll[i])).alias(f"pc{i + 1}") for i in range(k)])
+        load = pl
+    share = df.sparkSession.createDataFrame([(i + 1, float(values[i] / total)) for i in range(k)], "component long, share double")
     return share, dated, load

@@ -361,7 +361,8 @@ def e25(t):
 
 @query("e25b_factor_scores")
 def e25b(t):
-    share, dated, load = E.panel_pca(t.prm, "ret_row", 3)
+    """Lagged scores of all months on loadings that come from the first part of the months only."""
+    share, dated, load = E.panel_pca(t.prm, "ret_row", 3, train=F.col("date") <= "1997-06-01")
     w = Window.partitionBy(F.lit(1)).orderBy("date")
     return dated.select("date", *[F.lag(f"pc{i}").over(w).alias(f"pc{i}_lag") for i in (1, 2, 3)])
 

@@ -156,3 +156,26 @@ def test_pit_summary(spark):
     df = spark.range(1000).select(((F.col("id") + 0.5) / 1000).alias("p"))
     got = V.pit_summary(df, "p").first()
     assert got.n == 1000 and abs(got.mean_percentile - 0.5) < 1e-12 and got.middle_half == 0.5
+
+
+def test_components_match_a_dense_solution(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 25)) * [[1.0]] + 0.3 * rng.normal(size=(40, 25))
+    rows = [(e, int(d), float(x[d, e])) for e in range(25) for d in range(40) if (d * 7 + e) % 11]
+    df = spark.createDataFrame(rows, "entity int, date int, x double")
+    z = np.zeros((40, 25))
+    for e in range(25):
+        at = [d for d in range(40) if (d * 7 + e) % 11]
+        z[at, e] = (x[at, e] - x[at, e].mean()) / x[at, e].std(ddof=1)
+    w, q = np.linalg.eigh(z @ z.T)
+    share, dated, load = E.panel_pca(df, "x", 3, tol=1e-13)
+    assert np.allclose([r.share for r in share.orderBy("component").collect()], w[::-1][:3] / w.sum(), atol=1e-9)
+    got = np.array([[r.pc1, r.pc2, r.pc3] for r in dated.orderBy("date").collect()])
+    want = q[:, ::-1][:, :3] * np.sqrt(w[::-1][:3])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-4)
+    loads = np.array([[r.load1, r.load2, r.load3] for r in load.orderBy("entity").collect()])
+    assert abs(np.sum((z - got @ loads.T) ** 2) - w[::-1][3:].sum()) < 1e-6 * w.sum()
+    # training rows alone decide the loadings; later dates are scored with them
+    first = E.panel_pca(df.where("date < 25"), "x", 2, tol=1e-13)[2].orderBy("entity").collect()
+    held = E.panel_pca(df, "x", 2, train=F.col("date") < 25, tol=1e-13)
+    assert np.allclose([abs(r.load1) for r in first], [abs(r.load1) for r in held[2].orderBy("entity").collect()], atol=1e-6) and held[1].count() == 40
