@@ -33,10 +33,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import to_workers
+
 #: Words that a worker remembers at most before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: State and token pairs whose arc a worker remembers at most.
-ARCS = 500_000
+ARCS = 200_000
 END = "</w>"
 
 
@@ -189,9 +191,17 @@ class Tokenizer:
         return " ".join([*map(self.labels.__getitem__, ids)])
 
 
+#: Rows that a worker turns into output at a time.
+ROWS = 256
 _made: dict[str, Tokenizer] = {}
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _tokenizer(spec: str) -> Tokenizer:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _made:
@@ -210,7 +220,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec.value)
-        for batch in batches:
+        for batch in _parts(batches):
             raw = [tok.encode(t) for t in _texts(batch, text)]
             ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
             flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
@@ -218,7 +228,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*(f.name for f in others), "n_tokens", "token_ids"])
 
     rows = docs.select(*(f.name for f in others), text)
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, token_ids array<int>"]))
+    return to_workers(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, token_ids array<int>"]))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -228,7 +238,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec.value)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column(batch.schema.get_field_index("token_ids")).to_pylist()
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([None if x is None else tok.decode(x) for x in ids], pa.string())], names=[*(f.name for f in others), "decoded"])
@@ -243,7 +253,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec.value)
-        for batch in batches:
+        for batch in _parts(batches):
             n, ids, said = [], [], []
             for t in _texts(batch, "text"):
                 raw = tok.encode(t)
@@ -253,4 +263,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(said, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return to_workers(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,30 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of whole texts that travel to a Python worker at a time; Spark's own default fits short rows.
+TEXT_ROWS = 1000
+
+
+def to_workers(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts, in small batches; memory goes back to the system at a task's end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give freed memory back: Python workers outlive their task and share the executor's memory with the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Workspace:
     """Intermediate tables of one operator run, in the shared folder; dropped when no longer read."""
 
@@ -89,13 +115,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, docs: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of whole texts of about ``limit`` bytes; nulls are empty."""
-    col = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.large_binary())
-    n = len(col)
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19, docs: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of whole texts of about ``limit`` bytes; nulls are empty.
+
+    The bytes are views of the batch.
+    """
+    col = batch.column(batch.schema.get_field_index(column))
+    col = pc.fill_null(col, "") if col.null_count else col
+    n, width = len(col), np.int64 if pa.types.is_large_string(col.type) else np.int32
     if not n:
         return
-    offs = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + n + 1]
+    offs = np.frombuffer(col.buffers()[1], dtype=width)[col.offset : col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None and col.buffers()[2].size else np.zeros(0, np.uint8)
     at = 0
     while at < n:

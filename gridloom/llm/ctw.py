@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOW, HashTable, Workspace, fold_remainder, text_slices, word_hashes
+from gridloom.llm.common import LOW, HashTable, Workspace, fold_remainder, text_slices, to_workers, word_hashes
 
 DEPTH = 5
 SLICE = 4_000_000
 HOT = 1 << 19
 #: Runs that a task collects before it reduces them.
-HELD = 4_000_000
+HELD = 2_000_000
 GRAM, WORD, DOCS = 0, 1, 2
 _HALF = np.log(0.5)
 
@@ -236,7 +236,7 @@ def score(docs: DataFrame, learn=None, depth: int = DEPTH, slice_: int = SLICE,
     spark, top = docs.sparkSession, min(2, depth)
     ws = Workspace(spark, "ctw")
     held = F.coalesce(fold_remainder(F.col("doc_id")) == 1, F.lit(False)) if learn is None else ~learn
-    counts = docs.select((~held).alias("learn"), "text").mapInArrow(_count(depth), "kind int, key long, n long")
+    counts = to_workers(docs.select((~held).alias("learn"), "text"), _count(depth), "kind int, key long, n long")
     counts = ws.keep(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -267,7 +267,7 @@ def score(docs: DataFrame, learn=None, depth: int = DEPTH, slice_: int = SLICE,
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.xxhash64("text").alias("text_hash"), "text")
     schema = "rid long, doc_id long, held_out boolean, text_hash long, words long, known long, base double, n_bytes long, score double, rare array<long>, times array<int>"
-    scored = lambda k: rows.mapInArrow(_score(depth, part(k), hot, (uuid.uuid4().hex, uuid.uuid4().hex)), schema)
+    scored = lambda k: to_workers(rows, _score(depth, part(k), hot, (uuid.uuid4().hex, uuid.uuid4().hex)), schema)
     out = ws.keep(scored(0))
     rare = out.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
     cold = words.where(F.col("n") < least)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BROADCAST_BYTES, Workspace, mix, text_slices, word_hashes
+from gridloom.llm.common import BROADCAST_BYTES, Workspace, mix, text_slices, to_workers, word_hashes
 
 WORDS = 5
 SAMPLES, BANDS = 128, 32
@@ -120,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame) -> DataFrame:
     """Of every row: a row number, id, text hash, set size, set fingerprint (p1, p2), band keys, odd sketch and set parity."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_sketches, "rid long, doc_id long, text_hash long, n_shingles long, p1 long, p2 long, bands array<long>, sketch array<long>, parity array<long>")
+    return to_workers(rows, _sketches, "rid long, doc_id long, text_hash long, n_shingles long, p1 long, p2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _differing(a: str, b: str, bits: int):
@@ -165,7 +165,7 @@ def _full_sets(ws: Workspace, docs: DataFrame, nodes: DataFrame, ids: DataFrame)
     lows = ids.select(F.col("low").alias("_low")).distinct()
     few = ids.count() * 16 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(lows) if few else lows, F.col("doc_id").cast("long").eqNullSafe(F.col("_low")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "p1 long, p2 long, shingles array<long>").join(ids, ["p1", "p2"])
+    sets = to_workers(texts, _sets, "p1 long, p2 long, shingles array<long>").join(ids, ["p1", "p2"])
     sets = ws.keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     ws.drop(ids)
     return sets

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NO_LETTER, fold_remainder, text_slices, word_hashes
+from gridloom.llm.common import NO_LETTER, fold_remainder, text_slices, to_workers, word_hashes
 
 POSITIVES, UNLABELLED = 4000, 12000
 BITS = 18
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES, u
     rows = docs.select("doc_id", "text").where(learn)
     rows = rows.withColumn("sampled", part("u") < rate(rows.select("doc_id").count(), unlabelled)).join(F.broadcast(some), "doc_id", "left")  # at most about ``positives`` ids
     rows = rows.where("confirmed or sampled").select(F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "sampled", "text")
-    got = rows.mapInArrow(_featured, "confirmed boolean, sampled boolean, features array<int>").toArrow()
+    got = to_workers(rows, _featured, "confirmed boolean, sampled boolean, features array<int>").toArrow()
     each = got.column("features").combine_chunks()
     ends, flat = each.offsets.to_numpy(), each.values.to_numpy()
     sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(np.where(np.isneginf(m.bias), 0.0, s))], names=[*names, "toxic_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*names).mapInArrow(run, f"{kinds}, toxic_score double")
+    return to_workers(docs.select(*names), run, f"{kinds}, toxic_score double")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
