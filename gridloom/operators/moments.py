@@ -35,11 +35,11 @@ def demean(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame
 
 
 def absorb(df: DataFrame, cols: Sequence[str], fe: Sequence[str], by: Sequence[str] = (), tol: float = 1e-10,
-           max_iter: int = 200, every: int = 4) -> DataFrame:
+           max_iter: int = 200, every: int = 1) -> DataFrame:
     """Remove fixed effects.  One effect is a window; more alternate until the group means vanish.
 
-    The iteration checkpoints every few sweeps so that the plan stays short and survives the loss
-    of executors.
+    Every sweep is checkpointed: demeaning reads its source twice, so the plan would double, and a
+    lost executor costs one sweep.
     """
     by = list(by)
     if not fe:
