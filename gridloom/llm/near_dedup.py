@@ -211,7 +211,11 @@ def _open_members(ws: Workspace, docs: DataFrame, nodes: DataFrame, split: DataF
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and class_size (rows with an equal set)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and class_size (rows with an equal set).
+
+    Then text_hash, and ``component``: a number that tells components apart where ids are null or
+    repeated; null for a row that is alone in its component.
+    """
     ws = Workspace(docs.sparkSession, "near")
     rows = ws.keep(sketch(docs))
     full = rows.where("n_shingles > 0")
@@ -242,21 +246,29 @@ def near_classes(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     placed = nodes.join(roots, "node", "left").select("p1", "p2", "low", "class_size", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     lows = placed.where("linked").groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.where("linked or class_size > 1").join(lows, "root", "left")
-    named = ws.keep(named.select("p1", "p2", "class_size", F.coalesce("component_id", "low").alias("component_id")))
+    named = ws.keep(named.select("p1", "p2", "class_size", F.coalesce("component_id", "low").alias("component_id"), F.col("root").alias("component")))
     ws.drop(nodes, members, links, split, open_, more)
     out = rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("p1")).alias("p1"), "p2").join(named, ["p1", "p2"], "left")
     cid = F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_hash")
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_hash", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id, one if that id repeats."""
+    """The rows of ``docs`` that stay: of each component the row with the smallest id, one if that id repeats.
+
+    Components are told apart by their own number, not by their id: texts without an id, and
+    unrelated texts under one id, all stay.
+    """
     rows = near_classes(docs, threshold)
-    id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64("text")
+    texts = rows.where("kept and component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = texts.groupBy("component").agg(F.min("text_hash").alias("first"))
+    texts = texts.join(first, "component").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", (F.col("text_hash") == F.col("first")).alias("stays"))
+    # equal texts are in one component, so id and text hash name the component too
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     gone = rows.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    stay = docs.join(gone, id_.eqNullSafe(F.col("_id")) & (hash_ == F.col("_hash")), "left_anti")
-    repeated = rows.where("kept and n_shingles > 0").groupBy("component_id").count().where("count > 1").select(F.col("component_id").alias("_id"))
+    stay = docs.join(gone.union(texts.where("not stays").select("_id", "_hash")), same, "left_anti")
+    repeated = texts.where("stays and n > 1").select("_id", "_hash")
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated, id_.eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(repeated, id_.eqNullSafe(F.col("_id")), "left_anti").unionByName(once)
+    once = stay.join(repeated, same).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return stay.join(repeated, same, "left_anti").unionByName(once)

@@ -96,6 +96,16 @@ def test_near_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in drop_near_duplicates(frame(spark, rows)).collect()) == [0, 1, 7]
 
 
+def test_near_null_and_shared_ids(spark):
+    one, two, three = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z a c e g"
+    rows = [(None, one), (None, one.upper()), (None, two), (None, three), (None, None), (None, "")]  # three texts and two empty ones without an id
+    rows += [(5, "1 2 3 4 5 6 7 8"), (5, "1 2 3 4 5 6 7 8"), (5, "9 8 7 6 5 4 3"), (5, ""), (6, "1 2 3 4 5 6 7 8")]  # one id over two unrelated texts
+    out = drop_near_duplicates(frame(spark, rows))
+    assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()))
+    assert got == sorted([(0, one), (0, two), (0, three), (0, ""), (0, ""), (5, "1 2 3 4 5 6 7 8"), (5, "9 8 7 6 5 4 3"), (5, "")])
+
+
 def test_connected_chain(spark):
     from gridloom.llm.common import Workspace
 
