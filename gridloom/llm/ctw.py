@@ -194,8 +194,12 @@ def _table(name: str, sent) -> HashTable:
 
 
 def _by_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return total[first[1:]] - total[first[:-1]]
+    """Sum of each text's values, over nothing but these: equal texts get equal sums wherever they stand."""
+    some = np.flatnonzero(np.diff(first))
+    total = np.zeros(len(first) - 1)
+    if len(some):
+        total[some] = np.add.reduceat(values.astype(np.float64, copy=False), first[some])
+    return total
 
 
 def _score(depth: int, model, hot, names: tuple[str, str]):
@@ -274,7 +278,7 @@ def score(docs: DataFrame, learn=None, depth: int = DEPTH, slice_: int = SLICE,
     rare = rare.join(cold, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(of)))).alias("more_base"))
     out = out.drop("rare", "times").join(rare, "rid", "left")
     if slices > 1:
-        more = [ws.keep(scored(k).select("doc_id", "text_hash", F.lit(k).alias("k"), "score").distinct()) for k in range(1, slices)]
+        more = [ws.keep(scored(k).select("doc_id", "text_hash", "score").groupBy("doc_id", "text_hash").agg(F.min("score").alias("score"))) for k in range(1, slices)]
         for m in more[1:]:
             more[0] = more[0].union(m)
         rest = more[0].groupBy("doc_id", "text_hash").agg(F.sum("score").alias("_more")).toDF("_d", "_t", "_more")

@@ -89,6 +89,20 @@ def test_ctw_edges(spark):
     assert len({r.score for r in got if r.doc_id == 1}) == 1 and not next(r for r in got if r.doc_id is None).held_out
 
 
+def test_ctw_repeated_rows_over_slices(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 6))) for _ in range(40))
+    same, rows = {i: text() for i in (None, 1, 2, 3, 4)}, []
+    for k in range(40):  # copies stand behind different texts
+        rows += [(10 + k, text()), *((i, t) for i, t in same.items() if k % 8 == 0 or i == 1)]
+    learnt = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 != 1)  # rows without an id are learnt from
+    want = ctw_brute([(learnt if i is None else i, t) for i, t in rows], 3)
+    want[None] = want[learnt]
+    got = ctw.score(docs(spark, rows), depth=3, slice_=300).collect()
+    assert len(got) == len(rows) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-4
+    assert len({r.doc_id for r in got}) == len({(r.doc_id, r.score, r.base_score) for r in got})
+
+
 def test_licenses(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0.\nmore"),
