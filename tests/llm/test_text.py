@@ -132,6 +132,32 @@ def test_blocks():
     assert [t for z, t in got if z == html_text.LOOSE] == ["before"]
 
 
+@pytest.mark.parametrize(
+    "page, body",
+    [
+        ("<body><form id='aspnetForm'><nav>n</nav><article><h1>t</h1><p>x</article><footer>f</footer></form>", ["t", "x"]),
+        ("<form><div class='content'>x<form>mail</form></div><input></form>", ["x"]),
+        ("<div class='layout has-sidebar'><article>x</article><div class='sidebar'>s</div></div>", ["x"]),
+        ("<div class='no-sidebar page-header-fixed social-page'><main>x</main></div>", ["x"]),
+        ("<div class='header'>h<div id='content'>x</div></div>", ["x"]),
+        ("<div class='sidebar'>s<main>x<div class='sidebar'>s</div></main></div>", ["x"]),
+        ("<article><div class='post-header'>t</div>x<div class='share'>s</div><div class='site-footer'>f</div></article>", ["t", "x"]),
+        ("<article>x<div id='comments'><article>c</article></div><aside><article>a</article></aside><form>mail</form></article>", ["x"]),
+        ("<article>x</article><article class='comment'>c</article><div class='related'><article>r</article></div>", ["x"]),
+    ],
+)
+def test_body_in_dropped_wrappers(page, body):
+    assert [t for z, t in html_text.blocks(page) if z == html_text.BODY] == body
+
+
+def test_empty_pages_reach_the_suffix_array(spark):
+    plate = " ".join(f"plate{k}" for k in range(20))
+    rows = [(i, "http://a.com/x", f"<body><form><nav>menu</nav><p>own text {i}</p><div>{plate}</div></form><footer>f</footer>") for i in range(3)]
+    rows += [(9, "http://a.com/y", "<nav>menu</nav><footer>f</footer>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i}" for i in range(3)} | {9: ""}
+
+
 @pytest.mark.parametrize("shard", [2_000_000, 300])
 def test_host_runs(spark, shard):
     rnd = random.Random(3)
