@@ -9,6 +9,7 @@ from gridloom.llm import bpe, ctw
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.html_text import extract
 from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan
+from gridloom.llm.merkle import FIELDS, document_manifest
 from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
@@ -168,3 +169,44 @@ def op9(pages: DataFrame) -> DataFrame:
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity score of every document, learnt without the held-out fold."""
     return held_out_scores(docs, labels)
+
+
+#: crc32 of the id as text, computed bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)))"""
+
+
+def _merkle_sql() -> str:
+    part = lambda c, s: f"coalesce(strlen(CAST({s} AS VARCHAR)) || ':' || CAST({s} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c, text if c == "text" else c) for c in FIELDS) + ")"
+    sides = """string_agg(h, '') OVER (PARTITION BY {g}, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+               string_agg(h, '') OVER (PARTITION BY {g}, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r"""
+    return f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {CRC_SQL} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(lvl, source, pos, n, h) AS (
+  SELECT 0, source, pos, n, leaf FROM o
+  UNION ALL SELECT lvl + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, source, pos // 3, n),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 3, n),
+ts AS (SELECT *, {sides.format(g="lvl, source")} FROM t WHERE n > 1),
+us AS (SELECT *, {sides.format(g="lvl")} FROM u WHERE n > 1),
+up AS (SELECT s.source, list(struct_pack(l := coalesce(us.l, ''), r := coalesce(us.r, ''), h := '') ORDER BY us.lvl) AS steps FROM s JOIN us ON us.pos = s.pos // CAST(3 ** us.lvl AS BIGINT) GROUP BY s.source),
+lo AS (SELECT o.source, o.pos, list(struct_pack(l := coalesce(ts.l, ''), r := coalesce(ts.r, ''), h := '') ORDER BY ts.lvl) AS steps
+       FROM o JOIN ts ON ts.source IS NOT DISTINCT FROM o.source AND ts.pos = o.pos // CAST(3 ** ts.lvl AS BIGINT) GROUP BY o.source, o.pos),
+j AS (SELECT o.*, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(lo.steps, []) || coalesce(up.steps, []) AS steps
+      FROM o JOIN s ON s.source IS NOT DISTINCT FROM o.source LEFT JOIN up ON up.source IS NOT DISTINCT FROM o.source
+      LEFT JOIN lo ON lo.source IS NOT DISTINCT FROM o.source AND lo.pos = o.pos),
+f AS (SELECT *, list_reduce(list_prepend(struct_pack(l := '', r := '', h := coalesce(tampered, leaf)), steps),
+                            lambda a, b: struct_pack(l := '', r := '', h := sha256(b.l || a.h || b.r))).h AS folded_root FROM j)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM f"""
+
+
+@op("op13_merkle_manifest", "documents", sql=_merkle_sql())
+def op13(docs: DataFrame) -> DataFrame:
+    """Leaf, roots, proof and the check of a tampered text of every document."""
+    return document_manifest(docs)
