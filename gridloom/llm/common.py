@@ -135,8 +135,8 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19, docs:
         at = end
 
 
-def word_hashes(b: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """Hashes of the words between separators, A-Z lower-cased, and where each text's words begin (one more at the end).
+def word_hashes(b: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = (), fold: bool = True) -> tuple[np.ndarray, ...]:
+    """Hashes of the words between separators, A-Z lower-cased if ``fold``, and where each text's words begin (one more at the end).
 
     Then, for each of ``prefixes``, the hashes of the words' first so many bytes, told apart from whole words.
     """
@@ -160,7 +160,7 @@ def word_hashes(b: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE,
         return (none, first) + (none,) * len(prefixes)
     at = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    each = BYTE_VALUE[LOW[b[word]]] * powers(int(lens.max()))[place]
+    each = BYTE_VALUE[LOW[b[word]] if fold else b[word]] * powers(int(lens.max()))[place]
     h = mix(np.add.reduceat(each, at))
     cut = (mix(np.add.reduceat(np.where(place < k, each, np.uint64(0)), at) + np.uint64(k)) for k in prefixes)
     return h, first, *cut

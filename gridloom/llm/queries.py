@@ -13,6 +13,7 @@ from gridloom.llm.merkle import FIELDS, document_manifest
 from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
 from gridloom.llm.registry import ORACLE, QUERIES, op
+from gridloom.llm.runs import collapse_runs
 from gridloom.llm.topk import top_k
 from gridloom.llm.toxicity import held_out_scores
 from gridloom.llm.url_rules import HOST_RULES, UNWANTED, judge
@@ -171,6 +172,12 @@ def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return held_out_scores(docs, labels)
 
 
+@op("op12_periodic_runs", "documents")
+def op12(docs: DataFrame) -> DataFrame:
+    """Runs of periodic words of every document and the text with each run cut to its first period."""
+    return collapse_runs(docs)
+
+
 #: crc32 of the id as text, computed bit by bit.
 CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::UBIGINT)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)))"""
