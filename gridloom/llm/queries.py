@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, ctw
+from gridloom.llm import bpe, ctw, quality
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.html_text import extract
 from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan
@@ -172,6 +172,12 @@ def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return held_out_scores(docs, labels)
 
 
+@op("op11_quality", "documents", "labels")
+def op11(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Quality score of every document, learnt without the held-out fold."""
+    return quality.held_out_scores(docs, labels)
+
+
 @op("op12_periodic_runs", "documents")
 def op12(docs: DataFrame) -> DataFrame:
     """Runs of periodic words of every document and the text with each run cut to its first period."""
