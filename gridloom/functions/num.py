@@ -27,6 +27,15 @@ def div(a: str | Column, b: str | Column) -> Column:
     return F.when(d != 0, col(a).cast("double") / d)
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation of the complete pairs; NULL where a side has no spread (``corr`` raises there)."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(a, b), spread))
+
+
 def mean_skipnull(*cs: str | Column) -> Column:
     """Row-wise mean over the columns that are present."""
     xs = [col(c).cast("double") for c in cs]

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.functions import scalar as S
-from gridloom.functions.num import div, half_life
+from gridloom.functions.num import div, half_life, safe_corr
 from gridloom.operators import windows as W
 from gridloom.operators.inference import nw_mean, nw_panel, per_date_mean
-from gridloom.operators.joins import leave_one_out, peer_mean, with_scalars
+from gridloom.operators.joins import leave_one_out, peer_mean, with_group, with_scalars
 from gridloom.operators.moments import attach, coefficients, complete, demean, panel_ols, _lin
 from gridloom.operators.quantiles import exact_quantiles, running
 from gridloom.session import materialise
@@ -211,8 +211,7 @@ def identification(df: DataFrame, flags: Sequence[str], date="date", tol: float
 
 def morans_i(df: DataFrame, value: str, group: str, date="date") -> DataFrame:
     """Moran's I per date with same-group row-normalised weights."""
-    wd = Window.partitionBy(date)
-    d = df.where(F.col(value).isNotNull()).withColumn("_z", F.col(value) - F.avg(value).over(wd))
+    d = with_group(df.where(F.col(value).isNotNull()), [date], _m=F.avg(value)).withColumn("_z", F.col(value) - F.col("_m"))
     p = peer_mean(d, [date, group], "_z", "_p")
     g = p.where("_p is not null").groupBy(date).agg((F.sum(F.col("_z") * F.col("_p")) / F.sum(F.col("_z") * F.col("_z"))).alias("moran"), F.count("*").alias("n"))
     return g
@@ -319,7 +318,7 @@ def variance_ratio(df: DataFrame, ret: str, qs: Sequence[int] = (2, 5, 10, 20),
 def roll_spread(df: DataFrame, ret: str, entity="entity", date="date") -> DataFrame:
     w = W.series(entity, date)
     d = df.where(F.col(ret).isNotNull()).withColumn("_l", F.lag(ret).over(w))
-    g = d.groupBy(entity).agg(F.covar_samp(ret, "_l").alias("gamma1"), F.corr(ret, "_l").alias("ac1"), F.count("*").alias("n"))
+    g = d.groupBy(entity).agg(F.covar_samp(ret, "_l").alias("gamma1"), safe_corr(ret, "_l").alias("ac1"), F.count("*").alias("n"))
     return g.withColumn("roll_spread_pct", F.when(F.col("gamma1") < 0, 200 * F.sqrt(-F.col("gamma1"))))
 
 
@@ -452,12 +451,12 @@ def quantile_regression(df: DataFrame, y: str, x: str, taus: Sequence[float], it
 
 
 def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:
-    """Variance inflation from the inverse correlation matrix."""
+    """Variance inflation from the inverse correlation matrix; a column without spread is correlated with nothing (1)."""
     from gridloom.operators.moments import _solve
 
     d = complete(df, list(xs))
     k = len(xs)
-    c = d.agg(F.array(*[F.lit(1.0) if i == j else F.corr(xs[i], xs[j]) for i in range(k) for j in range(k)]).alias("xx"), F.array(*[F.lit(0.0)] * k).alias("xy"))
+    c = d.agg(F.array(*[F.lit(1.0) if i == j else F.coalesce(safe_corr(xs[i], xs[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).alias("xx"), F.array(*[F.lit(0.0)] * k).alias("xy"))
     s = c.select(_solve("xx", "xy").alias("s"))
     z = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.col("s")[k + i * k + i].alias("vif")) for i, x in enumerate(xs)])).alias("z")
     return s.select(z).select("z.term", "z.vif")

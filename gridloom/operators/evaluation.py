@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.functions.num import div
+from gridloom.functions.num import div, safe_corr
 from gridloom.operators.joins import with_scalars
 from gridloom.operators.quantiles import exact_quantiles
 
@@ -86,7 +86,7 @@ def metric_columns(y: str, yhat: str, base: Column | None = None) -> list[Column
         F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (1 - F.sum(e * e) / F.sum(F.when(e.isNotNull(), b * b))).alias("r2_oos"),
         F.avg((F.signum(F.col(y)) == F.signum(F.col(yhat))).cast("double")).alias("dir_acc"),
-        F.corr(y, yhat).alias("corr")]
+        safe_corr(y, yhat).alias("corr")]
 
 
 def forecast_metrics(preds: DataFrame, by: Sequence[str], y: str, yhat: str, base: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.functions.num import div, log_floor
+from gridloom.functions.num import div, log_floor, safe_corr
 from gridloom.operators import windows as W
 
 
@@ -18,7 +18,7 @@ def shift_features(df: DataFrame, cols: Sequence[str], entity="entity", date="da
 
 def leakage(df: DataFrame, features: Sequence[str], target: str, limit: float = 0.25) -> DataFrame:
     """Correlation of each feature with the next target, one aggregate for all."""
-    a = df.agg(*[F.corr(f, target).alias(f) for f in features])
+    a = df.agg(*[safe_corr(f, target).alias(f) for f in features])
     return a.unpivot([], list(features), "feature", "corr").withColumn("ok", F.abs("corr") < limit)
 
 

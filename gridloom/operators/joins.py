@@ -172,7 +172,7 @@ def rank_in_reference(df: DataFrame, ref: DataFrame, by: str, value: str, out: s
     from gridloom.operators.quantiles import running
 
     both = df.select(by, value, F.lit(0).alias("_ref")).unionByName(ref.select(by, value, F.lit(1).alias("_ref")))
-    ranks = running(both, value, [by], ["_ref"], grid=False).select(F.col(by).alias("_by"), "v", "c__ref")
+    ranks = running(both, value, [by], ["_ref"]).select(F.col(by).alias("_by"), "v", "c__ref")
     n = ref.groupBy(F.col(by).alias("_d")).agg(F.count("*").alias("_n"))
     d = df.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(value).cast("double") == F.col("v")), "left").join(n, F.col(by).eqNullSafe(F.col("_d")), "left")
     return d.withColumn(out, F.when(F.col("_n") > 0, F.coalesce("c__ref", F.lit(0)) / F.col("_n"))).withColumn("n_ref", F.coalesce("_n", F.lit(0)).cast("long")).drop("_by", "v", "c__ref", "_d", "_n")

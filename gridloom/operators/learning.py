@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gridloom.functions.num import safe_corr
 from gridloom.operators.joins import with_scalars
 from gridloom.operators.strategy import split_date
 
@@ -227,7 +228,7 @@ def selection_methods(df: DataFrame, features: Sequence[str], label: str) -> Dat
     entered += [f for f in features if f not in entered]
     rows += [("lasso", f, i + 1) for i, f in enumerate(entered)]
     imp = RandomForestRegressor(numTrees=TREES, maxDepth=5, seed=SEED, labelCol=label, featuresCol="features").fit(d).featureImportances.toArray()
-    cor = d.agg(*[F.abs(F.corr(f, label)).alias(f) for f in features]).first()
+    cor = d.agg(*[F.abs(safe_corr(f, label)).alias(f) for f in features]).first()
     for name, score in (("forest", dict(zip(features, imp))), ("correlation", cor.asDict())):
         rows += [(name, f, i + 1) for i, f in enumerate(sorted(features, key=lambda f: (-(score[f] or 0.0), f)))]
     d.unpersist()
@@ -320,12 +321,13 @@ def activity_index(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> D
     import numpy as np
 
     st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev(c).alias(f"s_{c}") for c in cols],
-                *[F.corr(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]).first()
+                *[safe_corr(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]).first()
     k = len(cols)
-    c = np.array([[st[f"c_{i}_{j}"] if i != j else 1.0 for j in range(k)] for i in range(k)], float)
+    c = np.array([[(st[f"c_{i}_{j}"] or 0.0) if i != j else 1.0 for j in range(k)] for i in range(k)], float)
     v = np.linalg.eigh(c)[1][:, -1]
     v = v * (1.0 if v.sum() >= 0 else -1.0)
     e = F.lit(0.0)
     for w, x in zip(v, cols):
-        e = e + float(w) * (F.col(x) - float(st[f"m_{x}"])) / float(st[f"s_{x}"])
+        if st[f"s_{x}"]:  # a constant column says nothing
+            e = e + float(w) * (F.col(x) - float(st[f"m_{x}"])) / float(st[f"s_{x}"])
     return df.select(*keep, e.alias("idx_activity"))

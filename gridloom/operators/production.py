@@ -154,8 +154,9 @@ def derive_daily(raw: DataFrame, population: DataFrame, ladder: Sequence[float]
     for x in ladder:
         d = d.withColumn(f"realised_{int(x * 100)}", c("direct") + x * c("sale"))
     spans = raw.groupBy(entity).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    exp = alive_on_date(spans, "lo", "hi", raw.select(date), date)
-    d = d.withColumn("reporting", F.count("*").over(Window.partitionBy(date))).join(exp, date, "left")
+    exp = alive_on_date(spans, "lo", "hi", raw.select(date), date)  # a row per date
+    exp = exp.join(raw.groupBy(date).agg(F.count("*").alias("reporting")), date)
+    d = d.join(exp, date, "left")
     d = d.withColumn("partial_date", c("reporting") < F.ceil(c("expected") * 0.80))
     d = d.withColumn("low_quality", F.coalesce(c("coverage") < min_coverage, F.lit(True)) | c("partial_date"))
     d = d.join(population.select(entity, "population"), entity, "left")
@@ -193,9 +194,8 @@ def join_health(daily: DataFrame, floor: float = 0.5, entity="entity") -> DataFr
 def daily_counts(events: DataFrame, special: Sequence[str], shift_days: int = -1, entity="entity", date="date") -> DataFrame:
     """Totals, special and distinct categories, concentration; the date moves to the day described, zero days go."""
     c = F.col
-    t = Window.partitionBy(entity, date)
-    d = events.withColumn("share", c("n") / F.sum("n").over(t))
-    g = d.groupBy(entity, date).agg(
+    g = events.groupBy(entity, date).agg(
         F.sum("n").alias("total"), F.sum(F.when(c("category").isin(*special), c("n")).otherwise(0)).alias("special"),
-        F.count("*").alias("categories"), F.sum(c("share") * c("share")).alias("hhi"), F.max("share").alias("top_share"))
+        F.count("*").alias("categories"), F.sum(c("n").cast("double") * c("n")).alias("_sq"), F.max("n").alias("_top"))
+    g = g.withColumn("hhi", div("_sq", c("total").cast("double") * c("total"))).withColumn("top_share", div("_top", "total")).drop("_sq", "_top")
     return g.where("total > 0").withColumn(date, F.date_add(date, shift_days))

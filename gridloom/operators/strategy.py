@@ -144,11 +144,8 @@ def holdout(df: DataFrame, horizons: Sequence[int], band: float = BAND, share: f
 
 def dispersion_regime(df: DataFrame, horizons: Sequence[int], within: bool = False, band: float = BAND, share: float = 0.70, cost: float = LARGE) -> DataFrame:
     """The widest decile split by terciles of the day's dispersion, pooled or inside each period."""
-    from pyspark.sql import Window
-
-    d = df.withColumn("disp", F.stddev("dev").over(Window.partitionBy("date")))
-    sig = signals(df, horizons).where("gross is not null and dev_lag is not null").join(
-        d.groupBy("date").agg(F.first("disp").alias("disp")), "date").where("disp is not null")
+    disp = df.groupBy("date").agg(F.stddev("dev").alias("disp"))
+    sig = signals(df, horizons).where("gross is not null and dev_lag is not null").join(disp, "date").where("disp is not null")
     if within:
         sig = with_scalars(sig, split_date(df, share), "s")
         sig = sig.withColumn("period", F.when(F.col("date") <= F.col("s.split"), "train").otherwise("holdout")).drop("s")

@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.functions.num import col
+from gridloom.functions.num import col, div
 from gridloom.operators.joins import with_group
+from gridloom.session import materialise
 
 
 def series(entity="entity", date="date"):
@@ -134,12 +135,33 @@ def cross_rank_pct(df: DataFrame, value: str, by: Sequence[str], out: str) -> Da
     from gridloom.operators.quantiles import running
 
     keys = [f"_g{i}" for i in range(len(by))]
-    rank = running(df, value, by, grid=False)
+    rank = running(df, value, by)
     rank = rank.select(*[F.col(k).alias(g) for k, g in zip(by, keys)], "v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias(out))
     same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)]
     return df.join(rank, [*same, F.col(value).cast("double") == F.col("v")], "left").drop(*keys, "v")
 
 
+def cross_section(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """z-score, distance from the median and average-rank share of every row inside its group.
+
+    One range partitioning of the distinct (group, value) serves median and ranks; mean and spread
+    are group aggregates.  No group is gathered, however many entities one date has.
+    """
+    from gridloom.operators.quantiles import running
+
+    keys = [f"_g{i}" for i in range(len(by))]
+    run = materialise(running(df, value, by), "cross").select(*[F.col(k).alias(g) for k, g in zip(by, keys)], "v", "w", "c_w", "g_w")
+    # the ranks (from 0) of the two middle values; a value with copies holds several
+    lo, mid = F.col("c_w") - F.col("w"), (F.col("g_w") - 1) / 2.0
+    holds = lambda k: F.max(F.when((lo <= k) & (k < F.col("c_w")), F.col("v")))
+    stats = run.groupBy(*keys).agg(((holds(F.floor(mid)) + holds(F.ceil(mid))) / 2.0).alias("_med"))
+    same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)]
+    d = with_group(df, by, _m=F.avg(value), _s=F.stddev(value)).join(stats, same, "left").drop(*keys)
+    rank = run.select(*keys, "v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias("rank_pct"))
+    d = d.join(rank, [*same, F.col(value).cast("double") == F.col("v")], "left").drop(*keys, "v")
+    return d.select(*df.columns, div(F.col(value) - F.col("_m"), F.col("_s")).alias("z"), (F.col(value) - F.col("_med")).alias("from_median"), "rank_pct")
+
+
 def sessions(df: DataFrame, max_gap: int, out: str = "episode", entity="entity", date="date") -> DataFrame:
     """Episode number per entity; a new one starts when the gap exceeds ``max_gap`` days."""
     w = series(entity, date)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from gridloom.functions.num import div, log_floor, rnd
+from gridloom.functions.num import div, log_floor, rnd, safe_corr
 from gridloom.operators import evaluation as V, features as X, inference as I, joins as J, learning as L, quantiles as Q, windows as W
 from gridloom.queries.aggregates import qbin_sql
 from gridloom.queries.econometric import nw_sql
@@ -363,7 +363,7 @@ SELECT family, count(*) AS features, {r('sum(c) / (SELECT sum(c) FROM fc)')} AS
     ("fc", "SELECT unnest(['dev_lag', 'dev_mean3', 'ret_lag', 'lv_lag']) AS feature, unnest([abs(corr(dev_lag, y)), abs(corr(dev_mean3, y)), abs(corr(ret_lag, y)), abs(corr(lv_lag, y))]) AS c FROM mf")))
 def m33(t):
     d = mf(t)
-    c = d.agg(*[F.abs(F.corr(f, "y")).alias(f) for f in FEATS]).unpivot([], FEATS, "feature", "c")
+    c = d.agg(*[F.abs(safe_corr(f, "y")).alias(f) for f in FEATS]).unpivot([], FEATS, "feature", "c")
     from gridloom.operators.aggs import share_of_total
     fam = V.feature_family(c, "feature", [("^dev", "deviation"), ("^ret", "return")])
     n = fam.groupBy("family").agg(F.count("*").alias("features"))

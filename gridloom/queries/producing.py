@@ -12,7 +12,7 @@ from gridloom.sqltext import define, r, with_
 COINS = {"small ring": 1.0, "hot gear": 10.0}
 RATES = {"PROMO": 0.9, "ECONOMY": 0.5, "SMALL": 0.65}
 
-define("bids", "SELECT p_name AS item, p_brand AS buyer, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE p_retailprice END AS price, p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS gated FROM part WHERE p_size <= 25")
+define("bids", "SELECT p_name AS item, p_brand AS buyer, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE p_retailprice END AS price, p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS gated FROM part")
 define("best", """SELECT item, max(price) AS max_price, coalesce(max(price) FILTER (NOT gated), 0) AS open_price FROM bids WHERE price > 0 GROUP BY 1""")
 define("yields", """SELECT p_partkey, p_brand AS producer, p_type AS version, p_name AS item, p_type AS category, CAST(p_partkey % 90 + 1 AS DOUBLE) AS times,
   CAST(20 + (CAST(substr(p_brand, 7) AS INT) * 37 + length(p_type) * 911) % 20000 AS BIGINT) AS samples, CAST(p_size AS DOUBLE) AS amount_lo, CAST(p_size + 5 AS DOUBLE) AS amount_hi,
@@ -46,7 +46,7 @@ define("derived", """SELECT *, (modeled_nonboss / nullif(CAST(nonboss AS DOUBLE)
 
 
 def offers(t):
-    return t.part.where("p_size <= 25").select(
+    return t.part.select(
         F.col("p_name").alias("item"), F.col("p_brand").alias("buyer"),
         F.when(F.col("p_partkey") % 50 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("price"), F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3").alias("gated"))
 

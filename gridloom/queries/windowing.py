@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from gridloom.functions.num import div, log_floor, rnd
 from gridloom.operators import joins as J, windows as W
 from gridloom.registry import query
+from gridloom.session import materialise
 from gridloom.sqltext import define, r, with_
 
 WE = "WINDOW we AS (PARTITION BY entity ORDER BY date)"
@@ -101,10 +102,8 @@ SELECT entity, date, {r("(logp - avg(logp) OVER d) / nullif(stddev(logp) OVER d,
  {r("(rank() OVER (PARTITION BY date ORDER BY logp) + (count(*) OVER (PARTITION BY date, logp) - 1) / 2.0) / count(*) OVER d")} AS rank_pct
 FROM pr WINDOW d AS (PARTITION BY date)"""))
 def w11(t):
-    d = Window.partitionBy("date")
-    x = W.cross_rank_pct(t.pr, "logp", ["date"], "rk")
-    return x.select("entity", "date", rnd(div(F.col("logp") - F.avg("logp").over(d), F.stddev("logp").over(d))).alias("z"),
-                    rnd(F.col("logp") - F.percentile("logp", F.lit(0.5)).over(d)).alias("from_median"), rnd("rk").alias("rank_pct"))
+    x = W.cross_section(materialise(t.pr, "panel"), "logp", ["date"])
+    return x.select("entity", "date", rnd("z").alias("z"), rnd("from_median").alias("from_median"), rnd("rank_pct").alias("rank_pct"))
 
 
 @query("w12_within_entity_rank", with_(f"""

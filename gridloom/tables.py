@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions.num import cents
 from gridloom.operators.joins import enrich
+from gridloom.operators.windows import cross_deviation
+from gridloom.session import materialise
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -77,10 +79,8 @@ class Tables:
 
     @staticmethod
     def _dev(p: DataFrame, min_cross: int) -> DataFrame:
-        w = Window.partitionBy("date")
-        return p.withColumn(
-            "dev",
-            F.when(F.count("*").over(w) >= min_cross, F.col("logp") - F.avg("logp").over(w)))
+        # entity-day rows, written once: the cross-section and its mean read them, the raw lines are read once
+        return cross_deviation(materialise(p, "panel"), "logp", "dev", min_cross)
 
     @cached_property
     def pr(self) -> DataFrame:
