@@ -31,24 +31,76 @@ def parts(t):
 
 
 @query("m1_forward_targets", with_(f"""
-WITH f AS (SELECT entity, date, lead(logp, 1) OVER we - logp AS y1, lead(logp, 7) OVER we - logp AS y7 FROM pr {WE})
-SELECT entity, date, {r('y1')} AS y_ret1, {r('y7')} AS y_ret7, CASE WHEN y7 IS NOT NULL THEN CAST(y7 > 0.02 AS DOUBLE) END AS y_up7, CASE WHEN y7 IS NOT NULL THEN CAST(y7 < -0.02 AS DOUBLE) END AS y_dn7,
- {r('y7 - avg(y7) OVER (PARTITION BY date)')} AS y_rel7 FROM f""").replace("\nWITH f AS", ",\nf AS"))
+WITH f AS (SELECT entity, date, lead(logp, 1) OVER we - logp AS y1, lead(logp, 7) OVER we - logp AS y7, lead(logp, 30) OVER we - logp AS y30,
+   CASE WHEN count(ret_row) OVER v >= 5 THEN stddev(ret_row) OVER v END * sqrt(365.0) AS vol FROM pr WINDOW we AS (PARTITION BY entity ORDER BY date), v AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
+SELECT entity, date, {r('y1')} AS y_ret1, {r('y7')} AS y_ret7, {r('y30')} AS y_ret30, CASE WHEN y7 IS NOT NULL THEN CAST(y7 > 0.02 AS DOUBLE) END AS y_up7, CASE WHEN y7 IS NOT NULL THEN CAST(y7 < -0.02 AS DOUBLE) END AS y_dn7,
+ {r('y7 - avg(y7) OVER (PARTITION BY date)')} AS y_rel7, {r('y30 - avg(y30) OVER (PARTITION BY date)')} AS y_rel30, {r('vol')} AS y_vol7,
+ CASE WHEN vol IS NOT NULL THEN CAST(vol > (SELECT quantile_cont(vol, 0.75) FROM f) AS DOUBLE) END AS y_hivol7 FROM f""").replace("\nWITH f AS", ",\nf AS"))
 def m1(t):
-    d = X.forward_targets(t.pr, (1, 7))
-    return d.select("entity", "date", rnd("y_ret1").alias("y_ret1"), rnd("y_ret7").alias("y_ret7"), "y_up7", "y_dn7", rnd("y_rel7").alias("y_rel7"))
-
-
-@query("m2_feature_block", with_(f"""
-WITH f AS (SELECT entity, date, logp, ret_row, CASE WHEN count(ret_row) OVER (PARTITION BY entity ORDER BY date ROWS 6 PRECEDING) >= 3 THEN avg(ret_row) OVER (PARTITION BY entity ORDER BY date ROWS 6 PRECEDING) END AS rm7,
-   logp - lag(logp, 30) OVER we AS mom30, logp - CASE WHEN count(logp) OVER (PARTITION BY entity ORDER BY date ROWS 29 PRECEDING) >= 15 THEN avg(logp) OVER (PARTITION BY entity ORDER BY date ROWS 29 PRECEDING) END AS dm30 FROM pr {WE}),
-s AS (SELECT entity, date, lag(logp) OVER we AS lp, lag(ret_row) OVER we AS r1, lag(rm7) OVER we AS rm7, lag(mom30) OVER we AS mom30, lag(dm30) OVER we AS dm30 FROM f {WE})
-SELECT entity, date, {r('r1')} AS ret_lag1, {r('rm7')} AS ret_mean7, {r('mom30')} AS mom30, {r('dm30')} AS dist_ma30, {r('lp - quantile_cont(lp, 0.5) OVER d')} AS rel_premium, {r('stddev(lp) OVER d')} AS xw_disp,
- {r('r1 - avg(r1) OVER d')} AS beta_gap FROM s WINDOW d AS (PARTITION BY date)""").replace("\nWITH f AS", ",\nf AS"))
+    d = X.forward_targets(t.pr)
+    return d.select("entity", "date", *[rnd(c).alias(c) for c in ("y_ret1", "y_ret7", "y_ret30")], "y_up7", "y_dn7", *[rnd(c).alias(c) for c in ("y_rel7", "y_rel30", "y_vol7")], "y_hivol7")
+
+
+REGIONS, KINDS, TIERS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], ["optional", "open"], ["green", "yellow"]
+
+
+def _block_sql() -> str:
+    """The whole block with plain frames on the described day and one move at the end."""
+    def roll(c, n, f, k=None):
+        return f"CASE WHEN count({c}) OVER r{n} >= {k or max(2, n // 2)} THEN {f}({c}) OVER r{n} END"
+
+    div = lambda a, b: f"({a}) / nullif({b}, 0)"
+    ln1 = lambda c: f"ln(greatest({c}, 1))"
+    base = f"""SELECT f.*, d.region, d.kind, d.tier, d.created, d.mean_balance, d.premium_share, CAST(greatest(d.population, 1) AS DOUBLE) AS pop, ln(price) AS logp, n / greatest(d.population, 1) AS per_head,
+  coalesce(k.ev_month_end, 0) AS release, coalesce(k.ev_urgent, 0) AS ev_urgent, coalesce(k.n_urgent, 0) AS n_urgent FROM fundamentals f LEFT JOIN dim d USING (entity) LEFT JOIN calendar k USING (date)"""
+    acts = ["n", "volume", "returned", "suppliers", "value", "per_head"]
+    more = f"""SELECT *, logp - lag(logp) OVER we AS ret, {', '.join(f'{ln1(x)} AS lg_{x}' for x in acts)}, greatest(release, ev_urgent) AS ev_any, row_number() OVER we - 1 AS i FROM fb0 {WE}"""
+    days = """SELECT *, CASE WHEN pe IS NULL THEN date - ne WHEN ne IS NULL THEN date - pe WHEN date - pe <= ne - date THEN date - pe ELSE date - ne END AS days_to_event,
+      CASE WHEN pr_ IS NULL THEN date - nr WHEN nr IS NULL THEN date - pr_ WHEN date - pr_ <= nr - date THEN date - pr_ ELSE date - nr END AS days_to_release
+    FROM (SELECT date, (SELECT max(k.date) FROM calendar k WHERE k.date <= x.date AND greatest(ev_month_end, ev_urgent) > 0) AS pe, (SELECT min(k.date) FROM calendar k WHERE k.date >= x.date AND greatest(ev_month_end, ev_urgent) > 0) AS ne,
+      (SELECT max(k.date) FROM calendar k WHERE k.date <= x.date AND ev_month_end > 0) AS pr_, (SELECT min(k.date) FROM calendar k WHERE k.date >= x.date AND ev_month_end > 0) AS nr FROM (SELECT DISTINCT date FROM fundamentals) x)"""
+    pairs = "SELECT a.entity, a.date, count(*) AS k" + "".join(
+        f", sum(b.ret * pow(0.5, (a.i - b.i) / {h}.0)) AS x{h}, sum(b.ret * b.ret * pow(0.5, (a.i - b.i) / {h}.0)) AS s{h}, sum(pow(0.5, (a.i - b.i) / {h}.0)) AS w{h}, sum(pow(0.25, (a.i - b.i) / {h}.0)) AS q{h}" for h in (3, 7, 14)
+    ) + " FROM fb1 a JOIN fb1 b ON a.entity = b.entity AND b.i <= a.i AND b.ret IS NOT NULL GROUP BY 1, 2"
+    f: dict[str, str] = {f"ret_lag{k}": f"lag(ret, {k - 1}) OVER we" for k in (1, 2, 3, 5, 7, 14, 21)}
+    for n in (7, 14, 30):
+        f |= {f"ret_mean{n}": roll("ret", n, "avg"), f"ret_sd{n}": roll("ret", n, "stddev"), f"mom{n}": f"logp - lag(logp, {n}) OVER we"}
+    for h in (3, 7, 14):
+        f |= {f"ret_ew{h}": f"CASE WHEN k >= 3 THEN x{h} / w{h} END", f"ret_ew{h}_sd": f"CASE WHEN k >= 3 THEN sqrt(greatest((s{h} / w{h} - pow(x{h} / w{h}, 2)) * w{h} * w{h} / (w{h} * w{h} - q{h}), 0)) END"}
+    f |= {"ret_skew30": roll("ret", 30, "skewness"), "px_z30": div(f"logp - {roll('logp', 30, 'avg')}", roll("logp", 30, "stddev"))}
+    f |= {f"dist_ma{n}": f"logp - {roll('logp', n, 'avg')}" for n in (30, 90)}
+    for x in acts:
+        f |= {f"log_{x}": f"lg_{x}"} | {f"g{n}_{x}": f"lg_{x} - lag(lg_{x}, {n}) OVER we" for n in (7, 30)}
+    f |= {"returned_share": "returned / volume", "supplier_hhi": "supplier_hhi", "top_share": "top_share", "lot": "volume / n", "return_ratio": "returned / greatest(n, 1) * 1e4",
+          "log_sell": "ln(coalesce(sell_qty, 0) + 1)", "has_sell": "CAST(sell_qty IS NOT NULL AS DOUBLE)", "log_buy": "ln(coalesce(buy_qty, 0) + 1)", "has_buy": "CAST(buy_qty IS NOT NULL AS DOUBLE)",
+          "imbalance": div("sell_qty - buy_qty", "sell_qty + buy_qty"), "ev_any": "CAST(ev_any AS DOUBLE)", "ev_urgent": "CAST(ev_urgent AS DOUBLE)", "n_events": "CAST(release + ev_urgent AS DOUBLE)", "n_urgent": "CAST(n_urgent AS DOUBLE)"}
+    f |= {f"pre_release_{n}": f"CAST(coalesce(nr - date BETWEEN 1 AND {n}, false) AS DOUBLE)" for n in (7, 14, 30)} | {f"post_release_{n}": f"CAST(coalesce(date - pr_ BETWEEN 0 AND {n}, false) AS DOUBLE)" for n in (14, 30)}
+    last = "date - max(CASE WHEN returned * 2 > volume THEN date END) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    f |= {"release": "CAST(release AS DOUBLE)", "inflation_pressure": "(lg_n - lag(lg_n, 7) OVER we) - (lg_volume - lag(lg_volume, 7) OVER we)", "premium_demand": "coalesce(buy_qty, 0) / pop",
+          "premium_demand_7": f"{roll('buy_qty', 7, 'avg')} / pop", "turnover_7": f"{roll('sell_qty', 7, 'avg')} + {roll('buy_qty', 7, 'avg')}", "engagement": "volume / pop",
+          "never_marked": f"CAST(({last}) IS NULL AS DOUBLE)", "days_since_mark": f"CAST(coalesce({last}, 9999) AS DOUBLE)", "recent_mark": f"CAST(coalesce({last} BETWEEN 0 AND 90, false) AS DOUBLE)"}
+    cross = {"rel_premium": "lp - quantile_cont(lp, 0.5) OVER dd", "xw_med_logp": "quantile_cont(lp, 0.5) OVER dd", "xw_disp": "stddev(lp) OVER dd", "breadth_up": "avg(CAST(coalesce(lr > 0, false) AS DOUBLE)) OVER dd", "xw_ret": "avg(lr) OVER dd",
+             "xw_activity": "avg(la) OVER dd"}
+    late = {"rel_premium_z": div("rel_premium", "xw_disp"), "beta_gap": "lr - xw_ret", "rel_activity": "la - xw_activity", "activity_x_event": "g7_n * ev_any", "activity_x_kind": "g7_n * CAST(kind = 'optional' AS DOUBLE)",
+            "premium_x_disp": "rel_premium * xw_disp", "vol_x_breadth": "ret_sd14 * breadth_up"}
+    own = {"dow_sin": "sin(2 * pi() * (isodow(date) - 1) / 7)", "dow_cos": "cos(2 * pi() * (isodow(date) - 1) / 7)", "doy_sin": "sin(2 * pi() * dayofyear(date) / 365)", "doy_cos": "cos(2 * pi() * dayofyear(date) / 365)",
+           "is_weekend": "CAST(isodow(date) >= 6 AS DOUBLE)", "month": "CAST(month(date) AS DOUBLE)", "days_to_event": "CAST(days_to_event AS DOUBLE)", "days_to_release": "CAST(days_to_release AS DOUBLE)",
+           "event_soon": "greatest(least(days_to_event, 0), -14) / -14.0", "age": "CAST(date - created AS DOUBLE)", "log_age": "ln(1 + greatest(date - created, 0))", "log_population": "ln(pop)", "log_balance": ln1("mean_balance"), "premium_share": "premium_share"}
+    own |= {f"{c}_{v.split()[0].lower()}": f"CAST({c} = '{v}' AS DOUBLE)" for c, vs in (("region", REGIONS), ("kind", KINDS), ("tier", TIERS)) for v in vs}
+    frames = ", ".join(f"r{n} AS (PARTITION BY entity ORDER BY date ROWS {n - 1} PRECEDING)" for n in (7, 14, 30, 90))
+    keep = "entity, date, kind, region, tier, created, pop, mean_balance, premium_share AS premium_own, days_to_event, days_to_release"
+    day = f"SELECT {keep}, {', '.join(f'{e} AS {n}' for n, e in f.items())}, lag(logp) OVER we AS lp, lag(ret) OVER we AS lr, lag(lg_n) OVER we AS la FROM fb1 JOIN fbd USING (date) LEFT JOIN fbe USING (entity, date) {WE}, {frames}"
+    moved = [*f, *cross, *late]
+    own["premium_share"] = "premium_own"
+    return with_(f"""SELECT entity, date, {', '.join(f'{r(f"lag({n}) OVER we", 4)} AS {n}' for n in moved)}, {', '.join(f'{r(e, 4)} AS {n}' for n, e in own.items())} FROM fb5 {WE}""",
+                 ("fb0", base), ("fb1", more), ("fbd", days), ("fbe", pairs), ("fb3", day), ("fb4", f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in cross.items())} FROM fb3 WINDOW dd AS (PARTITION BY date)"),
+                 ("fb5", f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in late.items())} FROM fb4"))
+
+
+@query("m2_feature_block", _block_sql())
 def m2(t):
-    d = X.price_features(t.pr)
-    cols = ("ret_lag1", "ret_mean7", "mom30", "dist_ma30", "rel_premium", "xw_disp", "beta_gap")
-    return d.select("entity", "date", *[rnd(c).alias(c) for c in cols])
+    d = X.feature_block(t.fundamentals, t.dim, t.calendar, REGIONS, KINDS, TIERS)
+    return d.select("entity", "date", *[rnd(c, 4).alias(c) for c in d.columns if c not in ("entity", "date")])
 
 
 @query("m3_named_indices", with_(f"""

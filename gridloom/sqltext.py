@@ -54,6 +54,13 @@ SELECT entity, date,
   CAST(coalesce(sum(qty) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS book_qty
 FROM lines GROUP BY 1, 2"""
 
+CTE["fundamentals"] = """
+SELECT entity, date, CAST(sum(c) AS DOUBLE) / 100.0 / CAST(sum(q) AS DOUBLE) AS price, CAST(sum(q) AS DOUBLE) AS volume, CAST(sum(c) AS DOUBLE) / 100.0 AS value,
+  CAST(sum(n) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS suppliers, CAST(sum(q * q) AS DOUBLE) / (CAST(sum(q) AS DOUBLE) * CAST(sum(q) AS DOUBLE)) AS supplier_hhi,
+  CAST(max(q) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS top_share, CAST(sum(a) AS DOUBLE) AS sell_qty, CAST(sum(b) AS DOUBLE) AS buy_qty, CAST(coalesce(sum(rr), 0) AS DOUBLE) AS returned
+FROM (SELECT entity, date, l_suppkey, sum(cents) AS c, sum(qty) AS q, count(*) AS n, sum(qty) FILTER (l_returnflag = 'A') AS a,
+        sum(qty) FILTER (l_returnflag = 'N') AS b, sum(qty) FILTER (l_returnflag = 'R') AS rr FROM lines GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
 CTE["dim"] = """
 SELECT n_nationkey AS entity, n_name AS name, r_name AS region,
   CASE WHEN n_nationkey % 3 = 0 THEN 'optional' ELSE 'open' END AS kind,

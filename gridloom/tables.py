@@ -117,6 +117,21 @@ class Tables:
             out.append(F.coalesce(F.col(f"{f}_qty"), F.lit(0)).cast("double").alias(f"{name}_qty"))
         return g.select(*out)
 
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        """(entity, date): price, quantities by side, number of lines and suppliers, concentration over suppliers."""
+        by = self.lines.groupBy("entity", "date", "l_suppkey").agg(
+            F.sum("cents").alias("c"), F.sum("qty").alias("q"), F.count("*").alias("n"),
+            *[F.sum(F.when(F.col("l_returnflag") == f, F.col("qty"))).alias(f"q_{f}") for f in "ANR"])
+        g = by.groupBy("entity", "date").agg(
+            F.sum("c").alias("c"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.count("*").alias("suppliers"), F.max("q").alias("top"),
+            F.sum(F.col("q") * F.col("q")).alias("qq"), *[F.sum(f"q_{f}").alias(f"q_{f}") for f in "ANR"])
+        c = lambda x: F.col(x).cast("double")
+        return g.select(
+            "entity", "date", (c("c") / 100.0 / c("q")).alias("price"), c("q").alias("volume"), (c("c") / 100.0).alias("value"), c("n").alias("n"),
+            c("suppliers").alias("suppliers"), (c("qq") / (c("q") * c("q"))).alias("supplier_hhi"), (c("top") / c("q")).alias("top_share"),
+            c("q_A").alias("sell_qty"), c("q_N").alias("buy_qty"), F.coalesce(c("q_R"), F.lit(0.0)).alias("returned"))
+
     # ---------------------------------------------------------------- dimensions
     @cached_property
     def dim(self) -> DataFrame:
