@@ -136,9 +136,9 @@ def cross_rank_pct(df: DataFrame, value: str, by: Sequence[str], out: str) -> Da
 
     keys = [f"_g{i}" for i in range(len(by))]
     rank = running(df, value, by)
-    rank = rank.select(*[F.col(k).alias(g) for k, g in zip(by, keys)], "v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias(out))
+    rank = rank.select(*[F.col(k).alias(g) for k, g in zip(by, keys)], F.col("v").alias("_v"), ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias(out))
     same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)]
-    return df.join(rank, [*same, F.col(value).cast("double") == F.col("v")], "left").drop(*keys, "v")
+    return df.join(rank, [*same, F.col(value).cast("double") == F.col("_v")], "left").drop(*keys, "_v")
 
 
 def cross_section(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -150,15 +150,15 @@ def cross_section(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     from gridloom.operators.quantiles import running
 
     keys = [f"_g{i}" for i in range(len(by))]
-    run = materialise(running(df, value, by), "cross").select(*[F.col(k).alias(g) for k, g in zip(by, keys)], "v", "w", "c_w", "g_w")
+    run = materialise(running(df, value, by), "cross").select(*[F.col(k).alias(g) for k, g in zip(by, keys)], F.col("v").alias("_v"), "w", "c_w", "g_w")
     # the ranks (from 0) of the two middle values; a value with copies holds several
     lo, mid = F.col("c_w") - F.col("w"), (F.col("g_w") - 1) / 2.0
-    holds = lambda k: F.max(F.when((lo <= k) & (k < F.col("c_w")), F.col("v")))
+    holds = lambda k: F.max(F.when((lo <= k) & (k < F.col("c_w")), F.col("_v")))
     stats = run.groupBy(*keys).agg(((holds(F.floor(mid)) + holds(F.ceil(mid))) / 2.0).alias("_med"))
     same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(by, keys)]
     d = with_group(df, by, _m=F.avg(value), _s=F.stddev(value)).join(stats, same, "left").drop(*keys)
-    rank = run.select(*keys, "v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias("rank_pct"))
-    d = d.join(rank, [*same, F.col(value).cast("double") == F.col("v")], "left").drop(*keys, "v")
+    rank = run.select(*keys, "_v", ((F.col("c_w") - (F.col("w") - 1) / 2.0) / F.col("g_w")).alias("rank_pct"))
+    d = d.join(rank, [*same, F.col(value).cast("double") == F.col("_v")], "left").drop(*keys, "_v")
     return d.select(*df.columns, div(F.col(value) - F.col("_m"), F.col("_s")).alias("z"), (F.col(value) - F.col("_med")).alias("from_median"), "rank_pct")
 
 
