@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from gridloom.functions import scalar as S
 from gridloom.functions.num import div, half_life, rnd
-from gridloom.operators import econometrics as E, inference as I, joins as J, moments as M, pairs as P, windows as W
+from gridloom.operators import econometrics as E, inference as I, joins as J, lagged as LG, moments as M, pairs as P, windows as W
 from gridloom.registry import query
 from gridloom.sqltext import CTE, define, r, with_, tail_sql
 
@@ -638,13 +638,59 @@ def e50(t):
     return E.sample_entropy(t.prm, "ret_row").select(F.col("entity").cast("long").alias("entity"), "n", "pairs_m", "pairs_m1", rnd("sampen").alias("sampen"))
 
 
-@query("e51_distributed_lag", two_reg_sql("""SELECT entity, ret_row AS y, x1 + x2 + x3 + x4 AS a, x1 + 2 * x2 + 3 * x3 + 4 * x4 AS b FROM (SELECT entity, ret_row, lag(lv, 1) OVER we AS x1, lag(lv, 2) OVER we AS x2, lag(lv, 3) OVER we AS x3, lag(lv, 4) OVER we AS x4
-  FROM regm WINDOW we AS (PARTITION BY entity ORDER BY date))"""))
+def _lag_sql(lags: int = 90, degree: int = 3, leads: int = 7, horizons=(7, 14, 30, 60, 90)) -> str:
+    """Least squares by successive orthogonalisation in SQL; errors of a combination b from w = X (X'X)^-1 b."""
+    from gridloom.operators.lagged import basis
+
+    grid = basis(lags, degree)
+    k = degree + 1 + 2
+    mix = lambda name, first, ws: " + ".join(f"{name}{first + i} * {float(v)!r}" for i, v in enumerate(ws))
+    zs = [mix("x", 0, grid[:, p]) for p in range(degree + 1)] + [mix("f", 1, [1 / leads] * leads), mix("f", 1, [i - (leads + 1) / 2 for i in range(1, leads + 1)])]
+    ctes = [("dl0", f"SELECT entity, ret_row AS y, {', '.join(f'lag(lv, {i}) OVER we AS x{i}' for i in range(lags + 1))}, {', '.join(f'lead(lv, {i}) OVER we AS f{i}' for i in range(1, leads + 1))} FROM (SELECT *, ln(volume) AS lv FROM pr) WINDOW we AS (PARTITION BY entity ORDER BY date)"),
+            ("dl1", f"SELECT entity, y, {', '.join(f'{z} AS z{j}' for j, z in enumerate(zs))} FROM dl0 WHERE y IS NOT NULL AND x{lags} IS NOT NULL AND f{leads} IS NOT NULL"),
+            ("dl2", f"SELECT entity, y - avg(y) OVER e AS y, {', '.join(f'z{j} - avg(z{j}) OVER e AS q{j}' for j in range(k))} FROM dl1 WINDOW e AS (PARTITION BY entity)")]
+    # step j: q_j is final; take it out of the later ones, keeping the ratios r_j_i
+    for j in range(k):
+        later = range(j + 1, k)
+        ctes += [(f"rj{j}", f"SELECT sum(q{j} * q{j}) AS d, sum(q{j} * y) / sum(q{j} * q{j}) AS g{''.join(f', sum(q{j} * q{i}) / sum(q{j} * q{j}) AS r{i}' for i in later)} FROM dl{2 + j}"),
+                 (f"dl{3 + j}", f"SELECT entity, y, {', '.join([f'q{i}' for i in range(j + 1)] + [f'q{i} - rj{j}.r{i} * q{j} AS q{i}' for i in later])} FROM dl{2 + j}, rj{j}")]
+    last = f"dl{2 + k}"
+    ctes.append(("dlu", f"SELECT entity, y - {' - '.join(f'rj{j}.g * q{j}' for j in range(k))} AS u, {', '.join(f'q{j}' for j in range(k))} FROM {last}, {', '.join(f'rj{j}' for j in range(k))}"))
+    ctes.append(("dls", f"SELECT entity, {', '.join(f'sum(q{j} * u) AS s{j}' for j in range(k))}, count(*) AS n FROM dlu GROUP BY 1"))
+    theta = {}
+    for j in range(k - 1, -1, -1):
+        theta[j] = f"rj{j}.g" + "".join(f" - rj{j}.r{i} * t{i}" for i in range(j + 1, k))
+    froms = ", ".join(f"rj{j}" for j in range(k))
+    step = f"(SELECT {theta[k - 1]} AS t{k - 1} FROM {froms})"
+    for j in range(k - 2, -1, -1):
+        step = f"(SELECT p.*, {theta[j]} AS t{j} FROM {step} p, rj{j})"
+    ctes.append(("dlt", f"SELECT * FROM {step}"))
+    combos = [(kind, h, [float(x) for x in g]) for kind, h, g in [("beta", i, grid[i]) for i in range(lags + 1)] + [("cumulative", h, grid[: h + 1].sum(axis=0)) for h in horizons]]
+    rows = ", ".join(f"('{kind}', {h}, {', '.join(repr(x) for x in g)}, 0.0, 0.0)" for kind, h, g in combos)
+    cols = ", ".join(f"b{j}" for j in range(k))
+    ctes.append(("dlb", f"SELECT * FROM (VALUES {rows}) v(kind, k, {cols})"))
+    step = "(SELECT kind, k, " + cols + ", b0 AS c0 FROM dlb)"
+    for j in range(1, k):
+        step = f"(SELECT p.*, b{j}{''.join(f' - rj{i}.r{j} * c{i}' for i in range(j))} AS c{j} FROM {step} p, {', '.join(f'rj{i}' for i in range(j))})"
+    ctes.append(("dlc", f"SELECT kind, k, {cols}, {', '.join(f'c{j} / rj{j}.d AS c{j}' for j in range(k))} FROM {step} p, {froms}"))
+    inf = " + ".join(f"c{j} * s{j}" for j in range(k))
+    est = " + ".join(f"b{j} * t{j}" for j in range(degree + 1))
+    body = f"""SELECT kind, CAST(k AS BIGINT) AS k, {r('any_value(est)', 7)} AS estimate, {r('sqrt(sum(pow(inf, 2)) * count(*) / (count(*) - 1))', 7)} AS se, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT kind, k, n, {est} AS est, {inf} AS inf FROM dlc, dls, dlt) GROUP BY 1, 2"""
+    return with_(body, *ctes)
+
+
+@query("e51_distributed_lag", _lag_sql())
 def e51(t):
-    """Linear Almon basis on four lags: theta0 and theta1 give the lag weights theta0 + theta1 * k."""
-    from gridloom.operators.features import almon_terms
-    d = almon_terms(reg(t, "devm"), "lv", 4, 1)
-    return two_coefs(M.panel_ols(d, "ret_row", ["almon0", "almon1"], fe=["entity"]), "almon0", "almon1")
+    """Response of returns to log volume over the lags 0 to 90: curve and cumulative response with clustered errors."""
+    d = LG.distributed_lag(t.pr.withColumn("lv", F.log("volume")), "ret_row", "lv")
+    return d.where("kind in ('beta', 'cumulative')").select("kind", "k", rnd("estimate", 7).alias("estimate"), rnd("se", 7).alias("se"), "n")
+
+
+@query("e51b_absorption")
+def e51b(t):
+    """Share absorbed by horizon with delta-method errors, the half time where identified, the placebo leads."""
+    return LG.distributed_lag(t.pr.withColumn("lv", F.log("volume")), "ret_row", "lv").where("kind not in ('beta', 'cumulative')")
 
 
 @query("e52_cumulative_level", with_(f"SELECT count(*) AS n, {r('sum(x * y) / sum(x * x)', 4)} AS coef FROM tw",
