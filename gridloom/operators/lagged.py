@@ -102,3 +102,56 @@ def distributed_lag(df: DataFrame, y: str, x: str, lags: int = 90, degree: int =
             yield pd.DataFrame(rows, columns=["kind", "k", "estimate", "se", "low", "high", "n"]).astype({"k": "int64", "n": "int64"})
 
     return one.mapInPandas(curve, "kind string, k long, estimate double, se double, low double, high double, n long")
+
+
+#: Response surface of the unit-root statistic with a constant; the normal quantile of its
+#: p-value is a polynomial in the statistic, one below the bend and one above.
+BEND, BELOW, ABOVE = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+CLIP = 7.0344869  # normal quantile of 1 - 1e-12
+
+
+def unit_roots(df: DataFrame, value: str, max_lag: int = 5, min_n: int = 30, entity="entity", date="date") -> DataFrame:
+    """Augmented Dickey-Fuller statistic of each entity with its own number of lagged differences.
+
+    One Gram matrix per entity over the level and ``max_lag`` differences holds all nested
+    regressions as sub-matrices; the lag with the smallest Akaike criterion on the common sample
+    counts (ties: the smaller).  Columns entity, n, lag, adf_t and ``z``, the normal quantile of the
+    p-value.  Entities with fewer than ``min_n`` complete rows or a constant series are left out.
+    """
+    w = W.series(entity, date)
+    d = df.where(F.col(value).isNotNull()).select(entity, date, F.col(value).cast("double").alias("_v"))
+    d = d.select(entity, date, (F.col("_v") - F.lag("_v").over(w)).alias("_y"), F.lag("_v").over(w).alias("_level"))
+    d = d.select(entity, "_y", "_level", *[F.lag("_y", k).over(w).alias(f"_d{k}") for k in range(1, max_lag + 1)]).dropna()
+    xs = ["_level", *[f"_d{k}" for k in range(1, max_lag + 1)]]
+    k = len(xs)
+    g = gram(d.withColumn("_one", F.lit(1.0)), "_y", ["_one", *xs], [entity]).where(F.col("n") >= max(min_n, k + 3))
+
+    @F.pandas_udf("lag long, adf_t double")
+    def choose(n: pd.Series, yy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, s, b, a in zip(n, yy, xy, xx):
+            a, b = np.asarray(a, float).reshape(k + 1, k + 1), np.asarray(b, float)
+            a, b, s = a[1:, 1:] - np.outer(a[0, 1:], a[0, 1:]) / m, b[1:] - a[0, 1:] * b[0] / m, s - b[0] * b[0] / m  # the constant taken out
+            best = None
+            for p in range(max_lag + 1):
+                inv = np.linalg.pinv(a[: p + 1, : p + 1])
+                beta = inv @ b[: p + 1]
+                rss = s - beta @ b[: p + 1]
+                if rss <= 1e-12 * max(s, 1e-300) or inv[0, 0] <= 0:
+                    continue
+                score = m * math.log(rss / m) + 2 * (p + 2)
+                if best is None or score < best[0] - 1e-9:
+                    best = (score, p, beta[0] / math.sqrt(rss / (m - p - 2) * inv[0, 0]))
+            out.append(best[1:] if best else (None, None))
+        return pd.DataFrame(out, columns=["lag", "adf_t"])
+
+    d = g.select(entity, "n", choose("n", "yy", "xy", "xx").alias("c")).select(entity, "n", "c.lag", "c.adf_t").where("adf_t is not null")
+    poly = lambda c: sum((F.pow("adf_t", F.lit(i)) * v for i, v in enumerate(c) if i), F.lit(c[0]))
+    z = F.when(F.col("adf_t") <= BEND, poly(BELOW)).otherwise(poly(ABOVE))
+    return d.withColumn("z", F.greatest(F.least(z, F.lit(CLIP)), F.lit(-CLIP)))
+
+
+def combine_unit_roots(tests: DataFrame, level: float = -1.6448536) -> DataFrame:
+    """Inverse-normal combination: number of entities, share below the quantile ``level``, sum of z over the root of their number."""
+    return tests.agg(F.count("*").alias("entities"), F.avg((F.col("z") < level).cast("double")).alias("share_reject"), (F.sum("z") / F.sqrt(F.count("*"))).alias("combined_z"),
+                     F.avg("lag").alias("mean_lag"))

@@ -290,6 +290,42 @@ def e18(t):
     return E.adf(t.prm, "logp").select("entity", "n", rnd("rho", 5).alias("rho"), rnd("adf_t", 4).alias("adf_t"))
 
 
+def _unit_root_sql(lags: int = 5) -> list[tuple[str, str]]:
+    """Differences taken out of step and level one after the other; each stage gives the statistic with one more lag."""
+    ds = [f"d{k}" for k in range(1, lags + 1)]
+    names = ["y", "x", *ds]
+    ctes = [("ur0", """SELECT entity, date, dev - lag(dev) OVER we AS y, lag(dev) OVER we AS x FROM dev WHERE dev IS NOT NULL WINDOW we AS (PARTITION BY entity ORDER BY date)"""),
+            ("ur1", f"SELECT entity, y, x, {', '.join(f'lag(y, {k}) OVER we AS d{k}' for k in range(1, lags + 1))} FROM ur0 WINDOW we AS (PARTITION BY entity ORDER BY date)"),
+            ("ura", f"SELECT entity, {', '.join(f'{c} - avg({c}) OVER e AS {c}' for c in names)}, count(*) OVER e AS n FROM ur1 WHERE d{lags} IS NOT NULL WINDOW e AS (PARTITION BY entity)")]
+    stages, src = [], "ura"
+    for p in range(lags + 1):
+        if p:
+            ctes.append((f"urs{p}", f"SELECT entity, n, {', '.join(f'{c} - d{p} * sum({c} * d{p}) OVER e / sum(d{p} * d{p}) OVER e AS {c}' for c in ['y', 'x', *ds[p:]])} FROM {src} WINDOW e AS (PARTITION BY entity)"))
+            src = f"urs{p}"
+        stages.append(f"SELECT entity, max(n) AS n, {p} AS lag, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy FROM {src} GROUP BY 1")
+    ctes.append(("urt", "SELECT *, yy - xy * xy / xx AS rss FROM (" + " UNION ALL ".join(stages) + ")"))
+    ctes.append(("urc", "SELECT entity, n, CAST(lag AS BIGINT) AS lag, xy / sqrt(xx) / sqrt(rss / (n - lag - 2)) AS adf_t, row_number() OVER (PARTITION BY entity ORDER BY round(n * ln(rss / n) + 2 * (lag + 2), 8), lag) AS k FROM urt WHERE n >= 30"))
+    ctes.append(("urz", """SELECT entity, n, lag, adf_t, greatest(least(CASE WHEN adf_t <= -1.61 THEN 2.1659 + 1.4412 * adf_t + 0.038269 * pow(adf_t, 2)
+   ELSE 1.7339 + 0.93202 * adf_t - 0.12745 * pow(adf_t, 2) - 0.010368 * pow(adf_t, 3) END, 7.0344869), -7.0344869) AS z FROM urc WHERE k = 1"""))
+    return ctes
+
+
+@query("e18b_unit_roots", with_(f"SELECT entity, n, lag, {r('adf_t', 4)} AS adf_t, {r('z', 4)} AS z FROM urz", *_unit_root_sql()))
+def e18b(t):
+    """Unit root of every deviation series, lags chosen by criterion."""
+    return LG.unit_roots(t.dev, "dev").select("entity", "n", "lag", rnd("adf_t", 4).alias("adf_t"), rnd("z", 4).alias("z"))
+
+
+@query("e18c_unit_roots_combined", with_(f"""SELECT count(*) AS entities, {r('avg(CAST(z < -1.6448536 AS DOUBLE))')} AS share_reject, {r('sum(z) / sqrt(count(*))', 4)} AS combined_z,
+ {r('avg(lag)')} AS mean_lag, {r("CASE WHEN sum(z) < 0 THEN 0.5 * " + tail_sql("(sum(z) / sqrt(count(*)))") + " ELSE 1 - 0.5 * " + tail_sql("(sum(z) / sqrt(count(*)))") + " END", 5)} AS p FROM urz""", *_unit_root_sql()))
+def e18c(t):
+    """Inverse-normal combination over the entities, with its lower-tail p-value."""
+    c = I.normal_tail(LG.combine_unit_roots(LG.unit_roots(t.dev, "dev")), "combined_z", "two_sided")
+    half = F.col("two_sided") / 2
+    return c.select("entities", rnd("share_reject").alias("share_reject"), rnd("combined_z", 4).alias("combined_z"), rnd("mean_lag").alias("mean_lag"),
+                    rnd(F.when(F.col("combined_z") < 0, half).otherwise(1 - half), 5).alias("p"))
+
+
 @query("e19_kpss", with_(f"""
 WITH e AS (SELECT entity, date, logp - avg(logp) OVER (PARTITION BY entity) AS e, count(*) OVER (PARTITION BY entity) AS n, CAST(floor(4 * pow(count(*) OVER (PARTITION BY entity) / 100.0, 0.25)) AS INT) AS lg,
   row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM prm),
