@@ -6,14 +6,15 @@ reading it back, so the work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gridloom.functions.num import rnd
-from gridloom.operators import quality as Q, tables as K
+from gridloom.operators import integrity as G, quality as Q, tables as K
+from gridloom.queries.modelling import baselines
 from gridloom.registry import query
 from gridloom.session import scratch
 from gridloom.sources import files, text as T
-from gridloom.sqltext import r, with_
+from gridloom.sqltext import define, r, with_
 
 
 @query("s1_read_snapshots", with_(f"SELECT entity, date, {r('price', 4)} AS price, {r('volume', 2)} AS volume FROM panel"))
@@ -233,6 +234,47 @@ def q3(t):
     return Q.unique_key(t.panel, ["entity", "date"], "unique key").unionByName(checks).unionByName(Q.full_grid(t.panel, "entity", "date", "full grid"))
 
 
+# forecasts of four rules; the published winner of every seventh entity and the bounds of every ninth carry a fault, which must show
+define("fcl", """SELECT entity, date, y, unnest(['drift', 'naive', 'seasonal', 'zero']) AS model, unnest([drift, naive, seasonal, zero]) AS yhat FROM bl WHERE y IS NOT NULL""")
+define("bnd", """SELECT entity, CASE WHEN entity % 9 = 4 THEN q75 ELSE q25 END AS lo50, CASE WHEN entity % 9 = 4 THEN q25 ELSE q75 END AS hi50, q05 AS lo90, q95 AS hi90 FROM
+  (SELECT entity, quantile_cont(price, 0.05) AS q05, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75, quantile_cont(price, 0.95) AS q95 FROM panel GROUP BY 1)""")
+
+
+def _forecasts(t):
+    return baselines(t).where("y is not null").unpivot(["entity", "date", "y"], ["drift", "naive", "seasonal", "zero"], "model", "yhat")
+
+
+@query("q3b_model_expectations", with_("""
+SELECT 'matched n' AS "check", CAST(count(*) FILTER (lo <> hi OR k <> 4) AS BIGINT) AS violations, count(*) FILTER (lo <> hi OR k <> 4) = 0 AS passed FROM
+  (SELECT entity, min(n) AS lo, max(n) AS hi, count(*) AS k FROM (SELECT entity, model, count(*) AS n FROM fcl WHERE yhat IS NOT NULL GROUP BY 1, 2) GROUP BY 1) UNION ALL
+SELECT 'matched n, complete rows', count(*) FILTER (lo <> hi), count(*) FILTER (lo <> hi) = 0 FROM
+  (SELECT entity, min(n) AS lo, max(n) AS hi FROM (SELECT entity, model, count(*) AS n FROM fcl JOIN bl USING (entity, date) WHERE drift IS NOT NULL AND naive IS NOT NULL AND seasonal IS NOT NULL GROUP BY 1, 2) GROUP BY 1) UNION ALL
+SELECT 'finite', count(*) FILTER (yhat IS NULL OR NOT isfinite(yhat)), count(*) FILTER (yhat IS NULL OR NOT isfinite(yhat)) = 0 FROM fcl UNION ALL
+SELECT 'interval order', count(*) FILTER (NOT (lo90 <= lo50 AND lo50 <= hi50 AND hi50 <= hi90)), count(*) FILTER (NOT (lo90 <= lo50 AND lo50 <= hi50 AND hi50 <= hi90)) = 0 FROM bnd"""))
+def q3b(t):
+    """Forecasts on equal samples, finite, and bounds in order."""
+    from gridloom.operators.quantiles import quantile_wide
+    p, full = _forecasts(t), baselines(t).where("y is not null and drift is not null and naive is not null and seasonal is not null")
+    full = full.unpivot(["entity", "date", "y"], ["drift", "naive", "seasonal", "zero"], "model", "yhat")
+    q = quantile_wide(t.panel, "price", {"lo90": 0.05, "lo50": 0.25, "hi50": 0.75, "hi90": 0.95}, ["entity"])
+    bad = F.col("entity") % 9 == 4
+    q = q.select("lo90", F.when(bad, F.col("hi50")).otherwise(F.col("lo50")).alias("lo50"), F.when(bad, F.col("lo50")).otherwise(F.col("hi50")).alias("hi50"), "hi90")
+    return (G.matched_n(p, "model", ["entity"], "y", "yhat").unionByName(G.matched_n(full, "model", ["entity"], "y", "yhat", "matched n, complete rows"))
+            .unionByName(G.finite_values(p, ["yhat"])).unionByName(G.ordered_bounds(q, ["lo90", "lo50", "hi50", "hi90"])))
+
+
+@query("q4b_winner_recomputed", with_("""
+WITH e AS (SELECT entity, model, round(sqrt(avg(pow(y - yhat, 2))), 9) AS e FROM fcl WHERE yhat IS NOT NULL GROUP BY 1, 2), w AS (SELECT entity, arg_min(model, (e, model)) AS best FROM e GROUP BY 1)
+SELECT entity, CASE WHEN entity % 7 = 3 THEN 'naive' ELSE best END AS published, best AS recomputed, CASE WHEN entity % 7 = 3 THEN 'naive' ELSE best END = best AS agrees FROM w""").replace("\nWITH e AS", ",\ne AS"))
+def q4b(t):
+    """The published winner of each entity against the one its predictions give."""
+    p = _forecasts(t)
+    e = p.where("yhat is not null").groupBy("entity", "model").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), F.lit(2)))).alias("e"))
+    pub = e.groupBy("entity").agg(F.min_by("model", F.struct(F.round("e", 9), "model")).alias("model"))
+    pub = pub.withColumn("model", F.when(F.col("entity") % 7 == 3, "naive").otherwise(F.col("model")))
+    return G.winners(pub, p, ["entity"], "model", "y", "yhat")
+
+
 @query("q4_recompute_reconcile", with_(f"""
 SELECT entity, entity % 7 <> 3 AS agrees, {r("sqrt(avg(ret * ret))")} AS recomputed FROM pr WHERE ret IS NOT NULL GROUP BY 1"""))
 def q4(t):
@@ -259,6 +301,47 @@ def q5(t):
     return Q.agreement(u, "fact", "value", 0)
 
 
+# a copy of the orders that misses one row in the first month, states another price in the second, swaps two prices in the third
+_COPY = """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_totalprice FROM orders"""
+define("oc0", _COPY)
+define("ocm", "SELECT month, min(o_orderkey) AS k1, max(o_orderkey) AS k2, row_number() OVER (ORDER BY month) AS i FROM oc0 GROUP BY 1")
+define("occ", """SELECT o.o_orderkey, o.month, CASE WHEN i = 2 AND o.o_orderkey = k1 THEN o.o_totalprice + 1 WHEN i = 3 AND o.o_orderkey = k1 THEN b.o_totalprice WHEN i = 3 AND o.o_orderkey = k2 THEN a.o_totalprice ELSE o.o_totalprice END AS o_totalprice
+FROM oc0 o JOIN ocm m ON o.month = m.month JOIN oc0 a ON a.o_orderkey = k1 JOIN oc0 b ON b.o_orderkey = k2 WHERE NOT (i = 1 AND o.o_orderkey = k1)""")
+
+
+@query("q5b_row_sets", with_("""
+WITH l AS (SELECT month, o_orderkey, o_totalprice, count(*) AS n FROM oc0 GROUP BY ALL), r AS (SELECT month, o_orderkey, o_totalprice, count(*) AS n FROM occ GROUP BY ALL),
+x AS (SELECT month, count(*) AS bad FROM (SELECT coalesce(l.month, r.month) AS month, l.n AS a, r.n AS b FROM l FULL JOIN r USING (month, o_orderkey, o_totalprice)) WHERE a IS DISTINCT FROM b GROUP BY 1)
+SELECT m.month, (SELECT count(*) FROM oc0 WHERE oc0.month = m.month) AS rows_left, (SELECT count(*) FROM occ WHERE occ.month = m.month) AS rows_right, coalesce(bad, 0) = 0 AS equal FROM ocm m LEFT JOIN x USING (month)""").replace("\nWITH l AS", ",\nl AS"))
+def q5b(t):
+    """Months in which two copies of a table hold the same rows, by fingerprints; planted faults must show."""
+    from gridloom.operators.joins import enrich
+    left = t.orders.select("o_orderkey", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), "o_totalprice")
+    m = left.groupBy("month").agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("a"), F.max_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("b"))
+    m = m.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("month")))  # a row per month
+    c = F.col
+    first, last = c("o_orderkey") == c("a.o_orderkey"), c("o_orderkey") == c("b.o_orderkey")
+    right = enrich(left, m, ["month"], spread="o_orderkey").where(~((c("i") == 1) & first))
+    price = F.when((c("i") == 2) & first, c("o_totalprice") + 1).when((c("i") == 3) & first, c("b.o_totalprice")).when((c("i") == 3) & last, c("a.o_totalprice")).otherwise(c("o_totalprice"))
+    return G.same_rows(left, right.select("o_orderkey", "month", price.alias("o_totalprice")), ["o_orderkey", "o_totalprice"], ["month"])
+
+
+@query("q5c_key_sets", with_("""
+SELECT 'orders, lines' AS tables, (SELECT count(*) FROM orders) AS rows_left, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS rows_right,
+  NOT EXISTS (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) AND NOT EXISTS (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders) AS equal UNION ALL
+SELECT 'days, calendar', (SELECT count(DISTINCT date) FROM panel), (SELECT count(*) FROM calendar), NOT EXISTS (SELECT date FROM panel EXCEPT SELECT date FROM calendar) AND NOT EXISTS (SELECT date FROM calendar EXCEPT SELECT date FROM panel) UNION ALL
+SELECT 'entities, dim', (SELECT count(DISTINCT entity) FROM panel), (SELECT count(*) FROM dim), NOT EXISTS (SELECT entity FROM panel EXCEPT SELECT entity FROM dim) AND NOT EXISTS (SELECT entity FROM dim EXCEPT SELECT entity FROM panel)"""))
+def q5c(t):
+    """Whether two tables hold the same keys, by fingerprints of the distinct keys."""
+    pairs = [("orders, lines", t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k"))),
+             ("days, calendar", t.panel.select(F.col("date").alias("k")), t.calendar.select(F.col("date").alias("k"))), ("entities, dim", t.panel.select(F.col("entity").alias("k")), t.dim.select(F.col("entity").alias("k")))]
+    out = None
+    for name, a, b in pairs:
+        one = G.same_keys(a, b, ["k"]).select(F.lit(name).alias("tables"), "rows_left", "rows_right", "equal")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("q6_freshness", """
 WITH g AS (SELECT c_nationkey AS source, max(CAST(o_orderdate AS DATE)) AS latest FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT source, latest, (SELECT max(latest) FROM g) - latest AS age_days, (SELECT max(latest) FROM g) - latest > 7 AS stale FROM g""")
@@ -269,6 +352,59 @@ def q6(t):
     return Q.freshness(d, "source", "d", 7)
 
 
+define("stp", "SELECT c_nationkey AS source, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey")
+
+
+def _stamps(t):
+    from gridloom.operators.joins import enrich
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
+    return enrich(t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d")), c, ["o_custkey"], "inner", spread="o_orderkey")
+
+
+@query("q6b_stale_majority", with_("""
+WITH g AS (SELECT source, max(d) AS latest FROM stp GROUP BY 1), n AS (SELECT days, (SELECT max(d) FROM stp) + days AS now FROM (SELECT unnest([0, 5, 9]) AS days))
+SELECT CAST(days AS BIGINT) AS days_later, count(*) AS sources, CAST(count(*) FILTER (now - latest > 7) AS BIGINT) AS stale, CAST(quantile_cont(now - latest, 0.5) AS DOUBLE) AS median_age, count(*) FILTER (now - latest > 7) * 2 <= count(*) AS passed FROM g, n GROUP BY 1""").replace("\nWITH g AS", ",\ng AS"))
+def q6b(t):
+    """Whether most sources are stale on the last day, five days and nine days later."""
+    s = _stamps(t)
+    out = None
+    for days in (0, 5, 9):
+        now = F.date_add(s.agg(F.max("d").alias("last")).scalar(), days)
+        one = G.stale_majority(s, "source", "d", now, 7).select(F.lit(days).cast("long").alias("days_later"), "sources", "stale", "median_age", "passed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q6c_torn_snapshots", with_("""
+WITH p AS (SELECT CAST(date_trunc('month', d) AS DATE) AS snapshot, source, max(d) AS stamp FROM stp GROUP BY 1, 2), g AS (SELECT snapshot, count(*) AS parts, min(stamp) AS first_part, max(stamp) AS last_part FROM p GROUP BY 1)
+SELECT snapshot, parts, first_part, last_part, CASE WHEN month(snapshot) % 4 = 1 THEN first_part ELSE last_part END AS built, month(snapshot) % 4 = 1 AND first_part < last_part AS torn FROM g""").replace("\nWITH p AS", ",\np AS"))
+def q6c(t):
+    """Monthly snapshots of many sources; every fourth was built when its first source had arrived, which must show."""
+    p = _stamps(t).groupBy(F.to_date(F.date_trunc("month", "d")).alias("snapshot"), "source").agg(F.max("d").alias("stamp"))
+    built = p.groupBy("snapshot").agg(F.min("stamp").alias("lo"), F.max("stamp").alias("hi")).select("snapshot", F.when(F.month("snapshot") % 4 == 1, F.col("lo")).otherwise(F.col("hi")).alias("built"))
+    return G.torn_snapshots(p, "snapshot", "stamp", built, "built")
+
+
+@query("q6d_panel_end", with_("""
+SELECT (SELECT max(date) FROM panel) AS panel_end, (SELECT max(date) FROM lines) AS source_end, CAST((SELECT max(date) FROM lines) - (SELECT max(date) FROM panel) AS BIGINT) AS days_behind, (SELECT max(date) FROM lines) - (SELECT max(date) FROM panel) <= 1 AS passed UNION ALL
+SELECT (SELECT max(date) FROM panel_m), (SELECT max(date) FROM lines), CAST((SELECT max(date) FROM lines) - (SELECT max(date) FROM panel_m) AS BIGINT), (SELECT max(date) FROM lines) - (SELECT max(date) FROM panel_m) <= 1"""))
+def q6d(t):
+    """Whether a panel reaches the last day of its source: the daily one, and the monthly one, whose dates stop at the month's start."""
+    return G.end_against_source(t.panel, "date", t.lines, "date").unionByName(G.end_against_source(t.panel_m, "date", t.lines, "date"))
+
+
+@query("q7b_exact_ratio", with_("""
+SELECT 'dollars to cents' AS "check", CAST(count(*) FILTER (abs(round(l_extendedprice * 100) - l_extendedprice * 100) > 1e-9 * greatest(abs(l_extendedprice * 100), 1)) AS BIGINT) AS violations,
+  count(*) FILTER (abs(round(l_extendedprice * 100) - l_extendedprice * 100) > 1e-9 * greatest(abs(l_extendedprice * 100), 1)) = 0 AS passed FROM lineitem UNION ALL
+SELECT 'scaled twice', count(*) FILTER (l_quantity * CASE WHEN l_linenumber = 1 THEN 625 ELSE 25 END <> l_quantity * 25), count(*) FILTER (l_quantity * CASE WHEN l_linenumber = 1 THEN 625 ELSE 25 END <> l_quantity * 25) = 0 FROM lineitem"""))
+def q7b(t):
+    """Converted units against their source; the second copy scales first lines twice, which must show."""
+    c = F.col
+    d = t.lineitem.select(c("l_extendedprice").cast("double").alias("price"), F.round(c("l_extendedprice").cast("double") * 100).alias("cents"), c("l_quantity").cast("double").alias("lots"),
+                          (c("l_quantity").cast("double") * F.when(c("l_linenumber") == 1, 625).otherwise(25)).alias("units"))
+    return G.exact_ratio(d, "cents", "price", 100.0, name="dollars to cents").unionByName(G.exact_ratio(d, "units", "lots", 25.0, name="scaled twice"))
+
+
 @query("q7_unit_check", with_("""
 SELECT 'whole units' AS "check", count(*) FILTER (l_quantity <> round(l_quantity)) AS violations, count(*) FILTER (l_quantity <> round(l_quantity)) = 0 AS passed FROM lineitem UNION ALL
 SELECT 'multiple of lot', count(*) FILTER (CAST(l_quantity AS BIGINT) % 5 <> 0), count(*) FILTER (CAST(l_quantity AS BIGINT) % 5 <> 0) = 0 FROM lineitem"""))
