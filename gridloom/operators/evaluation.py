@@ -78,6 +78,14 @@ def date_splits(df: DataFrame, date: str, cuts: tuple[float, float] = (0.70, 0.8
     return x.withColumn(out, lab).drop("_e").where(f"{out} is not null")
 
 
+def cut_dates(df: DataFrame, date: str, **shares: float) -> DataFrame:
+    """One row: for each name the date at that share of the distinct dates (calendar-sized)."""
+    d = df.select(F.col(date).alias("d")).where("d is not null").distinct().withColumn("g", F.lit(1))
+    w = Window.partitionBy("g")
+    d = d.withColumn("i", F.row_number().over(w.orderBy("d")) - 1).withColumn("n", F.count("*").over(w))
+    return d.agg(*[F.min(F.when(F.col("i") >= F.floor(F.col("n") * s), F.col("d"))).alias(k) for k, s in shares.items()])
+
+
 def metric_columns(y: str, yhat: str, base: Column | None = None) -> list[Column]:
     """RMSE, MAE, out-of-sample R2 against ``base`` (zero by default), direction accuracy, correlation."""
     e = F.col(y) - F.col(yhat)
@@ -163,6 +171,23 @@ def target_encoding(train: DataFrame, key: str, y: str, kappa: float = 20.0) ->
     return g.select(key, "n", ((F.col("s") + F.col("p.prior") * kappa) / (F.col("n") + kappa)).alias("encoded"))
 
 
+def out_of_fold_encoding(train: DataFrame, key: str, fold: str, y: str, kappa: float = 20.0) -> DataFrame:
+    """(key, fold, encoded): the smoothed mean of ``y`` over the key's rows of all other folds.
+
+    A fold's share is subtracted from the totals of its key and of the table, so one aggregate
+    serves all folds and no row sees its own target.  A key that lives in one fold only gets the
+    others' mean.
+    """
+    cell = train.groupBy(key, fold).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("s"), F.count(y).alias("n"))
+    own = cell.groupBy(F.col(key).alias("_k")).agg(F.sum("s").alias("ks"), F.sum("n").alias("kn"))
+    per = cell.groupBy(F.col(fold).alias("_f")).agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
+    d = cell.join(own, F.col(key).eqNullSafe(F.col("_k"))).join(per, F.col(fold).eqNullSafe(F.col("_f")))
+    d = with_scalars(d, cell.agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "t")
+    prior = div(F.col("t.s") - F.col("fs"), F.col("t.n") - F.col("fn"))
+    code = (F.col("ks") - F.col("s") + prior * kappa) / (F.col("kn") - F.col("n") + kappa)
+    return d.select(key, fold, code.alias("encoded"))
+
+
 def fold_stability(df: DataFrame, by: Sequence[str], fold: str, value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min_by(value, fold).alias("first"), F.max_by(value, fold).alias("last"),
                                F.avg(value).alias("mean"), F.count("*").alias("n_folds"))

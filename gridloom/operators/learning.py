@@ -149,6 +149,27 @@ def scope_predictions(train: DataFrame, test: DataFrame, y: str, x: str, entity:
     return t.unpivot(test.columns, ["global", "regional", "entity_own", "shrunk"], "scope", "yhat")
 
 
+def encoded_predictions(train: DataFrame, test: DataFrame, y: str, x: str, key: str, fold: str, kappa: float = 20.0) -> DataFrame:
+    """Predictions of a pooled model on ``x`` and the key's target code: out-of-fold codes in training, full ones in the test."""
+    from gridloom.operators.evaluation import out_of_fold_encoding, target_encoding
+    from gridloom.operators.joins import enrich
+    from gridloom.session import materialise
+
+    codes = materialise(out_of_fold_encoding(train, key, fold, y, kappa), "codes")
+    full = target_encoding(train, key, y, kappa)
+    full = materialise(full.select(key, "encoded"), "codes")
+    prior = train.agg(F.avg(y).alias("prior"))
+    d = enrich(train, codes, [key, fold], "inner", spread=x).where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    m = d.agg(F.avg(y).alias("my"), F.avg(x).alias("mx"), F.avg("encoded").alias("mz"), F.var_pop(x).alias("xx"), F.var_pop("encoded").alias("zz"),
+              F.covar_pop(x, "encoded").alias("xz"), F.covar_pop(x, y).alias("xy"), F.covar_pop("encoded", y).alias("zy"))
+    c = F.col
+    det = c("xx") * c("zz") - c("xz") * c("xz")
+    m = m.withColumn("b", F.when(det > 0, (c("xy") * c("zz") - c("zy") * c("xz")) / det)).withColumn("g", F.when(det > 0, (c("zy") * c("xx") - c("xy") * c("xz")) / det))
+    t = with_scalars(with_scalars(enrich(test, full, [key], "left", spread=x), m, "m"), prior, "p")
+    code = F.coalesce(c("encoded"), c("p.prior"))
+    return t.select(*test.columns, (c("m.my") + c("m.b") * (c(x) - c("m.mx")) + c("m.g") * (code - c("m.mz"))).alias("yhat"))
+
+
 def band_conditional(train: DataFrame, test: DataFrame, y: str, x: str, band: float) -> DataFrame:
     """One-regressor forecasts pooled and per side of the band, scored on the test rows of each side."""
     side = lambda d: d.withColumn("regime", F.when(F.abs(x) > band, "outside").otherwise("inside"))

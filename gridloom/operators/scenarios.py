@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.operators.joins import with_scalars
 
@@ -69,6 +69,29 @@ def band_probabilities(sims: DataFrame, edges: Sequence[float], by: Sequence[str
                                                                  F.percentile(F.when(inside, F.col("x")), F.lit(0.5)).alias("conditional_median"))
 
 
+def path_histogram(sims: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+    """Counts of log path sums in cells of ``width``: a state that merges and is bounded by the range, not by the paths."""
+    return sims.groupBy(*keys, "h", F.floor(F.col("total") / width).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], width: float) -> DataFrame:
+    """Rows (keys..., h, prob, q): log quantiles from the cells, within ``width`` of the exact lower quantile."""
+    group = Window.partitionBy(*keys, "h")  # a row per cell
+    d = hist.withColumn("_hi", F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("n").over(group))
+    arr = ", ".join(f"{float(p)!r}D" for p in probs)
+    d = d.withColumn("prob", F.explode(F.expr(f"filter(array({arr}), p -> _hi - n <= floor(p * (_n - 1)) and floor(p * (_n - 1)) < _hi)")))
+    lo, rank = F.col("_hi") - F.col("n"), F.floor(F.col("prob") * (F.col("_n") - 1))
+    return d.select(*keys, "h", "prob", ((F.col("cell") + (rank - lo + 0.5) / F.col("n")) * width).alias("q"))
+
+
+def level_percentiles(sims: DataFrame, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """Rows (keys..., h, level, percentile): share of paths that end below each given level (relative to today's)."""
+    at = [F.avg((F.exp("total") < v).cast("double")).alias(str(i)) for i, v in enumerate(levels)]
+    g = sims.groupBy(*keys, "h").agg(*at)
+    rows = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.col(str(i)).alias("percentile")) for i, v in enumerate(levels)])).alias("z")
+    return g.select(*keys, "h", rows).select(*keys, "h", "z.level", "z.percentile")
+
+
 def coverage(sims: DataFrame, actual: DataFrame, keys: Sequence[str], nominal: Sequence[float]) -> DataFrame:
     """Per (key, h): the realised value's percentile among its simulations and a covered flag per nominal level."""
     j = sims.join(actual, [*keys, "h"])

@@ -17,7 +17,9 @@ FEATS = ["dev_lag", "dev_mean3", "ret_lag", "lv_lag"]
 
 define("mf", f"""SELECT entity, date, dev, ret_row, logp, volume, lag(dev) OVER we AS dev_lag, CASE WHEN count(dev) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) >= 3 THEN
   avg(dev) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS dev_mean3, lag(ret_row) OVER we AS ret_lag, lag(ln(volume)) OVER we AS lv_lag, lead(dev) OVER we - dev AS y FROM devm {WE}""")
-define("mfs", "SELECT *, CASE WHEN date <= DATE '1999-06-01' THEN 'train' WHEN date > DATE '1999-09-01' THEN 'test' END AS part FROM mf WHERE y IS NOT NULL AND dev_lag IS NOT NULL")
+define("mcut", """SELECT dd[CAST(floor(n * 0.60) AS BIGINT) + 1] AS cut_a, dd[CAST(floor(n * 0.65) AS BIGINT) + 1] AS cut_b, dd[CAST(floor(n * 0.80) AS BIGINT) + 1] AS cut_c
+  FROM (SELECT list(date ORDER BY date) AS dd, count(*) AS n FROM (SELECT DISTINCT date FROM mf WHERE y IS NOT NULL AND dev_lag IS NOT NULL))""")
+define("mfs", "SELECT mf.*, CASE WHEN date <= cut_a THEN 'train' WHEN date > cut_b THEN 'test' END AS part, date <= cut_c AS early FROM mf, mcut WHERE y IS NOT NULL AND dev_lag IS NOT NULL")
 
 
 def mf(t):
@@ -26,8 +28,10 @@ def mf(t):
 
 
 def parts(t):
+    """Training rows, and test rows with the flag ``early``; the cuts are shares of the dates that the data have."""
     d = mf(t).where("y is not null and dev_lag is not null")
-    return d.where("date <= '1999-06-01'"), d.where("date > '1999-09-01'")
+    d = J.with_scalars(d, V.cut_dates(d, "date", a=0.60, b=0.65, c=0.80), "_s").withColumn("early", F.col("date") <= F.col("_s.c"))
+    return d.where("date <= _s.a").drop("_s", "early"), d.where("date > _s.b").drop("_s")
 
 
 @query("m1_forward_targets", with_(f"""
@@ -227,14 +231,23 @@ def m12(t):
 
 @query("m13_scope_comparison", with_(f"""
 WITH d AS (SELECT mfs.*, region FROM mfs JOIN dim USING (entity)), g AS (SELECT regr_slope(y, dev_lag) AS b, regr_intercept(y, dev_lag) AS a FROM d WHERE part = 'train'),
+fo AS (SELECT entity, date, y, dev_lag, month(date) % 5 AS f FROM d WHERE part = 'train'), oc AS (SELECT entity, f, sum(y) AS s, count(y) AS n FROM fo GROUP BY 1, 2),
+ot AS (SELECT *, sum(s) OVER (PARTITION BY entity) AS ks, sum(n) OVER (PARTITION BY entity) AS kn, (sum(s) OVER () - sum(s) OVER (PARTITION BY f)) / (sum(n) OVER () - sum(n) OVER (PARTITION BY f)) AS prior FROM oc),
+oz AS (SELECT fo.y, dev_lag AS x, (ks - s + prior * 20) / (kn - n + 20) AS z FROM fo JOIN ot ON fo.entity = ot.entity AND fo.f = ot.f),
+om AS (SELECT avg(y) AS my, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM oz),
+ob AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS gm FROM om),
+te AS (SELECT entity AS te_entity, (sum(y) + (SELECT avg(y) FROM fo) * 20) / (count(y) + 20) AS code FROM fo GROUP BY 1),
 rg AS (SELECT region, regr_slope(y, dev_lag) AS b, regr_intercept(y, dev_lag) AS a FROM d WHERE part = 'train' GROUP BY 1), en AS (SELECT entity, regr_slope(y, dev_lag) AS b, regr_intercept(y, dev_lag) AS a, count(*) AS n FROM d WHERE part = 'train' GROUP BY 1),
-p AS (SELECT y, g.a + g.b * dev_lag AS p1, rg.a + rg.b * dev_lag AS p2, en.a + en.b * dev_lag AS p3, n / (n + 50.0) AS w FROM d, g, rg, en WHERE part = 'test' AND rg.region = d.region AND en.entity = d.entity),
-l AS (SELECT y, unnest(['global', 'regional', 'entity_own', 'shrunk']) AS scope, unnest([p1, p2, p3, w * p3 + (1 - w) * p1]) AS yhat FROM p)
+p AS (SELECT y, g.a + g.b * dev_lag AS p1, rg.a + rg.b * dev_lag AS p2, en.a + en.b * dev_lag AS p3, n / (n + 50.0) AS w, ob.my + ob.b * (dev_lag - ob.mx) + ob.gm * (code - ob.mz) AS p4 FROM d, g, rg, en, te, ob WHERE part = 'test' AND rg.region = d.region AND en.entity = d.entity AND te_entity = d.entity),
+l AS (SELECT y, unnest(['global', 'regional', 'entity_own', 'shrunk', 'encoded']) AS scope, unnest([p1, p2, p3, w * p3 + (1 - w) * p1, p4]) AS yhat FROM p)
 SELECT scope, count(*) AS n, {r('sqrt(avg(pow(y - yhat, 2)))')} AS rmse, {r('1 - sum(pow(y - yhat, 2)) / sum(y * y)')} AS r2_oos FROM l GROUP BY 1""").replace("\nWITH d AS", ",\nd AS"))
 def m13(t):
     tr, te = parts(t)
     reg = t.dim.select("entity", "region")
     p = L.scope_predictions(tr.join(reg, "entity"), te.select("entity", "date", "y", "dev_lag").join(reg, "entity"), "y", "dev_lag", "entity", "region")
+    fold = F.month("date") % 5
+    e = L.encoded_predictions(tr.select("entity", "date", "y", "dev_lag").withColumn("fold", fold), te.select("entity", "date", "y", "dev_lag"), "y", "dev_lag", "entity", "fold")
+    p = p.select("scope", "y", "yhat").unionByName(e.select(F.lit("encoded").alias("scope"), "y", "yhat"))
     return V.forecast_metrics(p, ["scope"], "y", "yhat").select("scope", "n", rnd("rmse").alias("rmse"), rnd("r2_oos").alias("r2_oos"))
 
 
@@ -244,6 +257,16 @@ def m14(t):
     return V.target_encoding(parts(t)[0], "entity", "y", 20.0).select("entity", "n", rnd("encoded").alias("encoded"))
 
 
+@query("m14b_out_of_fold_encoding", with_(f"""
+WITH fo AS (SELECT entity, y, month(date) % 5 AS f FROM mfs WHERE part = 'train')
+SELECT a.entity, CAST(a.f AS INTEGER) AS fold, {r("(coalesce((SELECT sum(y) FROM fo o WHERE o.entity = a.entity AND o.f <> a.f), 0) + (SELECT avg(y) FROM fo o WHERE o.f <> a.f) * 20) / ((SELECT count(y) FROM fo o WHERE o.entity = a.entity AND o.f <> a.f) + 20)")} AS encoded
+FROM (SELECT DISTINCT entity, f FROM fo) a""").replace("\nWITH fo AS", ",\nfo AS"))
+def m14b(t):
+    """Codes of the training rows, each from the other folds only."""
+    d = parts(t)[0].withColumn("fold", F.month("date") % 5)
+    return V.out_of_fold_encoding(d, "entity", "fold", "y").select("entity", F.col("fold").cast("int").alias("fold"), rnd("encoded").alias("encoded"))
+
+
 @query("m15_fallback_registry", with_("""
 WITH c AS (SELECT entity, kind, tier, region, count(*) OVER (PARTITION BY kind, tier, region) AS n0, count(*) OVER (PARTITION BY kind, tier) AS n1, count(*) OVER (PARTITION BY kind) AS n2 FROM dim),
 g AS (SELECT entity, CASE WHEN n0 >= 3 THEN 'kind__tier__region' WHEN n1 >= 3 THEN 'kind__tier' ELSE 'kind' END AS group_level, CASE WHEN n0 >= 3 THEN kind || '__' || tier || '__' || region WHEN n1 >= 3 THEN kind || '__' || tier ELSE kind END AS group_id,
@@ -257,7 +280,7 @@ def m15(t):
 @query("m16_estimator_selection", with_(f"""
 WITH d AS (SELECT mfs.*, kind FROM mfs JOIN dim USING (entity)), g AS (SELECT regr_slope(y, dev_lag) AS b, regr_intercept(y, dev_lag) AS a, avg(y) AS m FROM d WHERE part = 'train'),
 k AS (SELECT kind, regr_slope(y, dev_lag) AS b, regr_intercept(y, dev_lag) AS a FROM d WHERE part = 'train' GROUP BY 1),
-l AS (SELECT d.kind, y, date <= DATE '2000-03-01' AS val, unnest(['zero', 'mean', 'pooled', 'own']) AS model, unnest([0.0, g.m, g.a + g.b * dev_lag, k.a + k.b * dev_lag]) AS yhat FROM d, g, k WHERE part = 'test' AND k.kind = d.kind),
+l AS (SELECT d.kind, y, early AS val, unnest(['zero', 'mean', 'pooled', 'own']) AS model, unnest([0.0, g.m, g.a + g.b * dev_lag, k.a + k.b * dev_lag]) AS yhat FROM d, g, k WHERE part = 'test' AND k.kind = d.kind),
 s AS (SELECT kind, model, sqrt(avg(pow(y - yhat, 2)) FILTER (val)) AS v, sqrt(avg(pow(y - yhat, 2)) FILTER (NOT val)) AS rmse FROM l GROUP BY 1, 2)
 SELECT kind, arg_min(model, (round(v * 1e9), model)) AS selected, {r('arg_min(rmse, (round(v * 1e9), model))')} AS rmse FROM s GROUP BY 1""").replace("\nWITH d AS", ",\nd AS"))
 def m16(t):
@@ -265,7 +288,7 @@ def m16(t):
     tr, te = parts(t)
     kind = t.dim.select("entity", "kind")
     fit = lambda by, d: d.groupBy(*by).agg(F.regr_slope("y", "dev_lag").alias("b"), F.regr_intercept("y", "dev_lag").alias("a"), F.avg("y").alias("m"))
-    x = J.with_scalars(te.join(kind, "entity").select("kind", "y", "dev_lag", (F.col("date") <= "2000-03-01").alias("val")), fit([], tr), "g").join(fit(["kind"], tr.join(kind, "entity")), "kind")
+    x = J.with_scalars(te.join(kind, "entity").select("kind", "y", "dev_lag", F.col("early").alias("val")), fit([], tr), "g").join(fit(["kind"], tr.join(kind, "entity")), "kind")
     x = x.select("kind", "y", "val", F.lit(0.0).alias("zero"), F.col("g.m").alias("mean"), (F.col("g.a") + F.col("g.b") * F.col("dev_lag")).alias("pooled"), (F.col("a") + F.col("b") * F.col("dev_lag")).alias("own"))
     c = V.forecast_metrics(x.unpivot(["kind", "y", "val"], ["zero", "mean", "pooled", "own"], "model", "yhat"), ["kind", "model", "val"], "y", "yhat")
     best = V.select_best(c.where("val"), ["kind"], "rmse", "model").select("kind", "selected")
@@ -292,7 +315,7 @@ def m18(t):
     return d.select("entity", "date", "age", rnd(F.col("logp") - F.col("logp7")).alias("mom7"), "n_ref", rnd("rank_ref").alias("rank_ref"))
 
 
-CAL = ("cal", "SELECT y, dev_lag, CASE WHEN date <= DATE '2000-03-01' THEN 'calibration' ELSE 'test' END AS slice FROM mfs WHERE part = 'test'")
+CAL = ("cal", "SELECT y, dev_lag, CASE WHEN early THEN 'calibration' ELSE 'test' END AS slice FROM mfs WHERE part = 'test'")
 
 
 @query("m19_conformal_coverage", with_(f"""
@@ -303,8 +326,8 @@ def m19(t):
     tr, te = parts(t)
     fit = tr.agg(F.regr_slope("y", "dev_lag").alias("b"), F.regr_intercept("y", "dev_lag").alias("a"))
     p = J.with_scalars(te, fit, "g").withColumn("yhat", F.col("g.a") + F.col("g.b") * F.col("dev_lag"))
-    w = V.conformal_halfwidths(p.where("date <= '2000-03-01'"), "y", "yhat", [0.5, 0.8, 0.9])
-    d = V.interval_coverage(p.where("date > '2000-03-01'").select("y", "yhat"), w, "y", "yhat")
+    w = V.conformal_halfwidths(p.where("early"), "y", "yhat", [0.5, 0.8, 0.9])
+    d = V.interval_coverage(p.where("not early").select("y", "yhat"), w, "y", "yhat")
     return d.select("nominal", "n", rnd("coverage").alias("coverage"), rnd("half_width").alias("half_width"))
 
 
@@ -461,7 +484,7 @@ def q2(t):
 
 @query("q1_decision_policy", with_(f"""
 WITH l AS (SELECT entity, max(date) AS as_of, arg_max(dev, date) * 100 AS deviation, arg_max(ret_row, date) * 100 AS predicted FROM dev WHERE dev.dev IS NOT NULL GROUP BY 1), w AS (SELECT entity, stddev(ret_row) * 100 AS s FROM pr GROUP BY 1),
-b AS (SELECT entity, CAST(sum(amount) AS DOUBLE) AS depth FROM book WHERE side = 'buy' AND time >= DATE '2001-01-01' GROUP BY 1), hz AS (SELECT min(h) AS horizon, arg_min(cutoff, h) * 100 AS cutoff, arg_min(share_profitable, h) AS sp FROM (SELECT x.*, hc.cutoff FROM ({_bodyq}) x JOIN hc ON hc.h = x.h) WHERE t_stat >= 2 AND windows >= 10),
+b AS (SELECT entity, CAST(sum(amount) AS DOUBLE) AS depth FROM book WHERE side = 'buy' AND time >= (SELECT dd[CAST(floor(len(dd) * 0.9) AS BIGINT) + 1] FROM (SELECT list(DISTINCT time ORDER BY time) AS dd FROM book)) GROUP BY 1), hz AS (SELECT min(h) AS horizon, arg_min(cutoff, h) * 100 AS cutoff, arg_min(share_profitable, h) AS sp FROM (SELECT x.*, hc.cutoff FROM ({_bodyq}) x JOIN hc ON hc.h = x.h) WHERE t_stat >= 2 AND windows >= 10),
 j AS (SELECT l.*, predicted - 1.28 * s AS lo80, predicted + 1.28 * s AS hi80, depth, horizon, cutoff, sp, (SELECT max(as_of) FROM l) - as_of AS age FROM l JOIN w USING (entity) LEFT JOIN b USING (entity), hz)
 SELECT entity, as_of, {r('deviation', 5)} AS deviation, horizon, CASE WHEN age > 7 OR horizon IS NULL THEN 'Abstain' WHEN depth < 25 THEN 'Avoid' WHEN abs(deviation) < 5 OR abs(deviation) < cutoff OR abs(deviation) <= 4 THEN 'Hold'
   WHEN (deviation > 0 AND predicted > 0) OR (deviation < 0 AND predicted < 0) THEN 'Investigate' WHEN deviation > 0 THEN 'Sell' ELSE 'Buy' END AS action,
@@ -472,6 +495,7 @@ def q1(t):
     last = t.dev.where("dev is not null").groupBy("entity").agg(F.max("date").alias("as_of"), (F.max_by("dev", "date") * 100).alias("deviation"), (F.max_by("ret_row", "date") * 100).alias("predicted"))
     s = t.pr.groupBy("entity").agg((F.stddev("ret_row") * 100).alias("s"))
     p = last.join(s, "entity").select("entity", "as_of", "deviation", "predicted", (F.col("predicted") - 1.28 * F.col("s")).alias("lo80"), (F.col("predicted") + 1.28 * F.col("s")).alias("hi80"))
-    b = t.book.where("side = 'buy' and time >= '2001-01-01'").groupBy("entity").agg(F.sum("amount").cast("double").alias("depth"))
+    since = V.cut_dates(t.book, "time", c=0.9)
+    b = J.with_scalars(t.book.where("side = 'buy'"), since, "_s").where("time >= _s.c").groupBy("entity").agg(F.sum("amount").cast("double").alias("depth"))
     h = D.eligible_horizon(holdout_rows(t)).withColumn("cutoff", F.col("cutoff") * 100)
     return D.decide(p, b, h, band=5.0, round_trip=4.0).select("entity", "as_of", rnd("deviation", 5).alias("deviation"), "horizon", "action", "confidence")

@@ -9,6 +9,7 @@ from gridloom.operators import book as B, evaluation as V, joins as J, quantiles
 from gridloom.queries.aggregates import qbin_sql
 from gridloom.queries.econometric import nw_sql
 from gridloom.registry import query
+from gridloom.session import materialise
 from gridloom.sqltext import define, r, with_
 
 define("offers", "SELECT *, 0.02 * value AS fee_uncapped, least(greatest(0.02 * value, 2000.0), 8000.0) AS fee, least(greatest(0.02 * value, 2000.0), 8000.0) / value * 100 AS eff FROM book")
@@ -271,7 +272,7 @@ def b19(t):
     return N.bootstrap_quantiles(N.simulate(blocks, ["entity"], [1, 3, 6], 4000, block=4), ["entity"], PROBS)
 
 
-ORIGINS = ("og", "SELECT DISTINCT date AS origin FROM panel_m WHERE date >= DATE '1999-01-01' AND month(date) % 3 = 1")
+ORIGINS = ("og", "SELECT DISTINCT date AS origin FROM panel_m WHERE date >= (SELECT dd[CAST(floor(len(dd) * 0.6) AS BIGINT) + 1] FROM (SELECT list(DISTINCT date ORDER BY date) AS dd FROM panel_m)) AND month(date) % 3 = 1")
 
 
 @query("b20_rolling_origin_baselines", with_(f"""
@@ -281,7 +282,7 @@ SELECT h, 'rw' AS model, count(*) AS n, {r('avg(abs(p0 / actual - 1)) * 100', 4)
 SELECT h, 'seasonal', count(*), {r('avg(abs(sn / actual - 1)) * 100', 4)}, {r('sqrt(avg(pow(ln(sn / actual), 2))) * 100', 4)}, {r('avg(CAST(abs(sn / actual - 1) <= 0.05 AS INT))', 5)} FROM x WHERE sn IS NOT NULL GROUP BY 1""", ORIGINS).replace("\nWITH o AS", ",\no AS"))
 def b20(t):
     p = t.panel_m.select("entity", "date", "price")
-    og = p.where("date >= '1999-01-01' and month(date) % 3 = 1").select("entity", F.col("date").alias("origin"), F.col("price").alias("rw"))
+    og = J.with_scalars(p, V.cut_dates(p, "date", c=0.6), "_s").where("date >= _s.c and month(date) % 3 = 1").select("entity", F.col("date").alias("origin"), F.col("price").alias("rw"))
     sn = p.select("entity", F.add_months("date", 6).alias("origin"), F.col("price").alias("seasonal"))
     hs = F.explode(F.array(F.lit(1), F.lit(3), F.lit(6))).alias("h")
     act = p.select("entity", F.col("date").alias("_d"), F.col("price").alias("actual"), hs).select("entity", F.expr("add_months(_d, -h)").alias("origin"), "h", "actual")
@@ -291,7 +292,8 @@ def b20(t):
 
 
 def _origin_sims(t, n_sim=4000):
-    og = t.panel_m.select(F.col("date").alias("origin")).distinct().where("origin >= '1999-01-01' and month(origin) % 3 = 1")
+    og = t.panel_m.select(F.col("date").alias("origin")).distinct()
+    og = J.with_scalars(og, V.cut_dates(og, "origin", c=0.6), "_s").where("origin >= _s.c and month(origin) % 3 = 1").drop("_s")
     hist = N.rolling_origins(t.prm.select("entity", "date", "ret"), "date", og)
     blocks = N.residual_blocks(hist, ["entity", "origin"], "ret", "date", 0.02, min_obs=24)
     sims = N.simulate(blocks, ["entity", "origin"], [1, 3, 6], n_sim, block=4)
@@ -316,6 +318,15 @@ def b21(t):
     return N.band_probabilities(N.simulate(blocks, ["idx"], [1, 3], 40000, block=4), [0.8, 0.95, 1.05, 1.2])
 
 
+@query("b21b_scenario_percentiles")
+def b21b(t):
+    """Percentiles of the simulated index level from a histogram of log paths, and where given levels stand among the paths."""
+    idx = W.chain_index(t.prm, "logp", 5).where("chain_ret is not null").withColumn("idx", F.lit("index"))
+    sims = materialise(N.simulate(N.residual_blocks(idx, ["idx"], "chain_ret", "date", 0.02), ["idx"], [1, 3, 6], 40000, block=4), "paths")
+    q = N.histogram_quantiles(N.path_histogram(sims, [], 1e-4), [], PROBS, 1e-4).select("h", F.lit("quantile").alias("kind"), F.col("prob").alias("percentile"), F.exp("q").alias("level"))
+    return q.unionByName(N.level_percentiles(sims, [], [0.8, 0.9, 1.0, 1.1, 1.25]).select("h", F.lit("level").alias("kind"), "percentile", "level"))
+
+
 @query("b22_band_coverage_calibration")
 def b22(t):
     sims, act = _origin_sims(t)
@@ -326,14 +337,16 @@ def b22(t):
 @query("b23_ew_volatility_benchmark", with_(f"""
 WITH i AS (SELECT entity, date, ret * ret AS v, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM prm WHERE ret IS NOT NULL),
 f AS (SELECT a.entity, a.date, a.v, sum(pow(0.94, a.i - 1 - b.i) * b.v) / sum(pow(0.94, a.i - 1 - b.i)) AS ew, count(*) AS k FROM i a JOIN i b ON a.entity = b.entity AND b.i <= a.i - 1 GROUP BY 1, 2, 3),
-m AS (SELECT entity, avg(v) AS m FROM i WHERE date < DATE '1999-07-01' GROUP BY 1)
-SELECT entity, count(*) AS n, {r('sqrt(avg(pow(v - ew, 2)))', 5)} AS rmse_ew, {r('sqrt(avg(pow(v - m, 2)))', 5)} AS rmse_mean FROM f JOIN m USING (entity) WHERE date >= DATE '1999-07-01' AND k >= 3 GROUP BY 1""").replace("\nWITH i AS", ",\ni AS"))
+c AS (SELECT dd[CAST(floor(len(dd) * 0.65) AS BIGINT) + 1] AS cut FROM (SELECT list(DISTINCT date ORDER BY date) AS dd FROM i)),
+m AS (SELECT entity, avg(v) AS m FROM i, c WHERE date < cut GROUP BY 1)
+SELECT entity, count(*) AS n, {r('sqrt(avg(pow(v - ew, 2)))', 5)} AS rmse_ew, {r('sqrt(avg(pow(v - m, 2)))', 5)} AS rmse_mean FROM f JOIN m USING (entity), c WHERE date >= cut AND k >= 3 GROUP BY 1""").replace("\nWITH i AS", ",\ni AS"))
 def b23(t):
     import math
     d = t.prm.where("ret is not null").select("entity", "date", (F.col("ret") ** 2).alias("v"))
     e = W.ewma(d, "v", math.log(0.5) / math.log(0.94), "ew", "_sd", 3)
     e = e.withColumn("ew", F.lag("ew").over(W.series()))
-    m = d.where("date < '1999-07-01'").groupBy("entity").agg(F.avg("v").alias("m"))
-    x = e.where("date >= '1999-07-01' and ew is not null").join(m, "entity")
+    cut = V.cut_dates(d, "date", c=0.65)
+    m = J.with_scalars(d, cut, "_s").where("date < _s.c").groupBy("entity").agg(F.avg("v").alias("m"))
+    x = J.with_scalars(e, cut, "_s").where("date >= _s.c and ew is not null").join(m, "entity")
     rm = lambda c: F.sqrt(F.avg((F.col("v") - F.col(c)) ** 2))
     return x.groupBy("entity").agg(F.count("*").alias("n"), rnd(rm("ew"), 5).alias("rmse_ew"), rnd(rm("m"), 5).alias("rmse_mean"))
