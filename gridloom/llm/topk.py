@@ -1,6 +1,6 @@
 """Exact top-k inner products: a ball tree per shard, searched by branch and bound.
 
-Candidates are dealt into shards of a bounded number of vectors by the hash of their id; queries
+Candidates are dealt into shards of a bounded number of vectors by the hash of their row number; queries
 into blocks.  A task holds one shard and one block.  It builds the shard's ball tree (split at the
 median along the direction between two far points), bounds each leaf for each query by
 ``q.c + |q| r``, and visits leaves in the order of their bounds until the next bound is below the
@@ -11,8 +11,8 @@ Every shard meets every block of queries, as the task asks (a stated query set a
 blocks); each pair of shard and block gives at most k rows a query, and a window keeps the best k.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part.
-Vectors of another length than the query's are no candidates of it.  Rows with one id count once
-(the smallest vector); a null id takes no part.  An empty table gives an empty result.
+Vectors of another length than the query's are no candidates of it.  Rows that share an
+id are candidates and queries each, and candidates of one another; a null id takes no part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from gridloom.llm.common import Workspace
 SHARD = 16384
 BLOCK = 2048
 LEAF = 256
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_row long, query_id long, vec_id long, score long"
 
 
 class BallTree:
@@ -60,9 +60,11 @@ class BallTree:
         return up + 1e-9 * np.abs(up) + 1e-6
 
 
-def search(tree: BallTree, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the best ``k`` of each query in this shard, none below its ``floor``."""
-    ids = ids[tree.order]
+def search(tree: BallTree, row_of: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in the shard, score) of the best ``k`` of each query in this shard, none below its ``floor``.
+
+    Ties go to the smaller place; a query does not meet the row it ``own``s.
+    """
     up = tree.bounds(q)
     turn = np.argsort(-up, axis=1, kind="stable")
     best = np.full((len(q), k), -np.inf)
@@ -79,9 +81,9 @@ def search(tree: BallTree, ids: np.ndarray, qid: np.ndarray, q: np.ndarray, k: i
             rows = live[leaf == n]
             a, b = tree.spans[n]
             s = q[rows] @ tree.x[a:b].T
-            s[qid[rows][:, None] == ids[None, a:b]] = -np.inf
+            s[own[rows][:, None] == row_of[tree.order[a:b]][None, :]] = -np.inf
             score = np.concatenate([best[rows], s], axis=1)
-            owner = np.concatenate([who[rows], np.broadcast_to(ids[a:b], s.shape)], axis=1)
+            owner = np.concatenate([who[rows], np.broadcast_to(tree.order[a:b], s.shape)], axis=1)
             keep = np.lexsort((owner, -score), axis=1)[:, :k]
             best[rows], who[rows] = np.take_along_axis(score, keep, 1), np.take_along_axis(owner, keep, 1)
             kth[rows] = np.maximum(kth[rows], best[rows, -1])
@@ -97,12 +99,13 @@ def _integers(v: pd.Series) -> np.ndarray:
 def _task(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        left = left.sort_values(["vec_id", "row"])  # places in the order of ties
         tree = BallTree(_integers(left["v"]))
-        qid = right["query_id"].to_numpy(np.int64)
         floor = right["floor"].fillna(-np.inf).to_numpy(float)
-        row, who, score = search(tree, left["vec_id"].to_numpy(np.int64), qid, _integers(right["q"]), k, floor)
-        return pd.DataFrame({"query_id": qid[row], "vec_id": who, "score": score.astype(np.int64)})
+        own = right["query_row"].to_numpy(np.int64)
+        row, who, score = search(tree, left["row"].to_numpy(np.int64), own, _integers(right["q"]), k, floor)
+        return pd.DataFrame({"query_row": own[row], "query_id": right["query_id"].to_numpy(np.int64)[row], "vec_id": left["vec_id"].to_numpy(np.int64)[who], "score": score.astype(np.int64)})
 
     return run
 
@@ -112,10 +115,10 @@ def _span(first: int, last: int):
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """vec_id and the integer vector floor(scale * x); invalid vectors and repeated ids are left out."""
+    """vec_id and the integer vector floor(scale * x) of every row; null ids and invalid vectors are left out."""
     x = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * F.lit(scale)))
     ok = (F.size(vec_col) > 0) & F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
 
 
 def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -124,12 +127,12 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
     ``queries`` is a condition on ``vec_id`` that picks the query rows.
     """
     ws = Workspace(df.sparkSession, "topk")
-    rows = ws.keep(vectors(df, id_col, vec_col, scale).withColumn("dim", F.size("v")))
+    rows = ws.keep(vectors(df, id_col, vec_col, scale).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()))
     asked = rows.where(queries)
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(m / BLOCK))
-    cand = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    ask = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).alias("q_block"))
+    cand = rows.select("vec_id", "row", "v", "dim", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    ask = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.lit(blocks)).alias("q_block"))
 
     def meet(left: DataFrame, right: DataFrame, first: int, last: int) -> DataFrame:
         left = left.where(F.col("shard").between(first, last)).withColumn("block", F.explode(_span(0, blocks - 1)))
@@ -138,7 +141,7 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col:
 
     found = ws.keep(meet(cand, ask.withColumn("floor", F.lit(None).cast("double")), 0, 0))
     if shards > 1:
-        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).drop("n")
-        found = found.unionByName(meet(cand, ask.join(kth, "query_id", "left"), 1, shards - 1))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        kth = found.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).drop("n")
+        found = found.unionByName(meet(cand, ask.join(kth, "query_row", "left"), 1, shards - 1))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

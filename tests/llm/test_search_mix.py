@@ -13,17 +13,13 @@ VEC = "vec_id long, embedding array<float>, label int, v int, score string"
 
 
 def best(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            u = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            ok[i] = min(ok[i], u) if i in ok else u
-    out = set()
-    for q in ok:
+    ok = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (q, u) in enumerate(ok):
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))
-            out |= {(q, r + 1, c, -x) for r, (x, c) in enumerate(s[:k])}
-    return out
+            s = sorted((-sum(a * b for a, b in zip(u, w, strict=True)), c) for m, (c, w) in enumerate(ok) if m != n and len(w) == len(u))
+            out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s[:k])]
+    return sorted(out)
 
 
 def test_topk_brute_force(spark, monkeypatch):
@@ -32,9 +28,9 @@ def test_topk_brute_force(spark, monkeypatch):
     rnd = random.Random(1)
     rows = [(i, [rnd.choice([-1.0, 0.5, 0.25, 0.015625]) * rnd.random() for _ in range(6)]) for i in range(400)]
     rows += [(400 + k, list(rows[k][1])) for k in range(60)]  # ties
-    rows += [(1001, None), (1002, []), (1020, [None] * 6), (1040, [float("nan")] * 6), (1060, [float("inf")] + [0.0] * 5), (1080, [1.0, 2.0]), (1081, [1.0, -2.0]), (None, rows[0][1]), (20, list(rows[20][1]))]
+    rows += [(1001, None), (1002, []), (1020, [None] * 6), (1040, [float("nan")] * 6), (1060, [float("inf")] + [0.0] * 5), (1080, [1.0, 2.0]), (1081, [1.0, -2.0]), (None, rows[0][1]), (20, list(rows[20][1])), (40, [9.0] * 6), (41, [9.0] * 6), (41, [3.0] * 6)]
     df = spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows], VEC)
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect())
     assert got == best(rows, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
