@@ -150,6 +150,27 @@ def test_body_in_dropped_wrappers(page, body):
     assert [t for z, t in html_text.blocks(page) if z == html_text.BODY] == body
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p><a href="x"">stray</a> quote</p></article>', ["stray quote"]),
+        ("<article class=it's><p>unquoted</p></article><p>more</p>", ["unquoted"]),
+        ("<article><p title=\"a > b\" data-x = '1 > 2' >in values</p></article>", ["in values"]),
+        ('<article =">equals first</article>', ["equals first"]),
+        ("<article><p a='b'' c=\"d\"\" e=f/g>both</p></article>", ["both"]),
+        ("<article><script src=it's>var a = '<p>';</script>after a script</article>", ["after a script"]),
+    ],
+)
+def test_quotes_in_tags(page, text):
+    assert [t for z, t in html_text.blocks(page) if z == html_text.BODY] == text
+
+
+def test_long_page():
+    got = html_text.blocks("<article>" + "<p a=\"b\"\" c='d'' e=f>two words</p>" * 20_000 + "</article>")
+    assert got == [(html_text.BODY, "two words")] * 20_000
+    assert html_text.blocks("<article>kept<p " + 'a = "x" b' * 50_000) == [(html_text.BODY, "kept")]
+
+
 def test_empty_pages_reach_the_suffix_array(spark):
     plate = " ".join(f"plate{k}" for k in range(20))
     rows = [(i, "http://a.com/x", f"<body><form><nav>menu</nav><p>own text {i}</p><div>{plate}</div></form><footer>f</footer>") for i in range(3)]
