@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, ctw, quality
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.html_text import extract
-from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan
+from gridloom.llm.licenses import BLOCK, IN_A_ROW, PHRASE_SCORE, PHRASES, STEP, TEMPLATES, THRESHOLD, scan
 from gridloom.llm.merkle import FIELDS, document_manifest
 from gridloom.llm.mixing import mix
 from gridloom.llm.near_dedup import near_classes
@@ -78,21 +78,21 @@ def _license_sql() -> str:
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     stands = lambda p: " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
     hits = " || ".join(f"list_transform(list_filter(range(len(w)), lambda i: {stands(p)}), lambda i: struct_pack(s := i, l := '{label}'))" for p, label in PHRASES.items())
-    sets = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES)
+    sets = ", ".join(f"('{label}', {sorted(set(t.split()))}, {sorted(set(m.split()))}::VARCHAR[], {sorted(set(n.split()))}::VARCHAR[], '{IN_A_ROW.get(label, '')}')" for label, t, m, n in TEMPLATES)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, {LOWER_SQL} AS low FROM documents),
 w AS (SELECT r, doc_id, low, {words.format('low')} AS w FROM t),
 h AS (SELECT *, {hits} AS hits FROM w),
-k(label, need) AS (VALUES {sets}),
-b AS (SELECT r, {words.format('unnest(string_split(low, chr(10)))')} AS line FROM t),
-m AS (SELECT r, label, len(list_intersect(list_distinct(line), need)) AS n, len(need) AS of FROM b, k
-      WHERE 100 * len(list_intersect(list_distinct(line), need)) >= {THRESHOLD} * len(need)),
+k(label, need, must, never, said) AS (VALUES {sets}),
+b AS (SELECT r, list_distinct(w[i * {STEP} + 1 : i * {STEP} + {BLOCK}]) AS block, ' ' || array_to_string(w[i * {STEP} + 1 : i * {STEP} + {BLOCK}], ' ') || ' ' AS speech FROM w, unnest(range(0, CAST(len(w) // {STEP} AS BIGINT) + 1)) u(i)),
+m AS (SELECT r, label, len(list_intersect(block, need)) AS n, len(need) AS of FROM b, k
+      WHERE 100 * len(list_intersect(block, need)) >= {THRESHOLD} * len(need) AND len(list_intersect(block, must)) = len(must) AND len(list_intersect(block, never)) = 0 AND (said = '' OR contains(speech, ' ' || said || ' '))),
 g AS (SELECT r, list(label) AS labels, max(n / of) AS best FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base,
        CAST(list_min(list_transform(hits, lambda x: x.s)) AS BIGINT) AS first_word, CAST(list_max(list_transform(hits, lambda x: x.s)) AS BIGINT) AS last_word,
        array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.l))), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.l) || coalesce(labels, []))), ',') AS labels,
-       CASE WHEN len(hits) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+       greatest(coalesce(best, 0.0)::DOUBLE, CASE WHEN len(hits) > 0 THEN {PHRASE_SCORE}::DOUBLE ELSE 0.0::DOUBLE END) AS score
 FROM h LEFT JOIN g ON h.r = g.r"""
 
 

@@ -120,11 +120,39 @@ def test_licenses(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (9, 1, 3, 3, "apache", "apache,apache-2.0", 1.0)
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (0, 0, None, "", 0.0)
     assert (got[4].n_base, got[4].first_word, got[4].last_word, got[4].base_labels) == (3, 0, 4, "cc-by,mit")
-    assert got[5].labels == "all-rights-reserved" and got[5].n_words == 30_003 and got[5].matches[0].block == 1
+    assert got[5].labels == "all-rights-reserved" and got[5].n_words == 30_003 and {m.block for m in got[5].matches} == {749}
     assert got[6].labels == "apache,apache-2.0" and got[7].labels == "mit" and 0.85 <= got[7].score < 1 and got[8].labels == ""
     assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, rows)).count() == len(rows)
 
 
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("Licensed under the GNU General Public License version 2.0", "gpl,gpl-2.0"),
+    ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("Released under the MIT License.", "mit"),
+    ("GNU Lesser General Public License, version 3, licensed under", "lgpl"),
+    ("licensed under the GNU Affero General Public License version 3", "agpl"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:", "bsd"),
+    ("This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General\n Public License as published", "gpl"),
+    ("This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0", "mpl-2.0"),
+    ("All rights reserved.", "all-rights-reserved"),
+    ("the general public of version 3 under the license", ""),
+]
+
+
+def test_known_notices(spark):
+    filler = " ".join(f"w{k}" for k in range(61))
+    rows = [(k, f"{filler[: 7 * k]}\n{t}\n{filler}") for k, (t, _) in enumerate(NOTICES)]
+    # two notices close to each other lend each other nothing
+    rows.append((99, "Licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0."))
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, rows)).collect()}
+    assert {k: got[k] for k in range(len(NOTICES))} == {k: w for k, (_, w) in enumerate(NOTICES)}
+    assert got[99] == "apache,apache-2.0,gpl,gpl-3.0"
+
+
 def test_blocks():
     page = '<title>t</title><script>var a="</p>";</script><body class="header"><nav><a>x</a></nav><div class="ad">buy<div>in</div></div>before<article><header><h1>A &amp; <b>b</b>c</h1></header><p>one<br>two <span class="promo">z<span>q</span></span>three<p class="notice">n<p>4 &copy 5 &am<section id="comments"><article><p>c</p></article></section><table><tr><td>a<td>b</table></article><footer>f</footer><a href="x>y'
     got = html_text.blocks(page)
