@@ -53,7 +53,7 @@ TEMPLATES = (
     ("lgpl", "gnu lesser general public license", "lesser", ""),
     ("agpl", "gnu affero general public license", "affero", ""),
     ("mit", "released under the mit license", "mit released", ""),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted software", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted software", ""),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary", ""),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc nc", ""),
