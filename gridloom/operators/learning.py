@@ -10,7 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.functions.num import safe_corr
+from gridloom.functions.num import div, safe_corr
+from gridloom.session import materialise
 from gridloom.operators.joins import with_scalars
 from gridloom.operators.strategy import split_date
 
@@ -51,7 +52,7 @@ def fit_predict(df: DataFrame, folds: DataFrame, features: Sequence[str], label:
 
     The driver loops over a handful of folds; each fit and transform runs on the cluster.
     """
-    d = assembled(df, features, label).select(*keep, date, F.col(label).alias("y"), "features").persist()
+    d = materialise(assembled(df, features, label).select(*keep, date, F.col(label).alias("y"), "features"), "folds")
     out = None
     for f in folds.orderBy("fold").collect():
         tr = d.where(F.col(date).between(f["train_lo"], f["train_hi"]))
@@ -67,7 +68,7 @@ def class_scores(df: DataFrame, folds: DataFrame, features: Sequence[str], label
     """(fold, model, y, p) for binary targets."""
     from pyspark.ml.functions import vector_to_array
 
-    d = assembled(df, features, label).select(date, F.col(label).alias("y"), "features").persist()
+    d = materialise(assembled(df, features, label).select(date, F.col(label).alias("y"), "features"), "folds")
     out = None
     for f in folds.orderBy("fold").collect():
         tr = d.where(F.col(date).between(f["train_lo"], f["train_hi"]))
@@ -80,16 +81,16 @@ def class_scores(df: DataFrame, folds: DataFrame, features: Sequence[str], label
 
 
 def class_metrics(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """AUC from ranks, Brier score and its skill against the base rate."""
+    """AUC from ranks, Brier score and its skill against the base rate; NULL where one class is missing."""
+    from gridloom.operators.quantiles import running
+
     by = list(by)
-    v = scores.groupBy(*by, "p").agg(F.count("*").alias("w"), F.sum("y").alias("pos"))
-    # at most one row per distinct score and group; scores of tree ensembles take few values
-    run = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("rank", F.sum("w").over(run) - (F.col("w") - 1) / 2.0)
-    a = v.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r1"), F.sum("pos").alias("n1"), F.sum("w").alias("n"))
-    auc = (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * (F.col("n") - F.col("n1")))
-    b = scores.groupBy(*by).agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg("y").alias("base"))
-    return a.join(b, by).select(*by, "n", auc.alias("auc"), "brier", (1 - F.col("brier") / (F.col("base") * (1 - F.col("base")))).alias("skill"))
+    d = scores.where(F.col("y").isNotNull() & F.col("p").isNotNull())
+    run = running(d, "p", by, ["y"])  # distinct scores in ranges: no fold is sorted in one task
+    a = run.groupBy(*by).agg(F.sum((F.col("c_w") - (F.col("w") - 1) / 2.0) * F.col("y")).alias("r1"), F.max("g_y").alias("n1"), F.max("g_w").alias("n"))
+    auc = div(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * (F.col("n") - F.col("n1")))
+    b = d.groupBy(*by).agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg("y").alias("base"))
+    return a.join(b, by).select(*by, "n", auc.alias("auc"), "brier", (1 - div("brier", F.col("base") * (1 - F.col("base")))).alias("skill"))
 
 
 def fit_save(df: DataFrame, features: Sequence[str], label: str, path: str) -> PipelineModel:
@@ -109,29 +110,33 @@ def score_latest(df: DataFrame, path: str, features: Sequence[str], half_widths:
     return p.select(entity, F.col(date).alias("as_of"), "prediction", (F.col("prediction") - F.col("w.q")).alias("lo"), (F.col("prediction") + F.col("w.q")).alias("hi"))
 
 
-def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int = 64) -> DataFrame:
-    """Column permuted by hash within ``parts`` random parts: no ordering of the whole table, and the same result on every cluster."""
-    d = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)))
-    w = Window.partitionBy("_part")
+def shuffled(df: DataFrame, col: str, key: Sequence[str], seed: int = SEED, parts: int = 64, group: Sequence[str] = ()) -> DataFrame:
+    """Column permuted by hash within ``parts`` random parts of each group: no ordering of the whole table, and the same result on every cluster."""
+    group = list(group)
+    d = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *group, *key), F.lit(parts)))
+    w = Window.partitionBy(*group, "_part")
     a = d.withColumn("_slot", F.row_number().over(w.orderBy(*key)))
-    b = d.select("_part", F.col(col).alias("_v"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), F.lit(col), *key), *key)).alias("_slot"))
-    return a.drop(col).join(b, ["_part", "_slot"]).withColumnRenamed("_v", col).drop("_part", "_slot")
-
+    b = d.select(*group, "_part", F.col(col).alias("_v"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), F.lit(col), *group, *key), *key)).alias("_slot"))
+    return a.drop(col).join(b, [*group, "_part", "_slot"]).withColumnRenamed("_v", col).drop("_part", "_slot")
 
-def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> DataFrame:
-    """Rise of the squared error when one feature is shuffled; one scoring pass per feature."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
-    def mse(d, name):
-        e = (F.col(label) - F.col("prediction")) ** 2
-        return model.transform(asm.transform(d)).agg(F.avg(e).alias("mse")).select(F.lit(name).alias("feature"), "mse")
+def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, key: Sequence[str], repeats: int = 10) -> DataFrame:
+    """Rise of the squared error when one feature is shuffled: mean and spread over ``repeats`` shuffles.
 
-    base = mse(test, "(none)")
+    The repeats of a feature are one pass: rows carry their repeat, and each repeat is shuffled in itself.
+    """
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    error = (F.col(label) - F.col("prediction")) ** 2
+    test = materialise(test.select(*key, *features, label), "importance")
+    base = model.transform(asm.transform(test)).agg(F.avg(error).alias("mse"))
+    copies = test.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     parts = None
     for f in features:
-        p = mse(shuffled(test, f, key), f)
+        d = shuffled(copies, f, key, group=["_rep"])
+        p = model.transform(asm.transform(d)).groupBy("_rep").agg(F.avg(error).alias("mse")).select(F.lit(f).alias("feature"), "mse")
         parts = p if parts is None else parts.unionByName(p)
-    return with_scalars(parts, base.select("mse"), "b").select("feature", (F.col("mse") - F.col("b.mse")).alias("importance"))
+    rise = F.col("mse") - F.col("b.mse")
+    return with_scalars(parts, base, "b").groupBy("feature").agg(F.avg(rise).alias("importance"), F.stddev(rise).alias("spread"), F.count("*").alias("repeats"))
 
 
 # ------------------------------------------------------------------ linear scopes from moments
@@ -153,7 +158,6 @@ def encoded_predictions(train: DataFrame, test: DataFrame, y: str, x: str, key:
     """Predictions of a pooled model on ``x`` and the key's target code: out-of-fold codes in training, full ones in the test."""
     from gridloom.operators.evaluation import out_of_fold_encoding, target_encoding
     from gridloom.operators.joins import enrich
-    from gridloom.session import materialise
 
     codes = materialise(out_of_fold_encoding(train, key, fold, y, kappa), "codes")
     full = target_encoding(train, key, y, kappa)

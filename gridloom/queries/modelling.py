@@ -9,7 +9,7 @@ from gridloom.operators import evaluation as V, features as X, inference as I, j
 from gridloom.queries.aggregates import qbin_sql
 from gridloom.queries.econometric import nw_sql
 from gridloom.registry import query
-from gridloom.session import scratch
+from gridloom.session import materialise, scratch
 from gridloom.sqltext import define, r, with_, tail_sql
 
 WE = "WINDOW we AS (PARTITION BY entity ORDER BY date)"
@@ -178,9 +178,13 @@ def m8(t):
 
 @query("m9_classifiers")
 def m9(t):
-    d = mf(t).withColumn("up", (F.col("y") > 0).cast("double"))
-    s = L.class_scores(d, V.walk_forward_folds(d, "date", 31, n=1), FEATS, "up", L.classifiers())
-    return L.class_metrics(s, ["fold", "model"])
+    """Direction of the next move and whether it lies in the top quartile of all moves, over six folds."""
+    d = materialise(mf(t).where("y is not null").withColumn("up", (F.col("y") > 0).cast("double")).withColumn("_size", F.abs("y")), "classes")
+    d = J.with_scalars(d, Q.exact_quantiles(d, "_size", [0.75]).agg(F.max("q").alias("q")), "_top").withColumn("big", (F.col("_size") > F.col("_top.q")).cast("double")).drop("_top", "_size")
+    folds = V.walk_forward_folds(d, "date", 31, n=6)
+    s = L.class_scores(d, folds, FEATS, "up", L.classifiers()).withColumn("target", F.lit("up"))
+    s = s.unionByName(L.class_scores(d, folds, FEATS, "big", {"forest": L.classifiers()["forest"]}).withColumn("target", F.lit("high_volatility")))
+    return L.class_metrics(materialise(s, "scores"), ["target", "fold", "model"])
 
 
 def metric_sql(y, p):
