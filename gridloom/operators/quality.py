@@ -100,7 +100,7 @@ def decide(preds: DataFrame, books: DataFrame, horizon: DataFrame, band: float,
     stale = F.datediff("m.now", "as_of") > rules["max_staleness_days"]
     gates = [
         ("Abstain", "none", "price is stale", stale),
-        ("Abstain", "none", "no tradable horizon", F.col("h.horizon").isNull()),
+        ("Abstain", "none", "no horizon cleared its own holdout", F.col("h.horizon").isNull()),
         ("Avoid", "low", "resting depth under one lot", F.col("depth") < rules["min_depth"]),
         ("Hold", "high", "inside the band", adev < band),
         ("Hold", "medium", "below the cutoff the holdout was earned at", adev < F.col("h.cutoff")),
