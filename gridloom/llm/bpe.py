@@ -231,10 +231,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return to_workers(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, token_ids array<int>"]))
 
 
-def decode(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` with the text that ``token_ids`` decode to instead of them; null ids give null."""
+def decode(rows: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """``rows`` with the text that ``token_ids`` decode to, instead of them or beside them; null ids give null."""
     spec = rows.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
-    others = [f for f in rows.schema.fields if f.name not in ("token_ids", "decoded")]
+    others = [f for f in rows.schema.fields if f.name != "decoded" and (keep_ids or f.name != "token_ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec.value)
@@ -243,7 +243,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([None if x is None else tok.decode(x) for x in ids], pa.string())], names=[*(f.name for f in others), "decoded"])
 
-    rows = rows.select(*(f.name for f in others), "token_ids")
+    rows = rows.select(*dict.fromkeys([*(f.name for f in others), "token_ids"]))
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "decoded string"]))
 
 
