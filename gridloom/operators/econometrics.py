@@ -16,6 +16,7 @@ from gridloom.operators.inference import nw_mean, nw_panel, per_date_mean
 from gridloom.operators.joins import leave_one_out, peer_mean, with_group, with_scalars
 from gridloom.operators.moments import attach, coefficients, complete, demean, panel_ols, _lin
 from gridloom.operators.quantiles import exact_quantiles, running
+from gridloom.operators.resampling import draw_moments, morans_by_draw, sign_words
 from gridloom.session import materialise
 
 # fixed values: edges and labels of the gap bins
@@ -148,30 +149,44 @@ def threshold_estimate(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.min_by(F.col("n_in") / F.col("n"), k).alias("share_inside"))
 
 
-def threshold_bootstrap(df: DataFrame, y: str, x: str, draws: int = 20, seed: int = 7, entity="entity", date="date", **grid) -> DataFrame:
-    """Share of sign-flip draws under the linear null whose best gain reaches the observed one."""
-    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(entity, date, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    d = materialise(d, "bootstrap")
-    rows, beta, names = coefficients(d, "y", ["x"], fe=[entity])
-    # fitted values and residuals of the demeaned linear model, aligned by key
-    w = Window.partitionBy(entity)
-    dm = d.select(entity, date, "x", (F.col("y") - F.avg("y").over(w)).alias("yd"), (F.col("x") - F.avg("x").over(w)).alias("xd"))
-    u = attach(dm, beta, ["beta"], [], True)
-    fit = F.col("beta")[0] * F.col("xd")
-    b = F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")
-    u = u.select(entity, date, "x", "xd", fit.alias("fit"), (F.col("yd") - fit).alias("res"), b)
-    flip = F.when(F.col("draw") == 0, 1.0).when(F.pmod(F.xxhash64(F.lit(seed), "draw", entity, date), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    s = u.select("draw", entity, "x", "xd", (F.col("fit") + F.col("res") * flip).alias("y"))
-    lin = demean(s, ["y"], ["draw", entity]).groupBy("draw").agg(
-        (F.sum(F.col("y") * F.col("y")) - F.sum(F.col("xd") * F.col("y")) ** 2 / F.sum(F.col("xd") * F.col("xd"))).alias("lin"), F.count("*").alias("n"))
-    base = d.select(F.abs("x").alias("ax"))
-    curve = threshold_ar(s, "y", "x", entity=entity, by=["draw"], grid_of=base, **grid)
-    f = curve.groupBy("draw").agg(F.min("ssr").alias("ssr")).join(lin, "draw")
-    f = f.select("draw", ((F.col("lin") - F.col("ssr")) / (F.col("ssr") / (F.col("n") - 2))).alias("f"))
-    obs = f.where("draw = 0").select("f")
-    f = with_scalars(f, obs, "_o")
-    return f.agg(F.max("_o.f").alias("f_obs"), F.avg(F.when(F.col("draw") > 0, (F.col("f") >= F.col("_o.f")).cast("double"))).alias("p_boot"),
-                 F.sum((F.col("draw") > 0).cast("long")).alias("draws"))
+def threshold_bootstrap(df: DataFrame, y: str, x: str, draws: int = 200, seed: int = 7, entity="entity", date="date", **grid) -> DataFrame:
+    """Share of sign-flip draws under the linear null whose best two-regime gain reaches the observed one.
+
+    A draw changes y alone, so all thresholds and draws come from one pass: the products of the regime
+    regressors with y and each entity's sum of y (``signed_sums``).  Without rows everything is null.
+    """
+    c = F.col
+    d = materialise(complete(df, [y, x], [entity, date]).select(entity, date, c(y).alias("y"), c(x).alias("x")), "bootstrap")
+    g = materialise(threshold_grid(d, "y", "x", entity=entity, **grid), "grid")
+    d = with_scalars(d, g.agg(F.array_sort(F.collect_set("gamma")).alias("grid")), "_g")
+    d = d.select(entity, date, "x", "y", F.expr("size(filter(_g.grid, v -> v < abs(x)))").alias("bucket"), F.size("_g.grid").alias("_k"))
+    # per entity: mean of y, and of each regressor as a prefix sum over the buckets
+    cell = d.groupBy(entity, "bucket").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"), F.max("_k").alias("_k"))
+    ent = cell.groupBy(entity).agg(F.collect_list(F.struct("bucket", "sx")).alias("at"), (F.sum("sy") / F.sum("n")).alias("ybar"), F.sum("n").alias("n"), F.max("_k").alias("_k"))
+    upto = F.expr("transform(sequence(0, _k), i -> aggregate(filter(at, b -> b.bucket <= i), 0D, (s, b) -> s + b.sx) / n)")
+    u = d.drop("_k").join(ent.select(entity, "ybar", upto.alias("means")), entity)
+    _, beta, _ = coefficients(d, "y", ["x"], fe=[entity])
+    u = attach(u, beta, ["beta"], [], True)
+    fit = c("beta")[0] * (c("x") - F.element_at("means", -1))
+    u = u.select(entity, c("bucket").cast("int").alias("bucket"), "x", "means", fit.alias("fit"), (c("y") - c("ybar") - fit).alias("res"), sign_words(draws, seed, entity, date).alias("words"))
+    products, between = draw_moments(u, draws, entity)
+    products = materialise(products, "products")
+
+    # thresholds in order, then x itself, then y squared
+    k = g.select((F.row_number().over(Window.orderBy("gamma")) - 1).alias("regressor"), "n", "g11", "g12", "g22")
+    size = g.agg(F.count("*").cast("int").alias("size"))
+    p = with_scalars(products, size, "_s")
+    whole = p.where("regressor >= _s.size").groupBy("draw").agg(F.max(F.when(c("regressor") == c("_s.size"), c("value"))).alias("xy"), F.max(F.when(c("regressor") > c("_s.size"), c("value"))).alias("yy"))
+    whole = whole.join(between, "draw").select("draw", "xy", (c("yy") - c("between")).alias("yy"))
+    j = products.join(k, "regressor").join(whole, "draw").withColumn("r2", c("xy") - c("value"))
+    det = c("g11") * c("g22") - c("g12") * c("g12")
+    gain = div(c("g22") * c("value") * c("value") - 2 * c("g12") * c("value") * c("r2") + c("g11") * c("r2") * c("r2"), det)
+    lin = c("yy") - div(c("xy") * c("xy"), c("g11") + 2 * c("g12") + c("g22"))
+    f = j.groupBy("draw").agg(F.max("n").alias("n"), F.min(lin).alias("lin"), F.min(c("yy") - gain).alias("ssr"))
+    f = f.select("draw", div(c("lin") - c("ssr"), c("ssr") / (c("n") - 2)).alias("f"))
+    f = with_scalars(f, f.where("draw = 0").select("f"), "_o")
+    drawn = c("draw") > 0
+    return f.agg(F.max("_o.f").alias("f_obs"), F.avg(F.when(drawn, (c("f") >= c("_o.f")).cast("double"))).alias("p_boot"), F.sum(drawn.cast("long")).alias("draws"))
 
 
 # ------------------------------------------------------------------ cross-section and events
@@ -210,24 +225,17 @@ def identification(df: DataFrame, flags: Sequence[str], date="date", tol: float
 
 
 def morans_i(df: DataFrame, value: str, group: str, date="date") -> DataFrame:
-    """Moran's I per date with same-group row-normalised weights."""
+    """Moran's I per date with same-group row-normalised weights; null where the values of a date do not differ."""
     d = with_group(df.where(F.col(value).isNotNull()), [date], _m=F.avg(value)).withColumn("_z", F.col(value) - F.col("_m"))
     p = peer_mean(d, [date, group], "_z", "_p")
-    g = p.where("_p is not null").groupBy(date).agg((F.sum(F.col("_z") * F.col("_p")) / F.sum(F.col("_z") * F.col("_z"))).alias("moran"), F.count("*").alias("n"))
-    return g
-
-
-def morans_permutation(df: DataFrame, value: str, group: str, entity="entity", date="date", draws: int = 20, seed: int = 11) -> DataFrame:
-    """Mean Moran's I against hashed shuffles of the values within each date."""
-    d = df.where(F.col(value).isNotNull()).select(entity, date, group, value)
-    obs = morans_i(d, value, group, date).agg(F.avg("moran").alias("moran"))
-    b = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    k = Window.partitionBy("draw", date)
-    pos = b.withColumn("i", F.row_number().over(k.orderBy(entity))).withColumn("j", F.row_number().over(k.orderBy(F.xxhash64(F.lit(seed), "draw", entity, date), entity)))
-    left = pos.select("draw", date, group, F.col("i").alias("slot"))
-    right = pos.select("draw", date, F.col("j").alias("slot"), value)
-    s = left.join(right, ["draw", date, "slot"]).withColumn("dd", F.struct("draw", date))
-    m = morans_i(s, value, group, "dd").groupBy("dd.draw").agg(F.avg("moran").alias("moran"))
+    return p.where("_p is not null").groupBy(date).agg(div(F.sum(F.col("_z") * F.col("_p")), F.sum(F.col("_z") * F.col("_z"))).alias("moran"), F.count("*").alias("n"))
+
+
+def morans_permutation(df: DataFrame, value: str, group: str, entity="entity", date="date", draws: int = 200, seed: int = 11) -> DataFrame:
+    """Mean Moran's I over the dates against permutations of the values within each date."""
+    m = morans_by_draw(df, value, group, entity, date, draws, seed).groupBy("draw").agg(F.avg("moran").alias("moran"))
+    m = materialise(m, "moran")
+    obs, m = m.where("draw = 0").select("moran"), m.where("draw > 0")
     m = with_scalars(m, obs, "o")
     return m.agg(F.max("o.moran").alias("moran"), F.avg("moran").alias("null_mean"), F.avg((F.col("moran") >= F.col("o.moran")).cast("double")).alias("p"),
                  F.count("*").alias("draws"))

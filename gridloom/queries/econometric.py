@@ -239,7 +239,7 @@ def e14(t):
 def e14b(t):
     """Minimiser, its likelihood-ratio set and a sign-flip bootstrap of the gain."""
     est = E.threshold_estimate(E.threshold_ar(reg(t), "dev", "dev_lag", **GRID))
-    boot = E.threshold_bootstrap(reg(t), "dev", "dev_lag", draws=10, **GRID)
+    boot = E.threshold_bootstrap(reg(t), "dev", "dev_lag", draws=200, **GRID)
     out = J.with_scalars(est, boot, "b")
     return out.select("gamma", "lo", "hi", "rho_in", "rho_out", "share_inside", "n", half_life("rho_out").alias("half_life_out"), F.col("b.f_obs").alias("f_obs"), F.col("b.p_boot").alias("p_boot"))
 
@@ -478,7 +478,7 @@ def e32(t):
 @query("e32b_moran_permutation")
 def e32b(t):
     d = t.prm.join(t.dim.select("entity", "region"), "entity")
-    return E.morans_permutation(d, "logp", "region", draws=20)
+    return E.morans_permutation(d, "logp", "region", draws=200)
 
 
 @query("e33_interaction_date_effects", with_(f"""
