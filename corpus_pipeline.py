@@ -6,7 +6,7 @@ folder and reread.  All stages but the last return rows of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe
 from gridloom.llm.common import Workspace
@@ -40,10 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` without the text; n_tokens, token_ids, decoded_sha256 of the text that the ids give
     back, and ``restored``: whether that is the text itself (null as empty)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = bpe.encode(docs.withColumn("restored", F.sha2(text, 256)), tokenizer_path())
-    rows = bpe.decode(rows, tokenizer_path(), keep_ids=True).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return rows.withColumn("restored", F.col("decoded_sha256") == F.col("restored")).drop("decoded")
+    return bpe.encode(docs, tokenizer_path(), round_trip=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("bpe_codec", bpe_codec)]

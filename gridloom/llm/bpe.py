@@ -213,22 +213,35 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").to_pylist()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``token_ids`` (array of int) instead of the text."""
+def encode(docs: DataFrame, path: str, text: str = "text", round_trip: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``token_ids`` (array of int) instead of the text.
+
+    ``round_trip`` decodes the ids where they were made and adds ``decoded_sha256`` of the text that they give back and
+    ``restored``, whether that is the text itself (null as empty); the decoded texts stay in the worker."""
     spec = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
-    others = [f for f in docs.schema.fields if f.name not in (text, "n_tokens", "token_ids")]
+    made = {"n_tokens": "long", "token_ids": "array<int>", **({"decoded_sha256": "string", "restored": "boolean"} if round_trip else {})}
+    others = [f for f in docs.schema.fields if f.name != text and f.name not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec.value)
         for batch in _parts(batches):
-            raw = [tok.encode(t) for t in _texts(batch, text)]
+            raw, said, same = [], [], []
+            for t in _texts(batch, text):
+                raw.append(tok.encode(t))
+                if round_trip:
+                    back = tok.decode(np.frombuffer(raw[-1], "<u4").tolist())
+                    said.append(hashlib.sha256(back.encode()).hexdigest())
+                    same.append(back == t)
             ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
             flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*(f.name for f in others), "n_tokens", "token_ids"])
+            cols += [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            if round_trip:
+                cols += [pa.array(said, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in others), *made])
 
     rows = docs.select(*(f.name for f in others), text)
-    return to_workers(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long, token_ids array<int>"]))
+    return to_workers(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{c} {kind}" for c, kind in made.items())]))
 
 
 def decode(rows: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
