@@ -315,20 +315,6 @@ def tune(df: DataFrame, features: Sequence[str], label: str, date: str, regs: Se
     return out
 
 
-def market_regimes(series: DataFrame, cols: Sequence[str], k: int = 3, date: str = "date") -> tuple[DataFrame, DataFrame]:
-    """(labelled dates, transition shares) from k-means on standardised date-grain market series."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler
-
-    d = VectorAssembler(inputCols=list(cols), outputCol="raw", handleInvalid="skip").transform(series.dropna(subset=list(cols)))
-    d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
-    lab = KMeans(k=k, seed=SEED).fit(d).transform(d).select(date, *cols, F.col("prediction").alias("state")).withColumn("_g", F.lit(1))
-    nxt = lab.withColumn("next_state", F.lead("state").over(Window.partitionBy("_g").orderBy(date))).where("next_state is not null")
-    t = nxt.groupBy("state", "next_state").agg(F.count("*").alias("n"))
-    t = t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
-    return lab.drop("_g"), t
-
-
 def mix_axes(mix: DataFrame, by: Sequence[str], categories: Sequence[str], k: int = 3) -> DataFrame:
     """Leading components of standardised category shares."""
     from pyspark.ml.feature import PCA, StandardScaler

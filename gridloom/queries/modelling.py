@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from gridloom.functions.num import div, log_floor, rnd, safe_corr
-from gridloom.operators import evaluation as V, features as X, inference as I, joins as J, learning as L, quantiles as Q, windows as W
+from gridloom.operators import evaluation as V, features as X, inference as I, joins as J, learning as L, quantiles as Q, states as ST, windows as W
 from gridloom.queries.aggregates import qbin_sql
 from gridloom.queries.econometric import nw_sql
 from gridloom.registry import query
@@ -430,11 +430,55 @@ def m31(t):
     return V.forecast_metrics(p, ["state", "model"], "y", "yhat").select("state", "model", "n", rnd("rmse").alias("rmse"))
 
 
+SERIES = ["ret", "disp", "vol", "activity", "breadth", "turnover"]
+MARKET = (("mk0", """SELECT date, avg(ret_row) AS ret, stddev(logp) AS disp, avg(vol) AS vol, ln(sum(volume)) AS activity, avg(CASE WHEN ret_row IS NOT NULL THEN CASE WHEN ret_row > 0 THEN 1.0 ELSE 0.0 END END) AS breadth, avg(turn) AS turnover
+ FROM (SELECT date, logp, volume, ret_row, CASE WHEN count(ret_row) OVER f >= 7 THEN stddev(ret_row) OVER f END AS vol, volume / avg(volume) OVER s AS turn FROM pr
+  WINDOW f AS (PARTITION BY entity ORDER BY date ROWS 13 PRECEDING), s AS (PARTITION BY entity ORDER BY date ROWS 6 PRECEDING)) GROUP BY 1"""),
+          ("mk", "SELECT * FROM mk0 WHERE ret IS NOT NULL AND disp IS NOT NULL AND vol IS NOT NULL AND activity IS NOT NULL AND breadth IS NOT NULL AND turnover IS NOT NULL"),
+          ("mlab", "SELECT *, CAST(ret > 0 AS INT) + 2 * CAST(vol > (SELECT avg(vol) FROM mk) AS INT) AS state FROM mk"),
+          ("mseq", "SELECT *, lag(state) OVER (ORDER BY date) AS prev_state FROM mlab"),
+          ("mord", "SELECT *, sum(CASE WHEN prev_state = state THEN 0 ELSE 1 END) OVER (ORDER BY date) AS run FROM mseq"),
+          ("mrun", "SELECT run, any_value(state) AS state, min(date) AS starts, max(date) AS ends, count(*) AS days FROM mord GROUP BY 1"),
+          ("mtra", "SELECT prev_state AS from_state, state AS to_state, count(*) AS n FROM mord WHERE prev_state IS NOT NULL GROUP BY 1, 2"))
+
+
+def ruled_states(t):
+    """Dates labelled by rule: sign of the return, volatility above its mean."""
+    d = ST.market_series(t.pr)
+    d = J.with_scalars(d, d.agg(F.avg("vol").alias("mid")), "_s")
+    lab = d.select("date", *SERIES, ((F.col("ret") > 0).cast("int") + 2 * (F.col("vol") > F.col("_s.mid")).cast("int")).alias("state"))
+    return ST.order_runs(lab)
+
+
 @query("m32_regime_labelling")
 def m32(t):
-    idx = W.chain_index(t.pr, "logp").withColumn("breadth", F.col("n_up") / F.col("n_entities"))
-    lab, tr = L.market_regimes(idx, ["chain_ret", "disp", "breadth"], 3)
-    return tr
+    """Profile of the states that a mixture finds in six market series."""
+    lab = materialise(ST.mixture_states(ST.market_series(t.pr), SERIES), "states")
+    return ST.state_profile(ST.order_runs(lab), SERIES, "ret", "vol")
+
+
+@query("m32b_state_profile", with_(f"""
+SELECT p.state, (CASE WHEN ret > 0 THEN 'expansion' ELSE 'contraction' END) || (CASE WHEN vol > (SELECT quantile_cont(vol, 0.5) FROM mprof) THEN ', high volatility' ELSE ', calm' END) AS label, p.days, {r('p.days / (SELECT sum(days) FROM mprof)')} AS share,
+ {', '.join(f"{r(c)} AS {c}" for c in SERIES)}, {r('persistence')} AS persistence, {r('1 / nullif(1 - persistence, 0)', 4)} AS expected_stay, runs, {r('mean_run')} AS mean_run, longest_run
+FROM mprof p JOIN (SELECT state, count(*) AS runs, avg(days) AS mean_run, max(days) AS longest_run FROM mrun GROUP BY 1) USING (state)
+LEFT JOIN (SELECT from_state AS state, CAST(coalesce(sum(n) FILTER (from_state = to_state), 0) AS DOUBLE) / sum(n) AS persistence FROM mtra GROUP BY 1) USING (state)""",
+    *MARKET, ("mprof", f"SELECT state, count(*) AS days, {', '.join(f'avg({c}) AS {c}' for c in SERIES)} FROM mord GROUP BY 1")))
+def m32b(t):
+    """Days, means, persistence and stretches of states given by rule."""
+    p = ST.state_profile(ruled_states(t), SERIES, "ret", "vol")
+    return p.select("state", "label", "days", *[rnd(c).alias(c) for c in ("share", *SERIES, "persistence")], rnd("expected_stay", 4).alias("expected_stay"), "runs", rnd("mean_run").alias("mean_run"), "longest_run")
+
+
+@query("m32c_state_transitions", with_(f"SELECT from_state, to_state, n, {r('n / sum(n) OVER (PARTITION BY from_state)')} AS share FROM mtra", *MARKET))
+def m32c(t):
+    """How often each state follows each."""
+    return ST.state_transitions(ruled_states(t)).select("from_state", "to_state", "n", rnd("share").alias("share"))
+
+
+@query("m32d_state_runs", with_("SELECT CAST(run AS BIGINT) AS run, state, starts, ends, days FROM mrun", *MARKET))
+def m32d(t):
+    """Every stretch of one state."""
+    return ST.state_runs(ruled_states(t)).select("run", "state", "starts", "ends", "days")
 
 
 @query("m33_feature_family_share", with_(f"""
