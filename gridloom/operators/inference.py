@@ -117,3 +117,26 @@ def bh(df: DataFrame, p: str, keys: Sequence[str], alpha: float = 0.05, by: Sequ
     d = d.withColumn("bh_row", F.col(p) <= F.col("bh_rank") / F.col("m") * alpha)
     last = F.max(F.when(F.col("bh_row"), F.col("bh_rank"))).over(part)
     return d.withColumn("bh_step_up", F.coalesce(F.col("bh_rank") <= last, F.lit(False)))
+
+
+def retest_states(cells: DataFrame, coef: str, p: str, slope: str, t: str, windows: str, alpha: float = 0.05, min_windows: int = 3, bar: float = 2.0) -> DataFrame:
+    """``cells`` with ``state``: what a second sample says about the cells that a first one selected.
+
+    ``coef`` and ``p`` come from the selection, ``slope`` and ``t`` from the re-test, ``windows`` counts the horizons
+    that follow each other without overlap in it.  A cell is "not selected" (p of at least ``alpha``, or none),
+    "not estimable" (fewer than ``min_windows``, or no t), "reversed" (the signs differ), "survives" (|t| above ``bar``)
+    or "fades".  A cell that cannot be estimated never counts as a survivor, whatever its t.
+    """
+    state = (F.when(F.coalesce(F.col(p) >= alpha, F.lit(True)), "not selected")
+             .when(F.coalesce(F.col(windows) < min_windows, F.lit(True)) | F.col(t).isNull() | F.isnan(t), "not estimable")
+             .when(F.signum(slope) != F.signum(coef), "reversed")
+             .when(F.abs(t) > bar, "survives").otherwise("fades"))
+    return cells.withColumn("state", state)
+
+
+def retest_summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells, selected, estimable, reversed and surviving ones."""
+    count = lambda c: F.count(F.when(c, 1))
+    s = F.col("state")
+    return cells.groupBy(*by).agg(F.count("*").alias("cells"), count(s != "not selected").alias("selected"), count(~s.isin("not selected", "not estimable")).alias("estimable"),
+                                  count(s == "reversed").alias("reversed"), count(s == "survives").alias("survive"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from gridloom.functions import scalar as S
 from gridloom.functions.num import div, half_life, rnd
-from gridloom.operators import econometrics as E, inference as I, joins as J, lagged as LG, moments as M, pairs as P, windows as W
+from gridloom.operators import econometrics as E, evaluation as V, inference as I, joins as J, lagged as LG, moments as M, pairs as P, windows as W
 from gridloom.registry import query
 from gridloom.sqltext import CTE, define, r, with_, tail_sql
 
@@ -596,6 +596,59 @@ def e42(t):
     return j.select("measure", "h", "n", "coef", "t", "p", "bh_step_up", "fm_mean", "fm_t", (F.signum("coef") != F.signum("fm_mean")).alias("sign_flip"))
 
 
+STEPS = (1, 3, 6, 12)
+_LONG = [(m, h) for m in ("flow", "cumulative", "acceleration", "threshold") for h in STEPS]
+_CELLX = {"flow": "lv", "cumulative": "lstock", "acceleration": "accel", "threshold": "high"}
+SPLIT = (("lh0", f"""SELECT entity, date, logp, ln(volume) AS lv, ln(sum(volume) OVER we) AS lstock, ln(volume) - 2 * lag(ln(volume)) OVER we + lag(ln(volume), 2) OVER we AS accel,
+  CASE WHEN volume > avg(volume) OVER (PARTITION BY entity) THEN 1.0 ELSE 0.0 END AS high, {', '.join(f"lead(logp, {h}) OVER we - logp AS y{h}, lead(date, {h}) OVER we AS d{h}" for h in STEPS)} FROM prm WINDOW we AS (PARTITION BY entity ORDER BY date)"""),
+         ("lhc", "SELECT dd[CAST(floor(n * 0.5) AS BIGINT) + 1] AS cut FROM (SELECT list(date ORDER BY date) AS dd, count(*) AS n FROM (SELECT DISTINCT date FROM prm))"),
+         ("lh1", "SELECT entity, date, unnest([" + ", ".join(f"'{m}|{h}'" for m, h in _LONG) + "]) AS cell, unnest([" + ", ".join(_CELLX[m] for m, _ in _LONG) + "]) AS x, unnest([" + ", ".join(f"y{h}" for _, h in _LONG) + "]) AS y, unnest(["
+          + ", ".join(f"d{h}" for _, h in _LONG) + "]) AS until FROM lh0"),
+         ("lh2", "SELECT cell, entity, date, x, y, until < cut AS first_half FROM lh1, lhc WHERE x IS NOT NULL AND y IS NOT NULL AND (until < cut OR date >= cut)"),
+         ("lh3", "SELECT cell, entity, x - avg(x) OVER e AS x, y - avg(y) OVER e AS y FROM lh2 WHERE first_half WINDOW e AS (PARTITION BY cell, entity)"),
+         ("lh4", "SELECT cell, count(*) AS n, count(*) - 1 - count(DISTINCT entity) AS dof, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM lh3 GROUP BY 1"),
+         ("lh5", "SELECT cell, n, xy / xx AS coef, xy / xx / sqrt((yy - xy * xy / xx) / dof / xx) AS t FROM lh4"),
+         ("lh6", "SELECT cell, date, regr_slope(y, x) AS slope FROM lh2 WHERE NOT first_half GROUP BY 1, 2 HAVING count(*) >= 8 AND var_pop(x) > 0"),
+         ("lh7", nw_sql("lh6", "slope", "date", "CAST(split_part(cell, '|', 2) AS INT)", "cell")),
+         ("lh8", "SELECT cell, floor(date_diff('month', min(date), max(date)) / CAST(split_part(cell, '|', 2) AS INT)) AS windows FROM lh6 GROUP BY 1"),
+         ("lh9", f"SELECT split_part(cell, '|', 1) AS measure, CAST(split_part(cell, '|', 2) AS INT) AS h, lh5.n, coef, t, {tail_sql('t')} AS p, mean AS slope, mean / nullif(se, 0) AS t_retest, windows FROM lh5 LEFT JOIN lh7 USING (cell) LEFT JOIN lh8 USING (cell)"),
+         ("lhs", """SELECT *, CASE WHEN p >= 0.05 OR p IS NULL THEN 'not selected' WHEN windows < 3 OR windows IS NULL OR t_retest IS NULL THEN 'not estimable' WHEN sign(slope) <> sign(coef) THEN 'reversed'
+  WHEN abs(t_retest) > 2 THEN 'survives' ELSE 'fades' END AS state FROM lh9"""))
+
+
+def split_family(t):
+    """Cells chosen on the first half of the dates, with targets that end in it, and tested again date by date on the second."""
+    w = W.series()
+    d = W.running_sum(t.prm, "volume", "stock")
+    lv = F.log("volume")
+    measures = {"flow": lv, "cumulative": F.log("stock"), "acceleration": lv - 2 * F.lag(lv, 1).over(w) + F.lag(lv, 2).over(w),
+                "threshold": (F.col("volume") > F.avg("volume").over(Window.partitionBy("entity"))).cast("double")}
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(h).alias("h"), x.alias("x"), (F.lead("logp", h).over(w) - F.col("logp")).alias("y"), F.lead("date", h).over(w).alias("until"))
+                      for m, x in measures.items() for h in STEPS])
+    g = d.select("entity", "date", cells.alias("cs")).select("entity", "date", F.explode("cs").alias("c")).select("entity", "date", "c.*").where("x is not null and y is not null")
+    g = J.with_scalars(g, V.cut_dates(t.prm, "date", cut=0.5), "s")
+    est = M.panel_ols(g.where("until < s.cut").drop("s"), "y", ["x"], fe=["entity"], by=["measure", "h"])
+    late = g.where("date >= s.cut").groupBy("measure", "h", "date").agg(F.count("*").alias("k"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("cxy"))
+    late = late.where("k >= 8 and vx > 0").withColumn("slope", F.col("cxy") / F.col("vx"))
+    fm = I.nw_mean(late, "slope", "date", ["measure", "h"], "h").select("measure", "h", F.col("mean").alias("slope"), F.col("t").alias("t_retest"))
+    span = late.groupBy("measure", "h").agg(F.floor(F.months_between(F.max("date"), F.min("date")) / F.col("h")).alias("windows"))
+    both = I.normal_tail(est, "t", "p").join(fm, ["measure", "h"], "left").join(span, ["measure", "h"], "left")
+    return I.retest_states(both, "coef", "p", "slope", "t_retest", "windows")
+
+
+@query("e42b_split_retest", with_(f"SELECT measure, h, n, {r('coef', 5)} AS coef, {r('t', 4)} AS t, {r('p', 4)} AS p, {r('slope', 5)} AS slope, {r('t_retest', 4)} AS t_retest, CAST(windows AS BIGINT) AS windows, state FROM lhs", *SPLIT))
+def e42b(t):
+    d = split_family(t)
+    return d.select("measure", "h", "n", rnd("coef", 5).alias("coef"), rnd("t", 4).alias("t"), rnd("p", 4).alias("p"), rnd("slope", 5).alias("slope"), rnd("t_retest", 4).alias("t_retest"), F.col("windows").cast("long").alias("windows"), "state")
+
+
+@query("e42c_retest_summary", with_("""SELECT measure, count(*) AS cells, count(*) FILTER (state <> 'not selected') AS selected, count(*) FILTER (state NOT IN ('not selected', 'not estimable')) AS estimable,
+ count(*) FILTER (state = 'reversed') AS reversed, count(*) FILTER (state = 'survives') AS survive FROM lhs GROUP BY 1""", *SPLIT))
+def e42c(t):
+    """Of each measure's cells the selected, estimable, reversed and surviving ones."""
+    return I.retest_summary(split_family(t), ["measure"])
+
+
 @query("e43_exposure_grid", with_(f"""
 WITH b AS (SELECT entity, logp, lead(logp) OVER we - logp AS y1, lead(logp, 3) OVER we - logp AS y3, lag(lv, 1) OVER we AS l1, lag(lv, 2) OVER we AS l2,
    CASE WHEN count(lv) OVER f >= 3 THEN avg(lv) OVER f END AS ma3 FROM (SELECT * FROM regm) WINDOW we AS (PARTITION BY entity ORDER BY date), f AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),

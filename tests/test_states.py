@@ -75,3 +75,14 @@ def test_mixture_finds_planted_states(spark):
     chosen = ST.mixture_states(d, ["a", "b", "c"]).groupBy("state").count().count()
     assert 2 <= chosen <= 4
     assert {r.state for r in ST.mixture_states(d.withColumn("a", F.lit(0.0)), ["a"]).collect()} == {0}
+
+
+def test_retest_states(spark):
+    from gridloom.operators import inference as I
+
+    rows = [("ok", 0.4, 0.01, 0.2, 2.5, 5), ("weak", 0.4, 0.01, 0.2, 1.5, 5), ("turned", 0.4, 0.01, -0.2, -9.0, 5), ("short", 0.4, 0.01, 0.2, 9.0, 2), ("no_t", 0.4, 0.01, None, None, 5),
+            ("nan_t", 0.4, 0.01, 0.2, float("nan"), 5), ("edge", 0.4, 0.05, 0.2, 9.0, 5), ("no_p", 0.4, None, 0.2, 9.0, 5), ("no_w", 0.4, 0.01, 0.2, 9.0, None), ("at_bar", 0.4, 0.01, 0.2, 2.0, 3)]
+    d = I.retest_states(spark.createDataFrame(rows, "k string, coef double, p double, slope double, t double, windows int"), "coef", "p", "slope", "t", "windows")
+    assert {r.k: r.state for r in d.collect()} == {"ok": "survives", "weak": "fades", "turned": "reversed", "short": "not estimable", "no_t": "not estimable", "nan_t": "not estimable",
+                                                   "edge": "not selected", "no_p": "not selected", "no_w": "not estimable", "at_bar": "fades"}
+    assert I.retest_summary(d).first().asDict() == {"cells": 10, "selected": 8, "estimable": 4, "reversed": 1, "survive": 1}
