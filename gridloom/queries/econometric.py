@@ -695,6 +695,25 @@ def e47(t):
     return rounded(M.panel_ols(g, "y", ["s"], by=["measure"]).where("term = 's'"), "coef", "r2_within", keep=("measure", "n"))
 
 
+NESTED = (("nx", "SELECT entity, avg(logp) AS y, ln(sum(price * volume)) AS value, ln(sum(volume) / sum(n)) AS trade FROM pr GROUP BY 1"),
+          ("ng", "SELECT unnest(['value', 'trade', 'people']) AS measure, y, mean_balance / 1000 AS bal, unnest([value, trade, ln(population)]) AS s FROM nx JOIN dim USING (entity) WHERE population > 0"),
+          ("nm", "SELECT measure, count(*) AS n, var_pop(s) AS ss, var_pop(bal) AS bb, covar_pop(s, bal) AS sb, covar_pop(s, y) AS sy, covar_pop(bal, y) AS ty, var_pop(y) AS yy FROM ng GROUP BY 1"),
+          ("ns", """SELECT measure, 'size' AS spec, n, 1 AS k, sy / ss AS coef, sy * sy / ss / yy AS r2 FROM nm
+ UNION ALL SELECT measure, 'size, balance', n, 2, (bb * sy - sb * ty) / (ss * bb - sb * sb), ((bb * sy - sb * ty) * sy + (ss * ty - sb * sy) * ty) / (ss * bb - sb * sb) / yy FROM nm"""))
+
+
+@query("e47b_cross_section_nested", with_(f"SELECT measure, spec, n, {r('coef', 5)} AS coef, {r('r2', 5)} AS r2, {r('1 - (1 - r2) * (n - 1) / (n - 1 - k)', 5)} AS r2_adjusted FROM ns", *NESTED))
+def e47b(t):
+    """Further size measures, alone and beside the mean balance: what the second regressor adds."""
+    x = t.pr.groupBy("entity").agg(F.avg("logp").alias("y"), F.log(F.sum(F.col("price") * F.col("volume"))).alias("value"), F.log(F.sum("volume") / F.sum("n")).alias("trade"))
+    x = J.enrich(x, t.dim.where("population > 0").select("entity", F.log("population").alias("people"), (F.col("mean_balance") / 1000).alias("bal")), ["entity"], "inner")
+    g = x.unpivot(["entity", "y", "bal"], ["value", "trade", "people"], "measure", "s")
+    specs = [M.panel_ols(g, "y", xs, by=["measure"]).where("term = 's'").select("measure", F.lit(name).alias("spec"), "n", F.lit(len(xs)).alias("k"), "coef", F.col("r2_within").alias("r2"))
+             for name, xs in (("size", ["s"]), ("size, balance", ["s", "bal"]))]
+    d = specs[0].unionByName(specs[1]).withColumn("r2_adjusted", 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 1 - F.col("k")))
+    return rounded(d, "coef", "r2", "r2_adjusted", keep=("measure", "spec", "n"))
+
+
 @query("e48_price_measures", with_(f"""
 WITH m AS (SELECT s.entity, s.date, ln(volume) AS x, unnest(['sell', 'buy', 'book', 'mean']) AS measure, unnest([sell_price, buy_price, book_price, price]) AS p FROM sides s JOIN panel q ON s.entity = q.entity AND s.date = q.date),
 w AS (SELECT measure, ln(p) - avg(ln(p)) OVER e AS y, x - avg(x) OVER e AS x FROM m WHERE p IS NOT NULL WINDOW e AS (PARTITION BY measure, entity))
