@@ -708,7 +708,8 @@ def e47b(t):
     x = t.pr.groupBy("entity").agg(F.avg("logp").alias("y"), F.log(F.sum(F.col("price") * F.col("volume"))).alias("value"), F.log(F.sum("volume") / F.sum("n")).alias("trade"))
     x = J.enrich(x, t.dim.where("population > 0").select("entity", F.log("population").alias("people"), (F.col("mean_balance") / 1000).alias("bal")), ["entity"], "inner")
     g = x.unpivot(["entity", "y", "bal"], ["value", "trade", "people"], "measure", "s")
-    specs = [M.panel_ols(g, "y", xs, by=["measure"]).where("term = 's'").select("measure", F.lit(name).alias("spec"), "n", F.lit(len(xs)).alias("k"), "coef", F.col("r2_within").alias("r2"))
+    # centred by the absorbed measure: moments about the means keep the digits that an intercept in the Gram matrix loses
+    specs = [M.panel_ols(g, "y", xs, fe=["measure"], by=["measure"]).where("term = 's'").select("measure", F.lit(name).alias("spec"), "n", F.lit(len(xs)).alias("k"), "coef", F.col("r2_within").alias("r2"))
              for name, xs in (("size", ["s"]), ("size, balance", ["s", "bal"]))]
     d = specs[0].unionByName(specs[1]).withColumn("r2_adjusted", 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 1 - F.col("k")))
     return rounded(d, "coef", "r2", "r2_adjusted", keep=("measure", "spec", "n"))
