@@ -148,6 +148,17 @@ def test_salted_join_equals_plain(spark):
         J.BROADCAST_BYTES = limit
 
 
+def test_many_short_rows_are_not_broadcast(spark, tmp_path):
+    """A file of a few MB may hold more rows than the driver should build a table of."""
+    spark.range(600_000).select(F.col("id").alias("k"), F.lit("HOUSEHOLD").alias("name")).write.parquet(str(tmp_path / "dim"))
+    dim, big = spark.read.parquet(str(tmp_path / "dim")), spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("row"))
+    assert J.plan_bytes(dim) <= J.BROADCAST_BYTES
+    for spread in ("row", None):
+        j = J.enrich(big, dim, ["k"], "inner", spread=spread)
+        assert "BroadcastExchange" not in plan(j) and j.count() == 1000
+    assert "BroadcastExchange" in plan(J.enrich(big, dim.where("k < 100"), ["k"], "inner", spread="row"))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
