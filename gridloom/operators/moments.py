@@ -141,7 +141,8 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
               small_sample: bool = True, bounded: bool = True, min_n: int = 0) -> DataFrame:
     """OLS with absorbed effects and classical, one-way or two-way clustered errors.
 
-    Rows (by..., term, coef, se, t, n, r2_within, dof).  Two cluster dimensions follow the
+    Rows (by..., term, coef, se, t, n, r2_within, dof); ``coef`` and ``se`` of a regressor that does
+    not vary are NaN, its ``t`` is NULL.  Two cluster dimensions follow the
     inclusion-exclusion formula with a PSD projection; ``variance_floor`` takes the largest of
     the two-way and the one-way errors.
     """
@@ -191,11 +192,14 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
             meats = [both] + ([F.col("m0"), F.col("m1")] if variance_floor else [])
             dof = F.least("g0", "g1") - 1
         s = s.withColumn("se", _sandwich("inv", F.array(*meats))).withColumn("dof", dof)
-    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("term"), F.col("beta").alias("coef"), F.col("se").alias("se"))
+    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("term"), F.col("beta").alias("coef"), F.col("se").alias("se"),
+                      F.array(*[F.col("xx")[i * k + i] for i in range(k)]).alias("own"))
     out = s.select(*by, "n", "dof", "ssr", F.when(F.col("tss") > 0, 1 - F.col("ssr") / F.col("tss")).alias("r2_within"), F.explode(z).alias("z"))
-    coef, se = F.col("z.coef"), F.col("z.se")
-    return out.select(*by, F.col("z.term").alias("term"), coef.alias("coef"), se.alias("se"),
-                      F.when(se > 0, coef / se).alias("t"), "n", "r2_within", "ssr", F.col("dof").cast("double").alias("dof"))
+    # a regressor without any variation has no coefficient; the pseudo-inverse would call it zero
+    none, coef, se = F.col("z.own") == 0, F.col("z.coef"), F.col("z.se")
+    known = lambda c: F.when(none, F.lit(float("nan"))).otherwise(c)
+    return out.select(*by, F.col("z.term").alias("term"), known(coef).alias("coef"), known(se).alias("se"),
+                      F.when(~none & (se > 0), coef / se).alias("t"), "n", "r2_within", "ssr", F.col("dof").cast("double").alias("dof"))
 
 
 def _small_join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Moment, rank and resampling kernels against NumPy; properties; plan checks."""
 
 import datetime as dt
+import math
 import re
 
 import numpy as np
@@ -129,6 +130,15 @@ def test_quantile_regression_recovers_median(spark):
     assert abs(r["slope"] - 2.0) < 0.1 and abs(r["intercept"] - 1.0) < 0.1
 
 
+def test_regressor_without_variation_has_no_coefficient(spark):
+    rows = [(d, float(d * 3 + e), float(e) if d else 0.0, 0.0 * e) for d in range(3) for e in range(4)]
+    df = spark.createDataFrame(rows, "date int, y double, x double, none double")
+    one = M.panel_ols(df, "y", ["none"], fe=["date"], cluster=["date"]).first()
+    assert math.isnan(one.coef) and math.isnan(one.se) and one.t is None and one.n == 12
+    got = {r.term: r for r in M.panel_ols(df, "y", ["x", "none"], fe=["date"]).collect()}
+    assert got["x"].coef == pytest.approx(1.0) and got["x"].r2_within == pytest.approx(10 / 15) and math.isnan(got["none"].coef)
+
+
 def test_shuffle_keeps_values(spark, panel):
     s = L.shuffled(panel.select("entity", "date", "x"), "x", ["entity", "date"])
     a, b = sorted(r["x"] for r in s.collect()), sorted(r["x"] for r in panel.collect())
