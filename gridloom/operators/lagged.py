@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators import windows as W
 from gridloom.operators.joins import with_scalars
-from gridloom.operators.moments import _lin, attach, gram, prepare, solve
+from gridloom.operators.moments import _lin, attach, centred_gram, prepare, products, solve
 from gridloom.session import materialise
 
 #: Roots of the 95 % chi-square quantiles by degrees of freedom, for bands over a whole curve.
@@ -66,7 +66,7 @@ def distributed_lag(df: DataFrame, y: str, x: str, lags: int = 90, degree: int =
     xs = [*names, *ahead]
     d, xs = prepare(d, y, xs, list(fe), [cluster], [], None)
     d = materialise(d, "lags")  # moments and scores read these rows
-    s = solve(gram(d, y, xs), len(xs))
+    s = solve(products(d, y, xs), len(xs))
     u = attach(d, s, ["beta"], [], True).withColumn("_u", F.col(y) - _lin(xs))
     per = u.groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("_u")).alias(f"s{i}") for i, c in enumerate(xs)])
     k = len(xs)
@@ -124,7 +124,7 @@ def unit_roots(df: DataFrame, value: str, max_lag: int = 5, min_n: int = 30, ent
     d = d.select(entity, "_y", "_level", *[F.lag("_y", k).over(w).alias(f"_d{k}") for k in range(1, max_lag + 1)]).dropna()
     xs = ["_level", *[f"_d{k}" for k in range(1, max_lag + 1)]]
     k = len(xs)
-    g = gram(d.withColumn("_one", F.lit(1.0)), "_y", ["_one", *xs], [entity]).where(F.col("n") >= max(min_n, k + 3))
+    g = centred_gram(d, "_y", xs, [entity]).where(F.col("n") >= max(min_n, k + 3))
 
     @F.pandas_udf("lag long, adf_t double")
     def choose(n: pd.Series, yy: pd.Series, xy: pd.Series, xx: pd.Series) -> pd.DataFrame:

@@ -69,6 +69,47 @@ def gram(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> Da
         F.array(*[xx[min(i, j), max(i, j)] for i in range(k) for j in range(k)]).alias("xx"))
 
 
+def centred_gram(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``gram`` of a regression with an intercept, about the group means: (by..., n, sy, yy, xy[k+1], xx[(k+1)^2], mid[k+1]).
+
+    The intercept stands first, orthogonal to the rest; ``mid`` holds the means of y and xs.  Raw cross products lose
+    the digits that the squared means take up, moments about the means keep them.
+    """
+    k, n = len(xs), F.count("*").cast("double")
+    about = lambda a, b: n * F.covar_pop(a, b)
+    xx = {(i, j): about(xs[i], xs[j]) for i in range(k) for j in range(i, k)}
+    zero = F.lit(0.0)
+    cell = lambda i, j: n if i == j == 0 else zero if 0 in (i, j) else xx[min(i, j) - 1, max(i, j) - 1]
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min(zero).alias("sy"), (n * F.var_pop(y)).alias("yy"),
+        F.array(F.min(zero), *[about(x, y) for x in xs]).alias("xy"),
+        F.array(*[cell(i, j) for i in range(k + 1) for j in range(k + 1)]).alias("xx"),
+        F.array(*[F.avg(c) for c in (y, *xs)]).alias("mid"))
+
+
+def products(d: DataFrame, y: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The Gram matrix of prepared rows: about the means beside an intercept, else as they stand."""
+    return centred_gram(d, y, names[1:], by) if names[0] == "const" and len(names) > 1 else gram(d, y, names, by)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _solve_centred(xx: pd.Series, xy: pd.Series, mid: pd.Series) -> pd.Series:
+    """``_solve`` on ``centred_gram``, the intercept moved back from the means to zero."""
+    out = []
+    for a, b, m in zip(xx, xy, mid):
+        if a is None or b is None or m is None or not np.isfinite(np.asarray(a, float)).all():
+            out.append(None)
+            continue
+        k, m = len(b), np.asarray(m, float)
+        a, inv, back = np.asarray(a, float).reshape(k, k), np.zeros((k, k)), np.eye(k)
+        inv[0, 0], inv[1:, 1:] = 1 / a[0, 0], np.linalg.pinv(a[1:, 1:])
+        beta = inv @ np.asarray(b, float)
+        beta[0] = m[0] - m[1:] @ beta[1:]
+        back[0, 1:] = -m[1:]
+        out.append(np.concatenate([beta, (back @ inv @ back.T).ravel()]).tolist())
+    return pd.Series(out)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """beta (k) followed by the flattened inverse (k*k)."""
@@ -106,7 +147,8 @@ def _sandwich(inv: pd.Series, meats: pd.Series) -> pd.Series:
 
 
 def solve(g: DataFrame, k: int) -> DataFrame:
-    s = g.withColumn("_s", _solve("xx", "xy"))
+    """``beta`` and ``inv`` of each row of ``gram`` or ``centred_gram``."""
+    s = g.withColumn("_s", _solve_centred("xx", "xy", "mid") if "mid" in g.columns else _solve("xx", "xy"))
     return s.withColumn("beta", F.slice("_s", 1, k)).withColumn("inv", F.slice("_s", k + 1, k * k)).drop("_s")
 
 
@@ -152,7 +194,7 @@ def panel_ols(df: DataFrame, y: str, xs: Sequence[str], fe: Sequence[str] = (),
         # the moments and every cluster dimension read these rows again
         d = materialise(d, "ols")
     k = len(names)
-    g = gram(d, y, names, by)
+    g = products(d, y, names, by)
     if min_n:
         g = g.where(F.col("n") >= min_n)
     s = solve(g, k)
@@ -212,14 +254,14 @@ def _small_join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
 def coefficients(df: DataFrame, y: str, xs: Sequence[str], fe=(), by=(), const: bool | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(prepared rows, one row of ``beta`` per group, names): for fitted values and residuals."""
     d, names = prepare(df, y, xs, list(fe), [], list(by), const)
-    return d, solve(gram(d, y, names, by), len(names)), names
+    return d, solve(products(d, y, names, by), len(names)), names
 
 
 def horse_race(df: DataFrame, y: str, specs: dict[str, Sequence[str]], fe: Sequence[str] = ()) -> DataFrame:
     """Within R2 of several regressor sets from one Gram matrix."""
     xs = sorted({x for v in specs.values() for x in v})
     d, names = prepare(df, y, xs, list(fe), [], [], None)
-    g = gram(d, y, names)
+    g = products(d, y, names)
     pos = {n: i for i, n in enumerate(names)}
     base = ["const"] if "const" in names else []
     rows = [(label, [pos[n] for n in base + list(v)]) for label, v in specs.items()]

@@ -139,6 +139,24 @@ def test_regressor_without_variation_has_no_coefficient(spark):
     assert got["x"].coef == pytest.approx(1.0) and got["x"].r2_within == pytest.approx(10 / 15) and math.isnan(got["none"].coef)
 
 
+def test_intercept_keeps_the_digits_of_the_fit(spark):
+    """Values far from zero with little spread: slope, errors and R2 as after centring by hand."""
+    rng = np.random.default_rng(11)
+    u, v = rng.normal(size=(2, 60))
+    x, y = 30_000 + 1e-3 * u, 9_000 + 1e-3 * (0.1 * u + v)
+    df = spark.createDataFrame([(i % 2, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x))], "g int, y double, x double")
+    for by, rows in (([], [np.ones(60, bool)]), (["g"], [np.arange(60) % 2 == k for k in (0, 1)])):
+        got = sorted(M.panel_ols(df, "y", ["x"], by=by).where("term = 'x'").collect(), key=lambda r: r.g if by else 0)
+        for r, at in zip(got, rows, strict=True):
+            a, b = x[at] - x[at].mean(), y[at] - y[at].mean()
+            slope = a @ b / (a @ a)
+            rss = ((b - slope * a) ** 2).sum()
+            assert r.coef == pytest.approx(slope, rel=1e-6) and r.r2_within == pytest.approx(1 - rss / (b @ b), rel=1e-6)
+            assert r.se == pytest.approx(math.sqrt(rss / (at.sum() - 2) / (a @ a)), rel=1e-6)
+    const = M.panel_ols(df, "y", ["x"]).where("term = 'const'").first()
+    assert const.coef + M.panel_ols(df, "y", ["x"]).where("term = 'x'").first().coef * x.mean() == pytest.approx(y.mean(), rel=1e-12)
+
+
 def test_shuffle_keeps_values(spark, panel):
     s = L.shuffled(panel.select("entity", "date", "x"), "x", ["entity", "date"])
     a, b = sorted(r["x"] for r in s.collect()), sorted(r["x"] for r in panel.collect())
