@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.functions.num import div
 from gridloom.operators.joins import with_scalars
+from gridloom.session import materialise
 
 SEED = 7
 
@@ -39,7 +40,8 @@ def mixture_states(series: DataFrame, cols: Sequence[str], counts: Sequence[int]
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    d = series.select(date, *cols).dropna()
+    # a row per date, written once: spread, scaling, every fit and the labels read it, the panel below is computed once
+    d = materialise(series.select(date, *cols).dropna(), "series")
     spread = d.agg(F.count("*"), *[F.stddev_pop(c) for c in cols]).first()
     used = [c for c, s in zip(cols, spread[1:]) if s]
     if not used:

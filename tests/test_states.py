@@ -86,3 +86,19 @@ def test_retest_states(spark):
     assert {r.k: r.state for r in d.collect()} == {"ok": "survives", "weak": "fades", "turned": "reversed", "short": "not estimable", "no_t": "not estimable", "nan_t": "not estimable",
                                                    "edge": "not selected", "no_p": "not selected", "no_w": "not estimable", "at_bar": "fades"}
     assert I.retest_summary(d).first().asDict() == {"cells": 10, "selected": 8, "estimable": 4, "reversed": 1, "survive": 1}
+
+
+def test_series_is_computed_once(spark):
+    """However often the fits read the series, what lies below it runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rng = random.Random(3)
+    rows = [(dt.date(2001, 1, 1) + dt.timedelta(days=k), rng.gauss(6.0 * (k % 2), 1.0), rng.gauss(0.0, 1.0)) for k in range(60)]
+    df = spark.createDataFrame(rows, "date date, a double, b double")
+    assert ST.mixture_states(df.mapInPandas(counted, df.schema), ["a", "b"], counts=(2,)).count() == 60
+    assert seen.value == 60
