@@ -89,5 +89,5 @@ WHERE CAST(l_shipdate AS DATE) BETWEEN CAST(o_orderdate AS DATE) - 120 AND CAST(
 def t9b(t):
     o = T.file_stream(t.spark, f"{t.path}/orders*.parquet", "o_orderdate", "l_ts").select(F.col("o_orderkey").alias("key_l"), "l_ts")
     li = T.file_stream(t.spark, f"{t.path}/lineitem*.parquet", "l_shipdate", "r_ts").select(F.col("l_orderkey").alias("key_r"), "r_ts", F.round("l_quantity").cast("long").alias("q"))
-    d = T.run_to_table(T.matched(o, li, "key", 120, "1 day").select(F.col("key_l").alias("o_orderkey"), "q"), "t9b")
+    d = T.run_to_table(T.matched(o, li, "key", 120, "1 day").select(F.col("key_l").alias("o_orderkey"), "q"), "t9b", flush=False)
     return d.groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.sum("q").alias("qty"))

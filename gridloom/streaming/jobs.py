@@ -17,13 +17,22 @@ def file_stream(spark: SparkSession, path: str, ts: str, out: str = "ts") -> Dat
     return d.withColumn(out, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain what is available into a Parquet table with its own checkpoint and read it back."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", flush: bool = True) -> DataFrame:
+    """Drain what is available into a Parquet table with its own checkpoint and read it back.
+
+    ``flush`` runs the empty batch after the last data, whose watermark closes windows and sessions.  An inner
+    join gives nothing then; without it, rows past the watermark leave the state with the next data.
+    """
     spark = df.sparkSession
-    out = scratch(spark, name)
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    out, empty = scratch(spark, name), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty, "true")
+    spark.conf.set(empty, before if flush else "false")
+    try:
+        q = (df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
     return spark.read.schema(df.schema).parquet(out)
 
 

@@ -179,3 +179,18 @@ def test_components_match_a_dense_solution(spark):
     first = E.panel_pca(df.where("date < 25"), "x", 2, tol=1e-13)[2].orderBy("entity").collect()
     held = E.panel_pca(df, "x", 2, train=F.col("date") < 25, tol=1e-13)
     assert np.allclose([abs(r.load1) for r in first], [abs(r.load1) for r in held[2].orderBy("entity").collect()], atol=1e-6) and held[1].count() == 40
+
+
+def test_stream_join_runs_no_empty_batch(spark, tmp_path):
+    """The inner join drains its input in one batch; the whole state is not walked again for nothing."""
+    from pathlib import Path
+
+    for side, days in (("l", (1, 40)), ("r", (2, 90))):
+        d = spark.createDataFrame([(k, f"2024-01-01 00:00:0{k}", day) for k in (1, 2) for day in days], f"key_{side} int, ts string, day int")
+        d.select(f"key_{side}", (F.to_timestamp("ts") + F.make_interval(days=F.col("day"))).alias(f"{side}_ts")).write.parquet(str(tmp_path / side))
+    a, b = (T.file_stream(spark, str(tmp_path / s), f"{s}_ts", f"{s}_ts") for s in "lr")
+    got = T.run_to_table(T.matched(a, b, "key", 45, "1 day").select("key_l", "l_ts", "r_ts"), "join", flush=False)
+    assert sorted(r.key_l for r in got.collect()) == [1, 1, 2, 2]
+    out = Path(got.inputFiles()[0].removeprefix("file:")).parent
+    assert [p.name for p in Path(f"{out}-state/commits").iterdir() if not p.name.startswith(".")] == ["0"]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
