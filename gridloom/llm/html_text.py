@@ -1,21 +1,30 @@
-"""Main text of web pages: markup zones, then a suffix array per host for what markup does not decide.
+"""Main text of web pages: markup zones, and suffix arrays over the token streams of all pages of a host.
 
 A page is cut into blocks, each in one of three zones.  *Chrome* (menus, page headers, footers,
 sidebars, notices, adverts, forms, reader comments, by element, role or whole class names) is dropped,
 *body* (inside ``article``, ``main`` or a container named so) is kept, the rest is *loose*.  Body
 markup inside a form or a wrapper with a chrome name is body all the same, a ``main`` anywhere; an
 ``article`` among menus, asides, adverts, comments or teasers is not.  A page of nothing but chrome
-keeps what stands in its forms and chrome wrappers as loose.  A page with body text is its body blocks.  A page without any keeps its loose blocks, less what its host
-repeats: the loose token streams of the host's pages are concatenated, a suffix array over them
-finds the runs of ``RUN`` or more tokens that occur on distinct pages, and tokens that such a run
-covers are removed; the unique runs stay.
-
-Repeated text in a body is no boilerplate: copies of an article and passages that articles share
-must stay whole, so the suffix array has no say there.
-
-Hosts are dealt into shards of bounded size by page.  A shard's suffix array reduces its windows to
-one row each with the smallest and largest page; merging these rows over the shards finds every
-window on two pages, also if each shard holds it once, so sharding changes nothing.
+keeps what stands in its forms and chrome wrappers as loose.
+
+Every page sends two streams to its host's suffix arrays, its body tokens and its loose tokens.  They
+find the runs of ``RUN`` or more tokens that occur on distinct pages, and decide what goes:
+
+* Loose text that a page without a body shares with another page's loose text is boilerplate: the
+  tokens that such a run covers are removed, the unique ones stay.  A page with body text loses its
+  loose text anyway, but counts as a page that repeats it.
+* A body is protected, since copies of an article and passages that articles share must stay whole.
+  Its blocks go only if runs cover them whole that stand in ``ARTICLES`` or more and in more than the
+  share ``MOST`` of the host's articles (notices and adverts inside the article without a mark), and
+  only if more of the body stays than goes.  Pages whose bodies have the same smallest window hash are
+  copies and count as one article, the page with the smallest row hash.
+
+Hosts are dealt into shards of bounded size, copies into the same one, after each task has sent only
+one of the copies it read.  A shard's suffix array reduces its windows to one row each.  Loose windows
+carry the smallest and largest page; merging these rows over the shards finds every window on two
+pages, also if each shard holds it once.  A body window that exceeds the share over all articles
+exceeds it in some shard; only those windows leave the shards, and their articles are then counted in
+all shards.  So sharding changes nothing.
 
 Edge cases: null or empty html gives an empty text.  Null urls share the empty host.  Rows with equal
 url and html are one page that is returned as often.  Unclosed elements end with their container, cut-off tags are dropped,
@@ -35,13 +44,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace, mix, powers, to_workers, word_hashes
+from gridloom.llm.common import Workspace, bounded, mix, powers, release, to_workers, word_hashes
 from gridloom.llm.url_rules import host
 
 #: Tokens that a repeated run must have.
 RUN = 12
+#: Articles that must hold a run before body text is taken for a notice of the host.
+ARTICLES = 10
+#: Share of the host's articles that must be exceeded.
+MOST = 0.75
 #: Tokens of a host that one task sorts, about.
 SHARD_TOKENS = 2_000_000
+#: Bytes of html to a token, about.
+TOKEN_BYTES = 8
 
 RAW = "script style noscript template svg math iframe object canvas title textarea select button audio video"
 BLOCKS = set(
@@ -146,23 +161,56 @@ def blocks(page: str, lenient: bool = False) -> list[tuple[int, str]]:
     return out
 
 
+def _zones(batch: pa.RecordBatch) -> tuple[list[str], list[list[str]]]:
+    """Body text and loose blocks of every page; html is the third column."""
+    body, loose = [], []
+    for page in pc.fill_null(batch.column(2), "").to_pylist():
+        got = blocks(page)
+        body.append("\n\n".join(t for z, t in got if z == BODY))
+        loose.append([t for z, t in got if z != BODY] if got else [t for _, t in blocks(page, lenient=True)])
+    return body, loose
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        body, loose, n = [], [], []
-        for page in pc.fill_null(batch.column(2), "").to_pylist():
-            got = blocks(page)
-            main = [t for z, t in got if z == BODY]
-            rest = [] if main else [t for _, t in got or blocks(page, lenient=True)]
-            body.append("\n\n".join(main))
-            loose.append(rest)
-            n.append(sum(len(t.split()) for t in rest))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.string()), pa.array(loose, pa.list_(pa.string())), pa.array(n, pa.int64())], names=["rid", "host", "body", "loose", "n"])
+        body, loose = _zones(batch)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.string()), pa.array(loose, pa.list_(pa.string())), *batch.columns[3:]], names=["rid", "host", "body", "loose", *batch.schema.names[3:]])
+
+
+def _streams(run: int):
+    """Body and loose tokens of every page that has some, as 32-bit hashes.
+
+    ``kin`` of a body is the smallest hash of its windows (of all its tokens, if there is none), of loose text the page.
+    A task leaves out a page if it has sent one of the same kin and zone with a smaller row hash.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[bool, str, int], int] = {}
+        for batch in batches:
+            zones, out = _zones(batch), []
+            pages = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for body in (True, False):
+                tokens, first = stream(zones[0] if body else [" ".join(x) for x in zones[1]])
+                w = windows(tokens, run)
+                for (rid, host), at, end in zip(pages, first[:-1], first[1:], strict=True):
+                    if at == end:
+                        continue
+                    own = w[at : end - run + 1] if end - at >= run else windows(tokens[at:end], end - at)
+                    kin = int(own.min().astype(np.int64)) if body else rid
+                    if sent.get((body, host, kin), rid + 1) > rid:
+                        sent[body, host, kin] = rid
+                        out.append((rid, host, body, kin, tokens[at:end].astype("<u4").tobytes()))
+            kinds = {"rid": pa.int64(), "host": pa.string(), "body": pa.bool_(), "kin": pa.int64(), "tokens": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+    return find
 
 
 def stream(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of the blocks in order, and where each block's begin."""
+    """32-bit token hashes of the blocks in order, and where each block's begin."""
     raw = [p.encode() for p in parts]
-    return word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    tokens, first = word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    return tokens >> np.uint64(32), first
 
 
 def windows(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -187,28 +235,55 @@ def suffix_runs(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndar
     return order, np.concatenate(([True], np.diff(rank[order]) > 0))[: len(order)]
 
 
+def window_pages(streams: list[np.ndarray], ids: np.ndarray, run: int = RUN) -> pd.DataFrame:
+    """Every window of ``run`` tokens inside the pages' streams: its hash, smallest and largest page id, number of streams."""
+    tokens = np.concatenate([x for k, t in enumerate(streams) for x in (t, mix(np.array([k + 1], dtype=np.uint64)))])  # a separator that no other page has
+    lens = np.array([len(t) for t in streams])
+    which = np.repeat(np.arange(len(streams)), lens + 1)
+    ends = np.cumsum(lens + 1) - 1  # each page's separator
+    order, first = suffix_runs(tokens, run)
+    run_no = np.cumsum(first) - 1
+    whole = order + run <= ends[which[order]]  # no separator inside
+    order, run_no = order[whole], run_no[whole]
+    if not len(order):
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"fp": none, "low": none, "high": none, "pages": none})
+    new = np.concatenate(([True], np.diff(run_no) > 0))
+    at, page = np.flatnonzero(new), which[order]
+    new[1:] |= np.diff(page) > 0
+    fp = windows(tokens, run)[order[at]].view(np.int64)
+    return pd.DataFrame({"fp": fp, "low": np.minimum.reduceat(ids[page], at), "high": np.maximum.reduceat(ids[page], at), "pages": np.add.reduceat(new.astype(np.int64), at)})
+
+
+def _unpack(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype="<u4").astype(np.uint64) for t in rows["tokens"]]
+
+
 def _shard(run: int):
+    """Windows of a shard's loose text with their smallest and largest page; of its articles those on more than ``MOST`` of them."""
+
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rid")
-        tokens, page = [], []
-        for k, (rid, loose) in enumerate(zip(rows["rid"], rows["loose"], strict=True)):
-            t = stream(list(loose))[0]
-            tokens += [t, mix(np.array([k + 1], dtype=np.uint64))]  # a separator that no other page has
-            page.append(np.full(len(t) + 1, rid, dtype=np.int64))
-        tokens, page = np.concatenate(tokens), np.concatenate(page)
-        order, first = suffix_runs(tokens, run)
-        order, run_no = order, np.cumsum(first) - 1
-        whole = page[order] == page[np.minimum(order + run, len(page)) - 1]  # no separator inside
-        whole &= order + run <= len(page)
-        sep = np.cumsum(np.concatenate(([0], np.diff(page) != 0)))
-        last = np.searchsorted(sep, sep, side="right") - 1  # the separator of each position's page
-        whole &= order + run <= last[order]
-        order, run_no = order[whole], run_no[whole]
-        at = np.flatnonzero(np.concatenate(([True], np.diff(run_no) > 0))[: len(run_no)])
-        fp = windows(tokens, run)[order[at]].view(np.int64) if len(at) else np.zeros(0, np.int64)
-        low = np.minimum.reduceat(page[order], at) if len(at) else fp
-        high = np.maximum.reduceat(page[order], at) if len(at) else fp
-        return pd.DataFrame({"host": rows["host"].iloc[0], "fp": fp, "low": low, "high": high})
+        host, body, shards = rows[["host", "body", "shards"]].iloc[0]
+        got = window_pages(_unpack(rows), rows["kin"].to_numpy(np.int64), run)
+        if body:
+            got = got[got["pages"] > MOST * len(rows)]
+        if shards == 1:  # nothing to merge
+            got = got[got["pages"] >= (ARTICLES if body else 2)]
+        release()
+        return got.assign(host=host, body=bool(body))[["host", "body", "fp", "low", "high"]]
+
+    return find
+
+
+def _count(run: int):
+    """Articles of a shard that hold each candidate, and all its articles."""
+
+    def find(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        fps = np.sort(asked["fp"].to_numpy(np.int64))
+        pages = np.zeros(len(fps), np.int64)
+        for tokens in _unpack(rows):
+            pages += np.isin(fps, windows(tokens, run).view(np.int64))
+        return pd.DataFrame({"host": asked["host"].iloc[0] if len(asked) else None, "fp": fps, "pages": pages, "articles": len(rows)})
 
     return find
 
@@ -242,32 +317,88 @@ def _uncovered(run: int):
     return keep
 
 
+def without_notices(body: str, fps: np.ndarray, run: int = RUN) -> str:
+    """``body`` less the blocks that windows of ``fps`` cover whole, if more stays than goes."""
+    parts = body.split("\n\n")
+    tokens, first = stream(parts)
+    covered = np.zeros(len(tokens) + 1, np.int64)
+    at = np.flatnonzero(np.isin(windows(tokens, run).view(np.int64), fps))
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + run, -1)
+    bare = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] == 0)))
+    goes = bare[first[1:]] == bare[first[:-1]]
+    return "\n\n".join(p for p, g in zip(parts, goes, strict=True) if not g) if 2 * np.diff(first)[goes].sum() < len(tokens) else body
+
+
+def _judge(run: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            out = [without_notices(body, np.array(fps, np.int64), run) if fps and body else body for body, fps in pairs]
+            text = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([text, *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+
+    return keep
+
+
+def host_runs(pages: DataFrame, ws: Workspace, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """What a host repeats, as hashes of windows: (host, fp) of loose text on two pages and (host, fps) of bodies in most articles.
+
+    ``pages`` has rid, host and html.
+    """
+    size = F.sum(F.octet_length("html")) / F.lit(TOKEN_BYTES * shard_tokens)
+    large = ws.keep(pages.groupBy("host").agg(F.ceil(size).cast("long").alias("shards")).where("shards > 1"))
+    large = bounded(large, large.count(), 64)
+    shards = F.coalesce("shards", F.lit(1).cast("long"))
+
+    def dealt(pages: DataFrame) -> DataFrame:
+        sent = to_workers(pages.select("rid", "host", "html"), _streams(run), "rid long, host string, body boolean, kin long, tokens binary")
+        sent = sent.join(large, "host", "left").withColumn("shards", shards).withColumn("shard", F.pmod("kin", "shards"))
+        return sent.repartition("host", "shard").groupBy("host", "shard", "shards", "body", "kin").agg(F.min_by("tokens", "rid").alias("tokens"))
+
+    found = ws.keep(dealt(pages).groupBy("host", "shard", "body").applyInPandas(_shard(run), "host string, body boolean, fp long, low long, high long"))
+    loose = found.where("not body").groupBy("host", "fp").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "fp")
+    often = found.where("body").select("host", "fp").distinct()
+    hosts = often.select("host").distinct()
+    n = hosts.count()
+    if not n:
+        return loose, often.groupBy("host").agg(F.collect_list("fp").alias("fps"))
+    asked = often.join(large, "host", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).select("host", "shard", "fp")
+    articles = dealt(pages.join(bounded(hosts, n, 64), "host", "left_semi")).where("body")
+    counts = articles.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count(run), "host string, fp long, pages long, articles long")
+    counts = counts.groupBy("host", "fp").agg(F.sum("pages").alias("pages"), F.sum("articles").alias("articles"))
+    most = counts.where((F.col("pages") >= ARTICLES) & (F.col("pages") > MOST * F.col("articles")))
+    return loose, ws.keep(most.groupBy("host").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
+
+
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``pages`` without their html, with ``text`` and ``n_chars``."""
     ws = Workspace(pages.sparkSession, "html")
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
-    rows = pages.select(F.xxhash64("url", "html").alias("rid"), host(F.col("url")).alias("host"), "html", *named)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = next(_parse(iter([batch])))
-            yield pa.RecordBatch.from_arrays([*got.columns, *batch.columns[3:]], names=[*got.schema.names, *batch.schema.names[3:]])
-
+    given = pages.select(F.xxhash64("url", "html").alias("rid"), host(F.col("url")).alias("host"), "html", *named)
+    repeated, notices = host_runs(given, ws, run, shard_tokens)
     kinds = "".join(f", `c{i}` {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    rows = to_workers(rows, parse, "rid long, host string, body string, loose array<string>, n long" + kinds)
-    undecided = ws.keep(rows.where("n > 0").drop("body"))  # pages without any body only
-    plain = rows.where("n = 0").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), F.col("body").alias("text"))
-    plain = plain.withColumn("n_chars", F.length("text").cast("long"))
-    if undecided.isEmpty():
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)]
+    carried = [f"c{i}" for i in range(len(others))]
+    rows = to_workers(given, _parse, "rid long, host string, body string, loose array<string>" + kinds)
+    plain, undecided = rows, None
+    if not repeated.isEmpty():
+        undecided = ws.keep(rows.where("body = '' and size(loose) > 0").drop("body"))
+        plain = rows.where("body <> '' or size(loose) = 0")
+    text = F.when(F.col("body") == "", F.array_join("loose", "\n\n")).otherwise(F.col("body")).alias("text")
+    n, longs = notices.agg(F.count("*"), F.sum(F.size("fps"))).first()
+    if n:
+        plain = plain.join(bounded(notices, n + longs, 64), "host", "left")
+        plain = to_workers(plain.select(text, F.when(F.col("body") != "", F.col("fps")).alias("fps"), *carried), _judge(run), "text string" + kinds)
+    else:
+        plain = plain.select(text, *carried)
+    plain = plain.select(*kept, "text").withColumn("n_chars", F.length("text").cast("long"))
+    if undecided is None:
         return plain
-    loose = undecided.select("rid", "host", "loose", "n").dropDuplicates(["rid"])
-    shards = loose.groupBy("host").agg(F.ceil(F.sum("n") / F.lit(shard_tokens)).cast("long").alias("shards"))
-    dealt = loose.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards"))).select("rid", "host", "loose", "shard")
-    found = dealt.groupBy("host", "shard").applyInPandas(_shard(run), "host string, fp long, low long, high long")
-    repeated = found.groupBy("host", "fp").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "fp")
-    spots = loose.select("rid", "host", "loose").mapInArrow(_positions(run), "rid long, host string, pos int, fp long")
+    loose = undecided.select("rid", "host", "loose").dropDuplicates(["rid"])
+    spots = loose.mapInArrow(_positions(run), "rid long, host string, pos int, fp long")
     hits = spots.join(repeated, ["host", "fp"]).groupBy("rid").agg(F.collect_list("pos").alias("hits"))
     left = loose.select("rid", "loose").join(hits, "rid", "left").mapInArrow(_uncovered(run), "rid long, left string")
-    out = undecided.join(left, "rid", "left").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), F.coalesce("left", F.lit("")).alias("text"))
+    out = undecided.join(left, "rid", "left").select(*kept, F.coalesce("left", F.lit("")).alias("text"))
     return plain.unionByName(out.withColumn("n_chars", F.length("text").cast("long")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import bpe, ctw, html_text, licenses, toxicity, url_rules
-from gridloom.llm.common import LOW
+from gridloom.llm.common import LOW, Workspace
 from gridloom.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, low string, n int, score int, rid int"
@@ -225,6 +225,62 @@ def test_host_runs(spark, shard):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2_000_000, 60])
+def test_notices_inside_articles(spark, shard):
+    rnd = random.Random(5)
+    words = lambda n: " ".join(rnd.choice("abcdefgh") * 2 + str(rnd.randint(0, 999)) for _ in range(n))
+    notice, passage, original, plate = words(14), words(14), [words(30) for _ in range(4)], words(20)
+    rows, want = [], {}
+
+    def add(host, menu, parts, kept, after=""):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", f"<nav>{menu}</nav><article>" + "".join(f"<p>{x}" for x in parts) + f"</article>{after}"))
+        want[len(rows) - 1] = "\n\n".join(kept)
+
+    for i in range(16):  # a notice without a mark in every article, a passage in a quarter of them
+        own = [words(4), words(40), words(40)] + [passage] * (i % 4 == 0)
+        add("a.com", words(3), [*own[:2], notice, *own[2:]], own, f"<div>{plate}</div>" if i == 3 else "")
+    add("a.com", "m", [notice, "short"], [notice, "short"])  # more would go than stays
+    for i in range(12):  # copies and near copies of one article
+        parts = [*original[:3], original[3] + (f" {words(1)}" if i % 3 == 0 else "")]
+        add("b.com", words(3), parts, parts)
+    parts = [words(30), original[1]]  # quotes a paragraph of the article that most pages copy
+    add("b.com", "m", parts, parts)
+    for host, n in (("c.com", 9), ("d.com", 1)):  # too few articles to tell
+        for _ in range(n):
+            parts = [words(20), notice]
+            add(host, "m", parts, parts)
+    rows.append((len(rows), "http://a.com/loose", f"<p>no body here<div>{plate}</div>"))  # its plate stands beside an article
+    want[len(rows) - 1] = "no body here"
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=shard)
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_host_runs_match_brute_force(spark):
+    rnd, run = random.Random(8), 3
+    rows, bodies, loose = [], {}, collections.defaultdict(collections.Counter)
+    inside = lambda words: {tuple(words[k : k + run]) for k in range(len(words) - run + 1)}
+    hashed = lambda words, n: html_text.windows(html_text.stream([" ".join(words)])[0], n)
+    for i in range(120):
+        host, body = f"h{i % 3}.com", [rnd.choice("abcdefghijklmnopqrstuvwxyz" * (i % 3 + 1)) + rnd.choice("xyz") * (i % 3) for _ in range(rnd.randint(1, 25 if i % 3 < 2 else 200))]
+        if i % 8:
+            body[len(body) // 2 : len(body) // 2] = ["k1", "k2", "k3", "k4"]
+        beside = [rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 9))]
+        rows.append((i, host, f"<p>{' '.join(beside)}<article>{' '.join(body)}</article>"))
+        bodies.setdefault(host, {}).setdefault(hashed(body, min(run, len(body))).min(), inside(body))
+        loose[host].update(inside(beside))
+    want, twice = {}, {(host, hashed(x, run).view(np.int64)[0]) for host, n in loose.items() for x, k in n.items() if k > 1}
+    for host, kinds in bodies.items():
+        every = set().union(*kinds.values())
+        often = [x for x in every if (n := sum(x in k for k in kinds.values())) >= html_text.ARTICLES and n > html_text.MOST * len(kinds)]
+        want |= {host: sorted(hashed(x, run).view(np.int64)[0] for x in often)} if often else {}
+    df = spark.createDataFrame(rows, "rid long, host string, html string")
+    assert want and twice
+    for tokens in (1_000_000, 100):
+        repeated, notices = html_text.host_runs(df, Workspace(spark, "runs"), run, tokens)
+        assert {r.host: list(r.fps) for r in notices.collect()} == want
+        assert {(r.host, r.fp) for r in repeated.collect()} == twice
+
+
 def test_suffix_runs_match_sorting():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, 200).astype(np.uint64)
