@@ -22,9 +22,10 @@ find the runs of ``RUN`` or more tokens that occur on distinct pages, and decide
 Hosts are dealt into shards of bounded size, copies into the same one, after each task has sent only
 one of the copies it read.  A shard's suffix array reduces its windows to one row each.  Loose windows
 carry the smallest and largest page; merging these rows over the shards finds every window on two
-pages, also if each shard holds it once.  A body window that exceeds the share over all articles
-exceeds it in some shard; only those windows leave the shards, and their articles are then counted in
-all shards.  So sharding changes nothing.
+pages, also if each shard holds it once.  Body windows leave a shard with the number of articles that
+hold them if more than half the share do.  Shards that do not report a window hold it in that many
+at most, which decides nearly all of them; what stays open is counted in all shards.  So sharding
+changes nothing.
 
 Edge cases: null or empty html gives an empty text.  Null urls share the empty host.  Rows with equal
 url and html are one page that is returned as often.  Unclosed elements end with their container, cut-off tags are dropped,
@@ -260,17 +261,23 @@ def _unpack(rows: pd.DataFrame) -> list[np.ndarray]:
 
 
 def _shard(run: int):
-    """Windows of a shard's loose text with their smallest and largest page; of its articles those on more than ``MOST`` of them."""
+    """Windows of a shard's loose text with their smallest and largest page; of its articles those on more than half of ``MOST``.
+
+    With several shards, a row without a window holds the number of the shard's articles.
+    """
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         host, body, shards = rows[["host", "body", "shards"]].iloc[0]
         got = window_pages(_unpack(rows), rows["kin"].to_numpy(np.int64), run)
         if body:
-            got = got[got["pages"] > MOST * len(rows)]
+            got = got[got["pages"] > MOST / 2 * len(rows)]
         if shards == 1:  # nothing to merge
             got = got[got["pages"] >= (ARTICLES if body else 2)]
+        got["fp"] = got["fp"].astype("Int64")
+        if body and shards > 1:
+            got = pd.concat([got, pd.DataFrame({"fp": pd.array([None], "Int64"), "low": 0, "high": 0, "pages": 0})])
         release()
-        return got.assign(host=host, body=bool(body))[["host", "body", "fp", "low", "high"]]
+        return got.assign(host=host, body=bool(body), articles=len(rows))[["host", "body", "fp", "low", "high", "pages", "articles"]]
 
     return find
 
@@ -356,19 +363,27 @@ def host_runs(pages: DataFrame, ws: Workspace, run: int = RUN, shard_tokens: int
         sent = sent.join(large, "host", "left").withColumn("shards", shards).withColumn("shard", F.pmod("kin", "shards"))
         return sent.repartition("host", "shard").groupBy("host", "shard", "shards", "body", "kin").agg(F.min_by("tokens", "rid").alias("tokens"))
 
-    found = ws.keep(dealt(pages).groupBy("host", "shard", "body").applyInPandas(_shard(run), "host string, body boolean, fp long, low long, high long"))
+    found = ws.keep(dealt(pages).groupBy("host", "shard", "body").applyInPandas(_shard(run), "host string, body boolean, fp long, low long, high long, pages long, articles long"))
     loose = found.where("not body").groupBy("host", "fp").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "fp")
-    often = found.where("body").select("host", "fp").distinct()
-    hosts = often.select("host").distinct()
+    whole = found.where("body and fp is null").groupBy("host").agg(F.sum("articles").alias("whole"))
+    often = found.where("body and fp is not null").groupBy("host", "fp").agg(F.sum("pages").alias("pages"), F.sum("articles").alias("articles"))
+    often = often.join(whole, "host", "left").withColumn("whole", F.coalesce("whole", "articles"))
+
+    def most(n, articles):
+        return (n >= ARTICLES) & (n > MOST * articles)
+
+    at_most = F.col("pages") + MOST / 2 * (F.col("whole") - F.col("articles"))
+    often = ws.keep(often.where(most(at_most, F.col("whole"))).withColumn("sure", most(F.col("pages"), F.col("whole"))))
+    sure, unsure = often.where("sure").select("host", "fp"), often.where("not sure").select("host", "fp")
+    hosts = unsure.select("host").distinct()
     n = hosts.count()
-    if not n:
-        return loose, often.groupBy("host").agg(F.collect_list("fp").alias("fps"))
-    asked = often.join(large, "host", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).select("host", "shard", "fp")
-    articles = dealt(pages.join(bounded(hosts, n, 64), "host", "left_semi")).where("body")
-    counts = articles.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count(run), "host string, fp long, pages long, articles long")
-    counts = counts.groupBy("host", "fp").agg(F.sum("pages").alias("pages"), F.sum("articles").alias("articles"))
-    most = counts.where((F.col("pages") >= ARTICLES) & (F.col("pages") > MOST * F.col("articles")))
-    return loose, ws.keep(most.groupBy("host").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
+    if n:
+        asked = unsure.join(large, "host", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).select("host", "shard", "fp")
+        articles = dealt(pages.join(bounded(hosts, n, 64), "host", "left_semi")).where("body")
+        counts = articles.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(_count(run), "host string, fp long, pages long, articles long")
+        counts = counts.groupBy("host", "fp").agg(F.sum("pages").alias("pages"), F.sum("articles").alias("articles"))
+        sure = sure.unionByName(counts.where(most(F.col("pages"), F.col("articles"))).select("host", "fp"))
+    return loose, ws.keep(sure.groupBy("host").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

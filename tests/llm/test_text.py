@@ -255,15 +255,16 @@ def test_notices_inside_articles(spark, shard):
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
-def test_host_runs_match_brute_force(spark):
+def test_host_runs_match_brute_force(spark, monkeypatch):
     rnd, run = random.Random(8), 3
     rows, bodies, loose = [], {}, collections.defaultdict(collections.Counter)
     inside = lambda words: {tuple(words[k : k + run]) for k in range(len(words) - run + 1)}
     hashed = lambda words, n: html_text.windows(html_text.stream([" ".join(words)])[0], n)
     for i in range(120):
         host, body = f"h{i % 3}.com", [rnd.choice("abcdefghijklmnopqrstuvwxyz" * (i % 3 + 1)) + rnd.choice("xyz") * (i % 3) for _ in range(rnd.randint(1, 25 if i % 3 < 2 else 200))]
-        if i % 8:
-            body[len(body) // 2 : len(body) // 2] = ["k1", "k2", "k3", "k4"]
+        for k, share in enumerate((0.9, 0.8, 0.7)):  # 0.75 decides; small shards differ
+            if rnd.random() < share:
+                body[len(body) // 2 : len(body) // 2] = [f"{k}k{n}" for n in range(4)]
         beside = [rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 9))]
         rows.append((i, host, f"<p>{' '.join(beside)}<article>{' '.join(body)}</article>"))
         bodies.setdefault(host, {}).setdefault(hashed(body, min(run, len(body))).min(), inside(body))
@@ -275,10 +276,14 @@ def test_host_runs_match_brute_force(spark):
         want |= {host: sorted(hashed(x, run).view(np.int64)[0] for x in often)} if often else {}
     df = spark.createDataFrame(rows, "rid long, host string, html string")
     assert want and twice
-    for tokens in (1_000_000, 100):
+    counted, count = [], html_text._count
+    monkeypatch.setattr(html_text, "_count", lambda run: counted.append(run) or count(run))
+    for tokens in (1_000_000, 40):
+        assert not counted
         repeated, notices = html_text.host_runs(df, Workspace(spark, "runs"), run, tokens)
         assert {r.host: list(r.fps) for r in notices.collect()} == want
         assert {(r.host, r.fp) for r in repeated.collect()} == twice
+    assert counted  # the shards' own counts leave some windows open
 
 
 def test_suffix_runs_match_sorting():
